@@ -1,0 +1 @@
+"""No streaming operators: the supported workload is batch only."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: invisible marks removed before matching -------------------
-HIDDEN_MARKS = "‎‏‪‫‬﻿"
+HIDDEN_MARKS = "\u200e\u200f\u202a\u202b\u202c\ufeff"
 # Unicode white space plus the four information separators
 SPACE = r"[\s\x1c-\x1f]"
 
@@ -21,7 +21,7 @@ def strip(text: Column) -> Column:
 def normalize_text(value: Column) -> Column:
     """H1: NULL is empty, hidden marks vanish, runs of white space become one space."""
     text = F.coalesce(value.cast("string"), F.lit(""))
-    text = F.translate(text, HIDDEN_MARKS + " ", "")if False else F.translate(text, HIDDEN_MARKS, "")
+    text = F.translate(text, HIDDEN_MARKS, "")
     return F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.state_model import DEFAULT_STATE_MODEL, StateModel
-from dayloom.functions.times import HOUR_US, floor_div, from_us, minutes
-from dayloom.operators.bins import explode_bins, running
+from dayloom.functions.times import HOUR_US, MINUTE_US, floor_div, from_us
+from dayloom.operators.bins import explode_bins
 from dayloom.operators.timeline import activity_union
 from dayloom.operators.window_features import KEY, probes, request_keys
 from dayloom.vocab import STATE_CATEGORIES, STATE_FEATURES, WINDOW_MINUTES
@@ -31,84 +31,86 @@ def hour_split(events: DataFrame) -> DataFrame:
     )
 
 
-def _category_sums(amount: Column) -> list[Column]:
+def _category_sums(amount: str) -> list[Column]:
     return [
-        F.sum(F.when(F.col("category") == c, amount).otherwise(0)).alias(u)
+        F.expr(f"sum(CASE WHEN category = '{c}' THEN {amount} ELSE 0 END)").alias(u)
         for c, u in zip(STATE_CATEGORIES, _US)
     ]
 
 
-def hour_features(table: DataFrame, keep: list[str]) -> DataFrame:
-    """The 18 state features from per-hour totals ``us_*``, ``event_count``, ``hour_no``.
+def hour_vector(table: DataFrame, keep: list[str]) -> DataFrame:
+    """The 18 state features as one array ``x``, from per-hour exact totals.
 
     Overlaps count twice here by definition, and ``event_count`` covers every
     category while minutes cover the eleven state categories only.
     """
-    total_us = sum((F.col(u) for u in _US[1:]), F.col(_US[0]))
-    floor = F.greatest(minutes(F.col("total_us")), F.lit(1e-9))
-    hour_of_day = F.pmod(F.col("hour_no"), F.lit(24)).cast("double")
-    angle = hour_of_day * (2 * math.pi) / 24.0
-    active = F.least(minutes(F.col("total_us")), F.lit(60.0))
-    share = [minutes(F.col(u)) / floor for u in _US]
-    entropy = [F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in share]
-    values = [
-        active, active / 60.0, F.col("event_count").cast("double"),
-        sum(((F.col(u) > 0).cast("int") for u in _US[1:]), (F.col(_US[0]) > 0).cast("int")).cast("double"),
-        sum(entropy[1:], entropy[0]), F.sin(angle), F.cos(angle), *share,
-    ]
-    return table.withColumn("total_us", total_us).select(
-        *keep,
-        *[minutes(F.col(u)).alias(c) for c, u in zip(STATE_CATEGORIES, _US)],
-        *[v.alias(n) for n, v in zip(STATE_FEATURES, values)],
+    us = ", ".join(_US)
+    return (
+        table.select(*keep, "hour_no", "event_count", F.expr(f"array({us})").alias("us"))
+        .withColumn("total", F.expr(f"aggregate(us, 0L, (a, u) -> a + u) / {MINUTE_US}D"))
+        .withColumn(
+            "shares", F.expr(f"transform(us, u -> u / {MINUTE_US}D / greatest(total, 1e-9D))")
+        )
+        .withColumn("angle", F.expr(f"pmod(hour_no, 24) * {2 * math.pi!r}D / 24D"))
+        .select(
+            *keep, "us",
+            F.expr(
+                "concat(array(least(total, 60D), least(total, 60D) / 60D, double(event_count), "
+                "double(size(filter(us, u -> u > 0))), "
+                "aggregate(shares, 0D, (a, s) -> a - CASE WHEN s > 0 THEN s * log2(s) ELSE 0D END), "
+                "sin(angle), cos(angle)), shares)"
+            ).alias("x"),
+        )
     )
 
 
 def hourly_totals(activity: DataFrame) -> DataFrame:
     """Exact per (user, hour) totals; partial sums are combined before the shuffle."""
     return hour_split(activity).groupBy("user_id", "hour_no").agg(
-        *_category_sums(F.col("p_end") - F.col("p_start")), F.count(F.lit(1)).alias("event_count")
+        *_category_sums("p_end - p_start"), F.count(F.lit(1)).alias("event_count")
     )
 
 
 def hourly_behavior(window: DataFrame | None, web: DataFrame | None) -> DataFrame:
     """The hourly behaviour table of all users."""
-    table = hour_features(hourly_totals(activity_union(window, web)), ["user_id", "hour_no"])
+    table = hour_vector(hourly_totals(activity_union(window, web)), ["user_id", "hour_no"])
     return table.select(
         "user_id", from_us(F.col("hour_no") * HOUR_US).alias("hour"),
-        *STATE_CATEGORIES, *STATE_FEATURES,
+        *[F.expr(f"us[{i}] / {MINUTE_US}D").alias(c) for i, c in enumerate(STATE_CATEGORIES)],
+        *[F.expr(f"x[{i}]").alias(c) for i, c in enumerate(STATE_FEATURES)],
     )
 
 
-def state_distances(model: StateModel = DEFAULT_STATE_MODEL) -> list[Column]:
-    """Euclidean distance of the standardised features to every centre."""
-    scaled = [
-        (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - m) / s
-        for f, m, s in zip(model.features, model.mean, model.scale)
-    ]
-    out = []
-    for center in model.centers:
-        terms = [(z - c) * (z - c) for z, c in zip(scaled, center)]
-        out.append(F.sqrt(sum(terms[1:], terms[0])))
-    return out
+def _doubles(values) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
 
 
-def assign_state(table: DataFrame, model: StateModel = DEFAULT_STATE_MODEL) -> DataFrame:
-    """Add ``state`` and ``state_distance_min``; the lowest id wins ties."""
-    best = F.array_min(
-        F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(state_distances(model))])
+def _nearest(vector: str, model: StateModel) -> Column:
+    """Struct (d, i) of the nearest centre; the lowest id wins ties."""
+    centers = ", ".join(_doubles(c) for c in model.centers)
+    scaled = (
+        f"zip_with(zip_with({vector}, {_doubles(model.mean)}, (v, m) -> coalesce(v, 0D) - m), "
+        f"{_doubles(model.scale)}, (v, s) -> v / s)"
     )
-    return (
-        table.withColumn("_best", best)
-        .withColumn("state", F.col("_best.i"))
-        .withColumn("state_distance_min", F.col("_best.d"))
-        .drop("_best")
+    return F.expr(
+        f"array_min(transform(array({centers}), (c, i) -> struct(sqrt(aggregate("
+        f"zip_with({scaled}, c, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v)) AS d, i AS i)))"
+    )
+
+
+def assign_state(table: DataFrame, model: StateModel = DEFAULT_STATE_MODEL) -> DataFrame:
+    """Add ``state`` and ``state_distance_min``; missing features count as 0."""
+    vector = "array(" + ", ".join(f"double({f})" for f in model.features) + ")"
+    best = table.withColumn("_best", _nearest(vector, model))
+    return best.select(
+        *table.columns, F.col("_best.i").alias("state"), F.col("_best.d").alias("state_distance_min")
     )
 
 
 def _labelled(totals: DataFrame, keep: list[str], model: StateModel) -> DataFrame:
     """Active hours only, as (keep..., state, state_distance_min)."""
-    table = assign_state(hour_features(totals, keep), model)
-    return table.filter("active_minutes > 0").select(*keep, "state", "state_distance_min")
+    table = hour_vector(totals, keep).filter("x[0] > 0").withColumn("best", _nearest("x", model))
+    return table.select(*keep, F.col("best.i").alias("state"), F.col("best.d").alias("state_distance_min"))
 
 
 def _entry(partial: int) -> Column:
@@ -118,29 +120,41 @@ def _entry(partial: int) -> Column:
     )
 
 
-def interval_stats(rows: Column, prefix: str, n_states: int) -> list[Column]:
-    """D9 over one array of active hours, ordered by (hour, full row before partial)."""
-    n = F.size(rows)
-    some = n > 0
-    in_state = lambda k: (lambda x: x["s"] == k)
-    counts = [F.size(F.filter(rows, in_state(k))) for k in range(n_states)]
-    shares = [F.when(some, c / n).otherwise(0.0) for c in counts]
-    entropy = [F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in shares]
-    ordered = F.array_sort(F.transform(rows, lambda x: x["d"]))
-    lower = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    upper = F.get(ordered, F.floor(n / 2).cast("int"))
-    follow = F.zip_with(
-        F.slice(rows, 1, F.greatest(n - 1, F.lit(0))), F.slice(rows, 2, F.greatest(n - 1, F.lit(0))),
-        lambda a, b: a["s"] != b["s"],
+def interval_stats(table: DataFrame, ranges: dict[str, str], n_states: int) -> DataFrame:
+    """D9 over arrays of active hours, ordered by (hour, full row before partial).
+
+    ``ranges`` maps an output prefix to its array column, which is dropped.
+    """
+    rest = [c for c in table.columns if c not in ranges.values()]
+    shares = table.select(
+        *rest, *ranges.values(),
+        *[
+            F.expr(
+                f"transform(sequence(0, {n_states - 1}), k -> CASE WHEN size({r}) > 0 "
+                f"THEN size(filter({r}, x -> x.s = k)) / size({r}) ELSE 0D END)"
+            ).alias(f"share_{p}")
+            for p, r in ranges.items()
+        ],
+        *[F.expr(f"array_sort(transform({r}, x -> x.d))").alias(f"sorted_{p}") for p, r in ranges.items()],
     )
-    return [
-        n.cast("double").alias(f"{prefix}_state_active_hours"),
-        F.coalesce((lower + upper) / 2.0, F.lit(0.0)).alias(f"{prefix}_state_distance_median"),
-        F.greatest(*shares).alias(f"{prefix}_state_dominant_share"),
-        sum(entropy[1:], entropy[0]).alias(f"{prefix}_state_entropy"),
-        F.size(F.filter(follow, lambda x: x)).cast("double").alias(f"{prefix}_state_transition_count"),
-        *[s.alias(f"{prefix}_state_share_{k}") for k, s in enumerate(shares)],
-    ]
+    out = []
+    for p, r in ranges.items():
+        out += [
+            F.expr(f"double(size({r}))").alias(f"{p}_state_active_hours"),
+            F.expr(
+                f"coalesce((get(sorted_{p}, int((size({r}) - 1) div 2)) + get(sorted_{p}, int(size({r}) div 2))) / 2D, 0D)"
+            ).alias(f"{p}_state_distance_median"),
+            F.expr(f"array_max(share_{p})").alias(f"{p}_state_dominant_share"),
+            F.expr(
+                f"aggregate(share_{p}, 0D, (a, s) -> a - CASE WHEN s > 0 THEN s * log2(s) ELSE 0D END)"
+            ).alias(f"{p}_state_entropy"),
+            F.expr(
+                f"double(size(filter(zip_with(slice({r}, 1, greatest(size({r}) - 1, 0)), "
+                f"slice({r}, 2, greatest(size({r}) - 1, 0)), (a, b) -> a.s <> b.s), x -> x)))"
+            ).alias(f"{p}_state_transition_count"),
+            *[F.expr(f"share_{p}[{k}]").alias(f"{p}_state_share_{k}") for k in range(n_states)],
+        ]
+    return shares.select(*rest, *out)
 
 
 def state_columns(n_states: int = DEFAULT_STATE_MODEL.n_states) -> list[str]:
@@ -169,23 +183,21 @@ def _running_hour(activity: DataFrame, keys: DataFrame) -> DataFrame:
         "user_id", F.col("bin").alias("hour_no"), "req_us",
         (F.col("pos") - F.col("bin") * HOUR_US).alias("at"), F.lit(0).alias("kind"),
     )
-    upto, _ = running(["user_id", "hour_no"], ["at", "kind"])
-    sign = lambda c: F.when(F.col("category") == c, F.col("sign"))
+    frame = (
+        "OVER (PARTITION BY user_id, hour_no ORDER BY at, kind "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    )
+    total = lambda value, name: F.expr(f"coalesce(sum({value}) {frame}, 0L)").alias(name)
+    of = lambda c, value: f"CASE WHEN category = '{c}' THEN {value} END"
     read = points.unionByName(asked, allowMissingColumns=True).select(
         "user_id", "hour_no", "req_us", "kind", "at",
-        F.coalesce(F.sum(F.when(F.col("sign") == 1, 1)).over(upto), F.lit(0)).alias("event_count"),
-        *[F.coalesce(F.sum(sign(c)).over(upto), F.lit(0)).alias(f"n_{c}") for c in STATE_CATEGORIES],
-        *[
-            F.coalesce(F.sum(sign(c) * F.col("at")).over(upto), F.lit(0)).alias(f"w_{c}")
-            for c in STATE_CATEGORIES
-        ],
+        total("CASE WHEN sign = 1 THEN 1L END", "event_count"),
+        *[total(of(c, "sign"), f"n_{c}") for c in STATE_CATEGORIES],
+        *[total(of(c, "sign * at"), f"w_{c}") for c in STATE_CATEGORIES],
     )
     return read.filter("kind = 0").select(
         "user_id", "hour_no", "req_us", "event_count",
-        *[
-            (F.col("at") * F.col(f"n_{c}") - F.col(f"w_{c}")).alias(u)
-            for c, u in zip(STATE_CATEGORIES, _US)
-        ],
+        *[F.expr(f"at * n_{c} - w_{c}").alias(u) for c, u in zip(STATE_CATEGORIES, _US)],
     )
 
 
@@ -206,7 +218,7 @@ def _carried_hours(activity: DataFrame, hours: DataFrame, back: int) -> DataFram
             "hour_no", F.explode(F.sequence(F.greatest(first, F.col("hs") - back), F.col("hs") - 1))
         )
     )
-    inside = (F.col("hour_no") + 1) * HOUR_US - F.greatest(F.col("s_us"), F.col("hour_no") * HOUR_US)
+    inside = f"(hour_no + 1) * {HOUR_US} - greatest(s_us, hour_no * {HOUR_US})"
     return crossing.groupBy("user_id", "hs", "hour_no").agg(
         *_category_sums(inside), F.count(F.lit(1)).alias("event_count")
     )
@@ -260,40 +272,29 @@ def state_readings(
     )
     asked = asked.join(running_rows, KEY, "left").withColumn("now", F.coalesce("now", none))
 
-    between = lambda rows, lo, hi: F.filter(rows, lambda x: (x["h"] >= lo) & (x["h"] <= hi))
+    between = lambda rows, lo, hi: F.expr(f"filter({rows}, x -> x.h >= {lo} AND x.h <= {hi})")
     group = ["user_id", "hs", "lo", "upto"]
+    order = state_columns(model.n_states)
     if window_minutes < 60:
         # the running hour can fall into the earlier ranges: nothing is shared
-        table = asked.join(base, ["user_id", "hs"])
-        every = F.concat("rows", "now")
-        prior = [("prior24h", 24), ("prior7d", 168)]
+        table = asked.join(base, ["user_id", "hs"]).withColumn("every", F.concat("rows", "now"))
         table = table.select(
             *KEY,
-            *interval_stats(between(every, F.col("lo"), F.col("hs")), "current60", model.n_states),
-            *[
-                c for name, span in prior
-                for c in interval_stats(between(every, F.col("lo") - span, F.col("upto")), name, model.n_states)
-            ],
-        )
-        return table
-    shared = (
-        asked.select(*group).distinct().join(base, ["user_id", "hs"])
-        .select(
-            *group,
-            between(F.col("rows"), F.col("lo"), F.col("hs")).alias("near"),
-            between(F.col("rows"), F.col("lo") - 24, F.col("upto")).alias("day"),
-            between(F.col("rows"), F.col("lo") - 168, F.col("upto")).alias("week"),
-        )
-        .select(
-            *group, "near",
-            *interval_stats(F.col("day"), "prior24h", model.n_states),
-            *interval_stats(F.col("week"), "prior7d", model.n_states),
+            between("every", "lo", "hs").alias("near"),
+            between("every", "lo - 24", "upto").alias("day"),
+            between("every", "lo - 168", "upto").alias("week"),
         )
+        ranges = {"current60": "near", "prior24h": "day", "prior7d": "week"}
+        return interval_stats(table, ranges, model.n_states).select(*KEY, *order)
+    shared = asked.select(*group).distinct().join(base, ["user_id", "hs"]).select(
+        *group,
+        between("rows", "lo", "hs").alias("near"),
+        between("rows", "lo - 24", "upto").alias("day"),
+        between("rows", "lo - 168", "upto").alias("week"),
     )
+    shared = interval_stats(shared, {"prior24h": "day", "prior7d": "week"}, model.n_states)
     table = asked.join(shared, group).withColumn("near", F.concat("near", "now"))
-    order = state_columns(model.n_states)
-    current = interval_stats(F.col("near"), "current60", model.n_states)
-    return table.select(*KEY, *current, *order[len(current):])
+    return interval_stats(table, {"current60": "near"}, model.n_states).select(*KEY, *order)
 
 
 def behavior_states(

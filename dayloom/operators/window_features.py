@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.functions.numbers import divide_or_zero
-from dayloom.functions.times import DAY_US, MINUTE_US, SECOND_US, floor_div, from_us, minutes, to_us
+from dayloom.functions.times import DAY_US, MINUTE_US, SECOND_US, floor_div, from_us, to_us
 from dayloom.operators.bins import (
     bin_width,
     carried_prefix,
@@ -58,12 +58,12 @@ def probes(keys: DataFrame, width_us: int, roles: dict[str, int]) -> DataFrame:
 
 # --- activity minutes, focus blocks, context ---------------------------------
 
-def _overhang(category: str | None) -> Column:
-    """Part of the last segment before the probe that lies after it."""
-    late = F.greatest(F.col("cur.seg_end") - F.col("pos"), F.lit(0))
-    if category is not None:
-        late = F.when(F.col("cur.category") == category, late)
-    return F.coalesce(late, F.lit(0))
+def _before(total: str, category: str | None = None) -> str:
+    """Running total up to the probe, less what its last segment has after it."""
+    hit = "true" if category is None else f"cur.category = '{category}'"
+    return (
+        f"({total} - coalesce(CASE WHEN {hit} THEN greatest(cur.seg_end - pos, 0L) END, 0L))"
+    )
 
 
 def segment_readings(
@@ -76,143 +76,120 @@ def segment_readings(
     roles = {"end": 0, "start": width_us}
     if context:
         roles.update({f"ctx{n}": width_us + d * DAY_US for n, d in CONTEXT_DAYS.items()})
-    length = F.col("seg_end") - F.col("seg_start")
     rows = segments.select(
         "user_id", "bin",
         F.col("start_us").alias("pos"), F.lit(1).alias("kind"),
         F.lit(None).cast("string").alias("role"), F.lit(None).cast("bigint").alias("req_us"),
-        F.struct(
-            F.col("start_us").alias("seg_start"), F.col("end_us").alias("seg_end"), "category"
-        ).alias("seg"),
+        F.expr("struct(start_us AS seg_start, end_us AS seg_end, category)").alias("seg"),
     ).unionByName(
         probes(keys, width_us, roles).withColumn("kind", F.lit(0)), allowMissingColumns=True
     )
-    rows = rows.select("*", "seg.seg_start", "seg.seg_end", "seg.category")
-    upto, whole = running(["user_id", "bin"], ["pos", "kind"])
-    sums = {c: F.when(F.col("category") == c, length) for c in CATEGORIES}
-    sums["n"] = F.col("seg_start").isNotNull().cast("bigint")
-    sums["short"] = F.when(length < SHORT_US, F.lit(1).cast("bigint"))
-
+    length = "seg.seg_end - seg.seg_start"
+    sums = {c: f"CASE WHEN seg.category = '{c}' THEN {length} END" for c in CATEGORIES}
+    sums["n"] = "CASE WHEN seg IS NOT NULL THEN 1L END"
+    sums["short"] = f"CASE WHEN {length} < {SHORT_US} THEN 1L END"
+    by_bin = "PARTITION BY user_id, bin ORDER BY pos, kind ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    upto, whole = f"OVER ({by_bin} CURRENT ROW)", f"OVER ({by_bin} UNBOUNDED FOLLOWING)"
     read = rows.select(
         "user_id", "bin", "pos", "kind", "role", "req_us",
-        F.last("seg", ignorenulls=True).over(upto).alias("cur"),
-        F.first("seg", ignorenulls=True).over(whole).alias("head"),
-        F.last("seg", ignorenulls=True).over(whole).alias("tail"),
-        *[F.coalesce(F.sum(e).over(upto), F.lit(0)).alias(f"to_{c}") for c, e in sums.items()],
-        *[F.coalesce(F.sum(e).over(whole), F.lit(0)).alias(f"all_{c}") for c, e in sums.items()],
-    ).filter("kind = 0")
-
-    cut = F.coalesce(F.col("cur.seg_end") > F.col("pos"), F.lit(False))
-    cur_short = F.col("cur.seg_end") - F.col("cur.seg_start") < SHORT_US
-    as_one = lambda cond: F.coalesce(cond, F.lit(False)).cast("bigint")
-    is_end, is_start = F.col("role") == "end", F.col("role") == "start"
-    boundary = (F.col("bin") + 1) * width_us
+        F.expr(f"last(seg) IGNORE NULLS {upto}").alias("cur"),
+        F.expr(f"first(seg) IGNORE NULLS {whole}").alias("head"),
+        F.expr(f"last(seg) IGNORE NULLS {whole}").alias("tail"),
+        *[F.expr(f"coalesce(sum({e}) {upto}, 0L)").alias(f"to_{c}") for c, e in sums.items()],
+        *[F.expr(f"coalesce(sum({e}) {whole}, 0L)").alias(f"all_{c}") for c, e in sums.items()],
+    ).filter("kind = 0").select(
+        "*",
+        F.expr("coalesce(cur.seg_end > pos, false)").alias("cut"),
+        F.expr(f"(bin + 1) * {width_us}L").alias("edge"),
+        F.expr(f"bin * {width_us}L").alias("origin"),
+    )
 
+    by_role = lambda end, start: (
+        f"CASE role WHEN 'end' THEN {end} WHEN 'start' THEN {start} ELSE 0L END"
+    )
+    one = lambda condition: f"CASE WHEN {condition} THEN 1L ELSE 0L END"
     values = {}
     for c in CATEGORIES:
-        before = F.col(f"to_{c}") - _overhang(c)
-        values[c] = F.when(is_end, before).when(is_start, F.col(f"all_{c}") - before).otherwise(0)
-    values["blocks"] = (
-        F.when(is_end, F.col("to_n"))
-        .when(is_start, F.col("all_n") - F.col("to_n") + cut.cast("bigint"))
-        .otherwise(0)
-    )
-    values["shorts"] = (
-        F.when(
-            is_end,
-            F.col("to_short")
-            - as_one(cut & cur_short)
-            + as_one(cut & (F.col("pos") - F.col("cur.seg_start") < SHORT_US)),
-        )
-        .when(
-            is_start,
-            F.col("all_short") - F.col("to_short")
-            + as_one(cut & (F.col("cur.seg_end") - F.col("pos") < SHORT_US)),
-        )
-        .otherwise(0)
+        before = _before(f"to_{c}", c)
+        values[c] = by_role(before, f"all_{c} - {before}")
+    values["blocks"] = by_role("to_n", f"all_n - to_n + {one('cut')}")
+    # a cut segment counts with its clipped length
+    values["shorts"] = by_role(
+        f"to_short - {one(f'cut AND cur.seg_end - cur.seg_start < {SHORT_US}')}"
+        f" + {one(f'cut AND pos - cur.seg_start < {SHORT_US}')}",
+        f"all_short - to_short + {one(f'cut AND cur.seg_end - pos < {SHORT_US}')}",
     )
     # the block that may continue over the bin edge, seen from either side
-    values["left_us"] = F.when(
-        is_start & (F.col("tail.seg_end") == boundary),
-        boundary - F.greatest(F.col("tail.seg_start"), F.col("pos")),
-    )
-    values["left_cat"] = F.when(is_start, F.col("tail.category"))
-    values["right_us"] = F.when(
-        is_end
-        & (F.col("head.seg_start") == F.col("bin") * width_us)
-        & (F.col("head.seg_start") < F.col("pos")),
-        F.least(F.col("head.seg_end"), F.col("pos")) - F.col("bin") * width_us,
-    )
-    values["right_cat"] = F.when(is_end, F.col("head.category"))
-
-    totals = sorted({c for cats in CONTEXT_CATEGORIES.values() for c in cats})
+    carried = {
+        "left_us": "CASE WHEN role = 'start' AND tail.seg_end = edge THEN edge - greatest(tail.seg_start, pos) END",
+        "left_cat": "CASE WHEN role = 'start' THEN tail.category END",
+        "right_us": "CASE WHEN role = 'end' AND head.seg_start = origin AND origin < pos "
+                    "THEN least(head.seg_end, pos) - origin END",
+        "right_cat": "CASE WHEN role = 'end' THEN head.category END",
+    }
     if context:
-        all_len = lambda p: sum((F.col(f"{p}_{c}") for c in CATEGORIES[1:]), F.col(f"{p}_{CATEGORIES[0]}"))
+        totals = sorted({c for cats in CONTEXT_CATEGORIES.values() for c in cats})
+        amount = {c: f"CASE WHEN category = '{c}' THEN len ELSE 0L END" for c in totals}
+        amount["any"] = "coalesce(len, 0L)"
         per_bin = (
-            segments.select("user_id", "bin", "category", (F.col("end_us") - F.col("start_us")).alias("len"))
-            .unionByName(probes(keys, width_us, {k: v for k, v in roles.items() if k != "end"})
-                         .select("user_id", "bin"), allowMissingColumns=True)
-            .groupBy("user_id", "bin")
-            .agg(
-                *[F.sum(F.when(F.col("category") == c, F.col("len")).otherwise(0)).alias(c) for c in totals],
-                F.sum(F.coalesce("len", F.lit(0))).alias("any"),
+            segments.select("user_id", "bin", "category", F.expr("end_us - start_us").alias("len"))
+            .unionByName(
+                probes(keys, width_us, {k: v for k, v in roles.items() if k != "end"})
+                .select("user_id", "bin").distinct(),
+                allowMissingColumns=True,
             )
+            .groupBy("user_id", "bin")
+            .agg(*[F.expr(f"sum({e})").alias(c) for c, e in amount.items()])
         )
-        read = read.join(
-            carried_prefix(per_bin, "user_id", "bin", [*totals, "any"]), ["user_id", "bin"], "left"
-        )
-        here = {c: F.col(f"before_{c}") + F.col(f"to_{c}") - _overhang(c) for c in totals}
-        here["any"] = F.col("before_any") + all_len("to") - _overhang(None)
+        read = read.join(carried_prefix(per_bin, "user_id", "bin", list(amount)), ["user_id", "bin"], "left")
+        here = {c: f"(before_{c} + {_before(f'to_{c}', c)})" for c in totals}
+        here["any"] = f"(before_any + {_before(' + '.join(f'to_{c}' for c in CATEGORIES))})"
         for name, cats in CONTEXT_CATEGORIES.items():
-            sign = F.when(is_start, 1).when(F.col("role") == f"ctx{name}", -1).otherwise(0)
             for c in (*cats, "any"):
-                values[f"ctx{name}_{c}"] = F.when(sign != 0, sign * here[c]).otherwise(0)
-
-    flat = read.select("user_id", "req_us", *[e.alias(n) for n, e in values.items()])
-    carried = {"left_us", "left_cat", "right_us", "right_cat"}
-    one = flat.groupBy(*KEY).agg(
-        *[(F.max(n) if n in carried else F.sum(n)).alias(n) for n in values]
-    )
-    joined = F.coalesce(
-        F.col("left_us").isNotNull() & F.col("right_us").isNotNull()
-        & (F.col("left_cat") == F.col("right_cat")),
-        F.lit(False),
-    )
-    fix = (
-        (F.col("left_us") + F.col("right_us") < SHORT_US).cast("bigint")
-        - (F.col("left_us") < SHORT_US).cast("bigint")
-        - (F.col("right_us") < SHORT_US).cast("bigint")
+                values[f"ctx{name}_{c}"] = (
+                    f"CASE role WHEN 'start' THEN {here[c]} WHEN 'ctx{name}' THEN -{here[c]} ELSE 0L END"
+                )
+    merged = read.groupBy(*KEY).agg(
+        *[F.expr(f"sum({e})").alias(n) for n, e in values.items()],
+        *[F.expr(f"max({e})").alias(n) for n, e in carried.items()],
+    ).withColumn(
+        "joined",
+        F.expr("coalesce(left_us IS NOT NULL AND right_us IS NOT NULL AND left_cat = right_cat, false)"),
     )
-    one = one.withColumn("blocks", F.col("blocks") - joined.cast("bigint")).withColumn(
-        "shorts", F.col("shorts") + F.when(joined, fix).otherwise(0)
+    short = lambda e: one(f"{e} < {SHORT_US}")
+    return merged.select(
+        *KEY, *[n for n in values if n not in ("blocks", "shorts")],
+        F.expr(f"blocks - {one('joined')}").alias("blocks"),
+        F.expr(
+            f"shorts + CASE WHEN joined THEN {short('left_us + right_us')} - {short('left_us')}"
+            f" - {short('right_us')} ELSE 0L END"
+        ).alias("shorts"),
+        F.expr(" + ".join(CATEGORIES)).alias("active_us"),
     )
-    return one.withColumn(
-        "active_us", sum((F.col(c) for c in CATEGORIES[1:]), F.col(CATEGORIES[0]))
-    ).drop(*carried)
+
+
+def _ratio(top: str, bottom: str) -> str:
+    return f"CASE WHEN {bottom} > 0 THEN {top} / {bottom} ELSE 0D END"
 
 
 def activity_columns(window_minutes: float) -> list[Column]:
     """D1-D4 as expressions over :func:`segment_readings`."""
-    total = F.least(minutes(F.col("active_us")), F.lit(float(window_minutes)))
-    return [
-        total.alias("total_active_minutes"),
-        *[minutes(F.col(c)).alias(t) for c, t in zip(CATEGORIES, TIME_COLUMNS)],
-        divide_or_zero(minutes(F.col("communication")), total).alias("ratio_communication"),
-        divide_or_zero(minutes(F.col("active_us")), F.col("blocks").cast("double")).alias(
-            "mean_focus_block_minutes"
-        ),
-        F.col("shorts").cast("double").alias("short_fragment_count_2m"),
-    ]
+    total = f"least(active_us / {MINUTE_US}D, {float(window_minutes)!r}D)"
+    values = {"total_active_minutes": total}
+    values |= {t: f"{c} / {MINUTE_US}D" for c, t in zip(CATEGORIES, TIME_COLUMNS)}
+    values["ratio_communication"] = _ratio(f"(communication / {MINUTE_US}D)", total)
+    values["mean_focus_block_minutes"] = _ratio(f"(active_us / {MINUTE_US}D)", "blocks")
+    values["short_fragment_count_2m"] = "double(shorts)"
+    return [F.expr(e).alias(n) for n, e in values.items()]
 
 
 def context_columns() -> list[Column]:
     """D6 as expressions over :func:`segment_readings` with context."""
     out = []
     for name, cats in CONTEXT_CATEGORIES.items():
-        cap = float(CONTEXT_DAYS[name] * 24 * 60)
-        total = F.least(minutes(F.col(f"ctx{name}_any")), F.lit(cap))
+        total = f"least(ctx{name}_any / {MINUTE_US}D, {float(CONTEXT_DAYS[name] * 24 * 60)!r}D)"
         out += [
-            divide_or_zero(minutes(F.col(f"ctx{name}_{c}")), total).alias(f"context_{name}_ratio_{c}")
+            F.expr(_ratio(f"(ctx{name}_{c} / {MINUTE_US}D)", total)).alias(f"context_{name}_ratio_{c}")
             for c in cats
         ]
     return out

@@ -737,12 +737,13 @@ def normalize_requests(spark, d):
 
 @query("require_activity_source", """
 SELECT 'u' || CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_id % 40 = 0 OR event_type <> 'view'
-GROUP BY user_id HAVING NOT bool_or(event_type = 'click')""")
+GROUP BY user_id HAVING NOT bool_or(event_type = 'click' AND event_id % 5 = 0)""")
 def require_activity_source(spark, d):
     e = fx.table(spark, d, "events").filter("event_id % 40 = 0 OR event_type <> 'view'")
     buckets = e.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
-        F.when(F.col("event_type") == "click", "currentwindow").otherwise("afkstatus").alias("type"),
+        F.when((F.col("event_type") == "click") & (F.col("event_id") % 5 == 0), "currentwindow")
+        .otherwise("afkstatus").alias("type"),
     )
     return contract.users_without_activity_source(buckets)
 
@@ -834,3 +835,380 @@ def replace_one_hour(spark, d):
     at = F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")
     partial = hourly.filter(F.col("hour") == at).withColumn("event_count", F.lit(0).cast("bigint"))
     return jn.replace_hour(hourly, partial, ["user_id"], at)
+
+
+# --- allocations, scores, recourse --------------------------------------------------------
+
+from dayloom.functions.target_specs import COMPACT_TARGETS, TargetSpec  # noqa: E402
+from dayloom.operators import allocations as al  # noqa: E402
+from dayloom.operators import constraints as cs  # noqa: E402
+from dayloom.operators import recourse as rc  # noqa: E402
+from dayloom.operators import scoring as sc  # noqa: E402
+from dayloom.plans import runtime as rt  # noqa: E402
+from dayloom.vocab import ACTION_COLUMNS, ACTION_NAMES, ACTION_SOURCES, ACTIONABLE_COLUMNS, HISTORY_COLUMNS, RUNTIME_COLUMNS  # noqa: E402
+
+# part-keyed allocations: 14 minute columns that stay within the hour, in whole quarters
+_MINUTES = {t: f"(l_orderkey * {i + 3} + l_linenumber * {7 * i + 1}) % 17 / 4.0" for i, t in enumerate(TIME_COLUMNS)}
+_ALLOC = f"""
+al0 AS (SELECT l_orderkey, l_linenumber, {', '.join(f'{e} AS {t}' for t, e in _MINUTES.items())} FROM lineitem),
+al AS (SELECT *, {', '.join(' + '.join(src) + f' AS {a}' for a, src in ACTION_SOURCES.items())} FROM al0)"""
+
+
+def _minutes_table(spark, d):
+    """One row per order line with 14 minute columns (at most 56 minutes together)."""
+    return fx.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", *[F.expr(e).cast("double").alias(t) for t, e in _MINUTES.items()]
+    )
+
+
+_LINE = ["l_orderkey", "l_linenumber"]
+
+
+@query("action_allocations", f"""WITH {_ALLOC} SELECT l_orderkey, l_linenumber, {', '.join(f'CAST({a} AS DOUBLE) AS {a}' for a in ACTION_COLUMNS)} FROM al""")
+def action_allocations(spark, d):
+    return al.action_allocations(_minutes_table(spark, d)).select(*_LINE, *ACTION_COLUMNS)
+
+
+@query("validate_allocation", f"""WITH {_ALLOC} SELECT l_orderkey, l_linenumber,
+  CASE WHEN action_minutes_media - 2 < -1e-9 THEN 'negative' WHEN {' + '.join(ACTION_COLUMNS)} - 2 + 20 > 60.0001 THEN 'exceeds the window' END AS problem FROM al""")
+def validate_allocation(spark, d):
+    table = al.action_allocations(_minutes_table(spark, d)).withColumns(
+        {"action_minutes_media": F.col("action_minutes_media") - 2, "action_minutes_other": F.col("action_minutes_other") + 20}
+    )
+    return table.select(*_LINE, al.allocation_problem().alias("problem"))
+
+
+_SWAPS = f"""
+sw AS (
+  SELECT al.*, p.d, p.r, p.d * 7 + p.r AS swap_no,
+    list_extract([{', '.join(f"'{a}'" for a in ACTION_COLUMNS)}], p.d + 1) AS donor, list_extract([{', '.join(f"'{a}'" for a in ACTION_COLUMNS)}], p.r + 1) AS receiver
+  FROM al, (SELECT a.d, b.r FROM (SELECT unnest(range(7)) AS d) a, (SELECT unnest(range(7)) AS r) b WHERE a.d <> b.r) p
+  WHERE list_extract([{', '.join(ACTION_COLUMNS)}], p.d + 1) >= 5.0)"""
+_MOVED = {a: f"{a} + CASE WHEN d = {i} THEN -5 WHEN r = {i} THEN 5 ELSE 0 END" for i, a in enumerate(ACTION_COLUMNS)}
+_WEIGHTS = {
+    "action_minutes_development": 0.011, "action_minutes_writing": 0.007, "action_minutes_research": 0.009,
+    "action_minutes_communication": -0.003, "action_minutes_media": -0.006,
+    "action_minutes_personal_distraction": -0.012, "action_minutes_other": -0.001,
+}
+
+
+def _linear_sql(weights: dict[str, float], intercept: float, columns: dict[str, str]) -> str:
+    return f"({intercept!r} + " + " + ".join(f"({columns[c]}) * ({w!r})" for c, w in weights.items()) + ")"
+
+
+@query("swap_scenarios", f"""WITH {_ALLOC}, {_SWAPS} SELECT l_orderkey, l_linenumber, CAST(swap_no AS INTEGER) AS swap_no, donor, receiver, {', '.join(f'CAST({e} AS DOUBLE) AS {a}' for a, e in _MOVED.items())} FROM sw""")
+def swap_scenarios(spark, d):
+    return al.swap_scenarios(al.action_allocations(_minutes_table(spark, d)).select(*_LINE, *ACTION_COLUMNS))
+
+
+QUERIES["swap_cross_join"], ORACLES["swap_cross_join"] = QUERIES["swap_scenarios"], ORACLES["swap_scenarios"]
+
+
+@query("best_swap", f"""WITH {_ALLOC}, {_SWAPS},
+scored AS (SELECT *, round({_linear_sql(_WEIGHTS, 0.3, _MOVED)}, 9) AS score FROM sw)
+SELECT l_orderkey, l_linenumber, donor, receiver, {q_rnd('score', 'score')} FROM scored
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, swap_no) = 1""")
+def best_swap(spark, d):
+    table = al.action_allocations(_minutes_table(spark, d)).select(*_LINE, *ACTION_COLUMNS)
+    scored = sc.add_score(al.swap_scenarios(table), sc.linear_scorer(_WEIGHTS, 0.3), "score")
+    best = F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("swap_no")).alias("rank"), "donor", "receiver"))
+    return scored.groupBy(*_LINE).agg(best.alias("b")).select(*_LINE, "b.donor", "b.receiver", rnd("score", F.col("b.score")))
+
+
+@query("allocation_changes", f"""WITH {_ALLOC}, {_SWAPS},
+ch AS ({' UNION ALL '.join(f"SELECT l_orderkey, l_linenumber, swap_no, '{n}' AS category, {a} AS b, {_MOVED[a]} AS a FROM sw WHERE d = {i} OR r = {i}" for i, (a, n) in enumerate(zip(ACTION_COLUMNS, ACTION_NAMES)))})
+SELECT l_orderkey, l_linenumber, CAST(swap_no AS INTEGER) AS swap_no, category, CAST(b AS DOUBLE) AS baseline_minutes, CAST(a AS DOUBLE) AS counterfactual_minutes, CAST(a - b AS DOUBLE) AS delta_minutes FROM ch""")
+def allocation_changes(spark, d):
+    table = al.action_allocations(_minutes_table(spark, d))
+    before = [f"before_{i}" for i in range(7)]
+    kept = table.select(*_LINE, *ACTION_COLUMNS, *[F.col(a).alias(b) for a, b in zip(ACTION_COLUMNS, before)])
+    moved = al.swap_scenarios(kept)
+    return moved.select(*_LINE, "swap_no", F.inline(al.allocation_changes(before, ACTION_COLUMNS)))
+
+
+@query("check_time_budget", f"""WITH {_ALLOC} SELECT l_orderkey, l_linenumber, (time_media - 2 >= -0.0001 AND {' + '.join(ACTIONABLE_COLUMNS)} <= 60 - 35 + 0.0001) AS ok FROM al""")
+def check_time_budget(spark, d):
+    table = _minutes_table(spark, d).withColumn("minutes_afk", F.lit(35.0))
+    ok = cs.time_budget_ok(table, {"time_media": F.lit(-2.0), "time_writing": F.lit(2.0)})
+    return table.select(*_LINE, ok.alias("ok"))
+
+
+@query("validate_counterfactual", f"""WITH {_ALLOC} SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_orderkey % 5 = 0 THEN 'immutable feature modified: sleep_hours' WHEN l_linenumber = 2 THEN 'not zero-sum'
+       WHEN time_media - 3 < -0.0001 THEN 'negative minutes: time_media' END AS violation FROM al""")
+def validate_counterfactual(spark, d):
+    original = _minutes_table(spark, d).withColumn("sleep_hours", F.lit(8.0))
+    modified = original.withColumns(
+        {
+            "time_media": F.col("time_media") - 3,
+            "time_writing": F.col("time_writing") + F.when(F.col("l_linenumber") == 2, 4).otherwise(3),
+            "sleep_hours": F.when(F.col("l_orderkey") % 5 == 0, 7.0).otherwise(8.0),
+        }
+    )
+    return cs.validate_counterfactual(original, modified, _LINE)
+
+
+@query("first_crossing", """
+SELECT o_orderkey, CAST(CASE WHEN o_totalprice % 100 >= 50 THEN 0 WHEN o_totalprice % 1000 >= 500 THEN 1 WHEN o_totalprice % 10 >= 5 THEN 2 END AS INTEGER) AS step FROM orders""")
+def first_crossing(spark, d):
+    path = F.array(F.expr("o_totalprice % 100 / 100"), F.expr("o_totalprice % 1000 / 1000"), F.expr("o_totalprice % 10 / 10"))
+    return fx.table(spark, d, "orders").select("o_orderkey", rc.first_crossing(path, 0.5).cast("int").alias("step"))
+
+
+def _recommend_sql() -> str:
+    """The greedy rounds unrolled: with linear weights the best swap is found per round."""
+    rounds = []
+    cur = [f"c{i}" for i in range(7)]
+    rounds.append(
+        f"r0 AS (SELECT l_orderkey, l_linenumber, {', '.join(f'CAST({a} AS DOUBLE) AS {c}' for a, c in zip(ACTION_COLUMNS, cur))},"
+        f" {_linear_sql(_WEIGHTS, 0.2, {a: a for a in ACTION_COLUMNS})} AS p, 1 AS alive FROM al)"
+    )
+    for k in range(1, 13):
+        moved = {a: f"{c} + CASE WHEN d = {i} THEN -5 WHEN r = {i} THEN 5 ELSE 0 END" for i, (a, c) in enumerate(zip(ACTION_COLUMNS, cur))}
+        rounds.append(f"""
+s{k} AS (
+  SELECT x.l_orderkey, x.l_linenumber, p, {', '.join(f'{e} AS n{i}' for i, e in enumerate(moved.values()))}, {_linear_sql(_WEIGHTS, 0.2, moved)} AS score
+  FROM r{k - 1} x, (SELECT a.d, b.r FROM (SELECT unnest(range(7)) AS d) a, (SELECT unnest(range(7)) AS r) b WHERE a.d <> b.r) q
+  WHERE x.alive = 1 AND {'x.p < 0.5 AND ' if k == 1 else ''}list_extract([{', '.join(cur)}], q.d + 1) + 1e-12 >= 5
+  QUALIFY row_number() OVER (PARTITION BY x.l_orderkey, x.l_linenumber ORDER BY score DESC, q.d * 7 + q.r) = 1),
+r{k} AS (SELECT l_orderkey, l_linenumber, {', '.join(f'n{i} AS {c}' for i, c in enumerate(cur))}, score AS p, 1 AS alive FROM s{k} WHERE score > p + 1e-12)""")
+    union = " UNION ALL ".join(
+        f"SELECT l_orderkey, l_linenumber, {k} AS step, p, {', '.join(cur)} FROM r{k}" for k in range(13)
+    )
+    return f"""WITH {_ALLOC}, {', '.join(rounds)},
+path AS ({union}),
+base AS (SELECT l_orderkey, l_linenumber, p AS p0, {', '.join(f'{c} AS b{i}' for i, c in enumerate(cur))} FROM r0),
+cross_ AS (
+  SELECT l_orderkey, l_linenumber, min(step) FILTER (WHERE path.p - p0 >= 0.25 - 1e-12) AS great, min(step) FILTER (WHERE path.p - p0 >= 0.1 - 1e-12) AS slight
+  FROM path JOIN base USING (l_orderkey, l_linenumber) GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, {q_rnd('p0', 'baseline_probability_high')}, {q_rnd('path.p', 'projected_probability_high')},
+  CASE WHEN great IS NOT NULL THEN 'Greatly improve' WHEN slight IS NOT NULL THEN 'Improve slightly' ELSE 'Keep' END AS strength,
+  {', '.join(q_rnd(f'path.c{i} - b{i}', f'delta_{n}') for i, n in enumerate(ACTION_NAMES))}
+FROM base JOIN cross_ USING (l_orderkey, l_linenumber) JOIN path USING (l_orderkey, l_linenumber)
+WHERE path.step = coalesce(great, slight, 0)"""
+
+
+def _delta_of(name: str) -> Column:
+    hit = F.filter("changes", lambda c: c["category"] == name)
+    return F.coalesce(F.get(hit, F.lit(0))["delta_minutes"], F.lit(0.0))
+
+
+@query("recommend_changes", _recommend_sql())
+def recommend_changes(spark, d):
+    scorer = sc.linear_scorer(_WEIGHTS, 0.2)
+    table = al.action_allocations(_minutes_table(spark, d)).select(*_LINE, *ACTION_COLUMNS)
+    table = sc.add_score(table, scorer, "p0")
+    out = rc.recommend_changes(table, "p0", scorer, ACTION_COLUMNS, keep=_LINE)
+    return out.select(
+        *_LINE, rnd("baseline_probability_high"), rnd("projected_probability_high"), "strength",
+        *[rnd(f"delta_{n}", _delta_of(n)) for n in ACTION_NAMES],
+    )
+
+
+_LEGACY = {"time_development": 0.1, "time_writing": 0.07, "time_media": -0.03, "time_personal_distraction": -0.05}
+
+
+@query("reach_desired_score")
+def reach_desired_score(spark, d):
+    raw = sc.linear_scorer(_LEGACY, 1.0)
+    clipped = lambda c: F.least(F.greatest(raw(c), F.lit(0.0)), F.lit(6.0))
+    table = _minutes_table(spark, d).withColumn("time_media", F.col("time_media") * 3)
+    table = sc.add_score(table, clipped, "score").withColumn("goal", F.expr("l_linenumber % 4 + 0.5D"))
+    return rc.reach_desired_score(table, "score", "goal", clipped, features=TIME_COLUMNS, keep=_LINE).select(
+        *_LINE, "predicted_score", "desired_score", "projected_score", "success",
+        F.size("shifts").cast("bigint").alias("n_shifts"),
+        F.aggregate("shifts", F.lit(0.0), lambda a, s: a + F.abs(s["delta_minutes"])).alias("moved_minutes"),
+    )
+
+
+@query("global_standardize", """SELECT o_orderkey, round((o_totalprice - 250000.0) / 80000.0, 6) AS o_totalprice FROM orders""")
+def global_standardize(spark, d):
+    out = sc.global_standardize(fx.table(spark, d, "orders"), {"o_totalprice": 250000.0}, {"o_totalprice": 80000.0})
+    return out.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
+_USER_STATS_SQL = f"""
+WITH {sp.REPORTS}, st AS (SELECT user_id, avg(arousal) AS m, stddev_pop(arousal) AS s FROM reports GROUP BY user_id HAVING count(arousal) > 10 AND stddev_pop(arousal) > 0)
+SELECT seq, r.user_id, {q_rnd('(arousal - coalesce(m, 3.0)) / coalesce(s, 1.5)', 'arousal')} FROM reports r LEFT JOIN st USING (user_id)"""
+
+
+@query("per_user_standardize", _USER_STATS_SQL)
+def per_user_standardize(spark, d):
+    table = fx.self_reports(spark, d)
+    stats = table.groupBy("user_id").agg(
+        F.avg("arousal").alias("mean_arousal"), F.stddev_pop("arousal").alias("std_arousal"), F.count("arousal").alias("n")
+    ).filter("n > 10 AND std_arousal > 0").drop("n")
+    out = sc.per_user_standardize(table, ["arousal"], stats, {"arousal": 3.0}, {"arousal": 1.5})
+    return out.select("seq", "user_id", rnd("arousal"))
+
+
+QUERIES["user_stats_join"], ORACLES["user_stats_join"] = QUERIES["per_user_standardize"], ORACLES["per_user_standardize"]
+
+_SCORED = ["history__arousal__mean", "history__productivity__mean"]
+
+
+def _demo_models():
+    """Fixed linear weights over each target's own features (no fitted model is published)."""
+    out = {}
+    for spec in COMPACT_TARGETS:
+        weights = {f: round(0.02 * ((7 * i) % 5 - 2), 2) for i, f in enumerate(spec.features)}
+        metrics = {"validation_mse": 0.5, "test_mse": 0.6}
+        spec = TargetSpec(spec.target, spec.model_name, spec.prediction_frame, spec.gamma, spec.features, 3.0, spec.score_range, metrics)
+        out[spec.target] = (spec, sc.linear_scorer(weights, 0.0 if spec.prediction_frame == "personal_residual" else 3.0), weights)
+    return out
+
+
+def _score_sql(spec, weights, column) -> str:
+    """One target's score as SQL over a row of runtime features."""
+    value = "(" + ("0.0" if spec.prediction_frame == "personal_residual" else "3.0") + "".join(
+        f" + coalesce({column(f)}, 0.0) * ({w!r})" for f, w in weights.items()) + ")"
+    base = f"coalesce({column(history_column(spec.target, 'mean'))}, 3.0)"
+    if spec.prediction_frame == "personal_residual":
+        value = f"({value} + {base})"
+    if spec.gamma < 1:
+        value = f"({base} + {spec.gamma!r} * ({value} - {base}))"
+    return f"least(greatest({value}, 0.0), 6.0)"
+
+
+# history-only rows: activity features are constants there
+def _history_rows(spark, d):
+    table = hs.self_report_history(fx.self_reports(spark, d).drop("seq"))
+    activity = {c: F.expr(f"{i % 5}.5D") for i, c in enumerate(ACTIVITY_FEATURES)}
+    return table.select("user_id", "timestamp", *[v.alias(c) for c, v in activity.items()], *HISTORY_COLUMNS)
+
+
+_HROWS = f"""WITH {sp.REPORTS}, {', '.join(_ctes)}, hist AS (
+SELECT r.user_id, r."timestamp", {', '.join(f"CAST({i % 5}.5 AS DOUBLE) AS {c}" for i, c in enumerate(ACTIVITY_FEATURES))},
+{', '.join(c.replace('round(', '(').replace(', 10)', ')') for c in _cols)}, {', '.join(f'{v} AS {n}' for n, v in _CALENDAR_SQL.items())}
+FROM reports r {_joins})"""
+
+
+@query("score_target", f"""{_HROWS} SELECT user_id, "timestamp", {q_rnd(_score_sql(_demo_models()['productivity'][0], _demo_models()['productivity'][2], lambda c: c), 'productivity')} FROM hist""")
+def score_target(spark, d):
+    spec, scorer, _ = _demo_models()["productivity"]
+    return sc.score_target(_history_rows(spark, d), spec, scorer).select("user_id", "timestamp", rnd("productivity"))
+
+
+@query("score_all_targets", f"""{_HROWS} SELECT user_id, "timestamp", {', '.join(q_rnd(_score_sql(m[0], m[2], lambda c: c), f'score_{t}') for t, m in _demo_models().items())} FROM hist""")
+def score_all_targets(spark, d):
+    models = {t: m[:2] for t, m in _demo_models().items()}
+    return sc.score_all_targets(_history_rows(spark, d), models).select(
+        "user_id", "timestamp", *[rnd(f"score_{t}") for t in TARGETS]
+    )
+
+
+@query("probability_high", f"""WITH {_ALLOC} SELECT l_orderkey, l_linenumber, {q_rnd(_linear_sql(_WEIGHTS, 0.45, {a: a for a in ACTION_COLUMNS}), 'p')},
+  CASE WHEN {_linear_sql(_WEIGHTS, 0.45, {a: a for a in ACTION_COLUMNS})} >= 0.5 THEN 'high' ELSE 'not_high' END AS state FROM al""")
+def probability_high(spark, d):
+    table = al.action_allocations(_minutes_table(spark, d)).select(*_LINE, *ACTION_COLUMNS)
+    out = sc.probability_high(table, sc.linear_scorer(_WEIGHTS, 0.45), "p", ACTION_COLUMNS)
+    return out.select(*_LINE, sc.state_of(F.col("p")).alias("state"), rnd("p"))
+
+
+# --- J4-J6: whole runtime rows -----------------------------------------------------------------
+
+def _runtime(spark, d):
+    """Requests with input times as questionnaires and scored web events as reports."""
+    e = fx.interval_events(spark, d)
+    reports = e.filter("source_type = 'web'").groupBy("user_id", "timestamp").agg(
+        *[F.max(F.expr(f"CASE WHEN (k + {i}) % 5 <> 0 THEN (k * {i + 1}) % 7 END")).cast("double").alias(t) for i, t in enumerate(TARGETS)]
+    )
+    i = fx.input_events(spark, d)
+    tables = parse.EventTables(fx.window_events(spark, d), fx.web_events(spark, d), i)
+    return rt.runtime_features(tables, fx.requests(spark, d), i.select("user_id", "timestamp"), reports)
+
+
+_RUNTIME_PRIOR = """
+prior_times AS (SELECT DISTINCT user_id, s AS t FROM fx WHERE source_type IN ('input', 'web')),
+req AS (SELECT DISTINCT user_id, make_timestamp(t) AS "timestamp", t FROM (SELECT user_id, t FROM asked UNION SELECT user_id, t FROM prior_times))"""
+
+
+def _runtime_sql() -> str:
+    reports = f"""
+reports AS (
+  SELECT user_id, s AS t, {', '.join(f"max(CASE WHEN (k + {i}) % 5 <> 0 THEN (k * {i + 1}) % 7 END)::DOUBLE AS {x}" for i, x in enumerate(TARGETS))}
+  FROM fx WHERE source_type = 'web' GROUP BY ALL)"""
+    ctes, values = [], {}
+    for x in TARGETS:
+        ctes.append(f"""
+h_{x} AS (
+  SELECT user_id, t, count(*) AS n, arg_max(v, ts) AS last, avg(v) AS mean, stddev_pop(v) AS std, max(ts) AS last_ts, avg(v) FILTER (WHERE back <= 3) AS mean_3
+  FROM (SELECT a.user_id, a.t, y.t AS ts, y.{x} AS v, row_number() OVER (PARTITION BY a.user_id, a.t ORDER BY y.t DESC) AS back
+        FROM asked a JOIN reports y ON y.user_id = a.user_id AND y.t < a.t AND y.{x} IS NOT NULL)
+  GROUP BY ALL)""")
+        values |= {
+            history_column(x, "last"): f"h_{x}.last", history_column(x, "mean"): f"h_{x}.mean",
+            history_column(x, "mean_3"): f"h_{x}.mean_3",
+            history_column(x, "std"): f"CASE WHEN h_{x}.n > 1 THEN h_{x}.std ELSE 0 END",
+            history_column(x, "log_count"): f"ln(1.0 + coalesce(h_{x}.n, 0))",
+            history_column(x, "log_gap_hours"): f"ln(1.0 + (r.t - h_{x}.last_ts) / 3600000000.0)",
+            history_column(x, "last_minus_mean"): f"h_{x}.last - h_{x}.mean",
+        }
+    values |= _CALENDAR_SQL
+    joins = " ".join(f"LEFT JOIN h_{x} ON h_{x}.user_id = r.user_id AND h_{x}.t = r.t" for x in TARGETS)
+    return f"""{_production_sql(True, _RUNTIME_PRIOR)}, {reports}, {', '.join(ctes)},
+runtime AS (
+  SELECT r.user_id, r."timestamp", {', '.join(f'r.{c} AS {c}' for c in ACTIVITY_FEATURES)}, {', '.join(f'{values[c]} AS {c}' for c in HISTORY_COLUMNS)}
+  FROM production r {joins} WHERE r.total_active_minutes > 0)"""
+
+
+_RUNTIME_SQL = _runtime_sql()
+
+
+@query("runtime_features", f"""{_RUNTIME_SQL} SELECT user_id, "timestamp", {', '.join(q_rnd(c, c) for c in RUNTIME_COLUMNS[2:])} FROM runtime""")
+def runtime_features(spark, d):
+    return _runtime(spark, d).features.select("user_id", "timestamp", *[rnd(c) for c in RUNTIME_COLUMNS[2:]])
+
+
+_MODELS_SQL = {t: _score_sql(m[0], m[2], lambda c: c) for t, m in _demo_models().items()}
+
+
+def _report_rows(reports):
+    return reports.select(
+        F.col("participant_id"), "prediction_timestamp", "model_version", F.inline("predictions")
+    ).select("participant_id", "prediction_timestamp", "model_version", "target", "title", rnd("prediction"), "model")
+
+
+_REPORT_ROWS = " UNION ALL ".join(
+    f"""SELECT user_id AS participant_id, "timestamp" AS prediction_timestamp, 'compact_aw_v2' AS model_version, '{t}' AS target,
+    '{sc.TARGET_TITLES[t]}' AS title, {q_rnd(_MODELS_SQL[t], 'prediction')}, '{m[0].model_name}' AS model FROM {{table}}"""
+    for t, m in _demo_models().items()
+)
+
+
+@query("prediction_report", f"{_HROWS} {_REPORT_ROWS.format(table='hist')}")
+def prediction_report(spark, d):
+    models = {t: m[:2] for t, m in _demo_models().items()}
+    return _report_rows(rt.score_requests(_history_rows(spark, d), models))
+
+
+@query("score_requests", f"{_RUNTIME_SQL} {_REPORT_ROWS.format(table='runtime')}")
+def score_requests(spark, d):
+    models = {t: m[:2] for t, m in _demo_models().items()}
+    return _report_rows(rt.score_requests(_runtime(spark, d).features, models))
+
+
+_HIGH = {**_WEIGHTS, "history__productivity__mean": 0.02}
+
+
+@query("recommend")
+def recommend(spark, d):
+    models = {t: (sc.linear_scorer(_HIGH, 0.15 + 0.01 * i), list(_HIGH)) for i, t in enumerate(TARGETS)}
+    out = rt.recommend(_runtime(spark, d).features, models, "productivity", "demo")
+    return out.select(
+        "user_id", "timestamp", "snapshot_id", "target", rnd("baseline_probability_high"),
+        rnd("projected_probability_high"), "strength", *[rnd(f"delta_{n}", _delta_of(n)) for n in ACTION_NAMES],
+    )
+
+
+@query("snapshot")
+def snapshot(spark, d):
+    models = {t: (sc.linear_scorer(_HIGH, 0.15 + 0.01 * i), list(_HIGH)) for i, t in enumerate(TARGETS)}
+    out = rc.snapshots(_history_rows(spark, d).fillna(0.0), models, "demo")
+    return out.select("user_id", "timestamp", "snapshot_id", *[rnd(f"p_{t}") for t in TARGETS], *[f"state_{t}" for t in TARGETS])
+
+
+@query("content_hash")
+def content_hash(spark, d):
+    table = fx.self_reports(spark, d)
+    return table.select("seq", sc.content_hash(table, "demo", ["user_id", "timestamp", *TARGETS]).alias("content_hash"))

@@ -181,126 +181,105 @@ def self_report_history(
 ) -> DataFrame:
     """E7 + E8: statistics over earlier reports only, per target.
 
-    Rows of other sources get features but never feed them. Moments are shifted sums
-    that merge over periods; a constant history has a deviation of exactly zero.
+    Rows of other sources get features but never feed them. Works on one narrow row
+    per (report, target), grouped by (user, target, period); earlier periods arrive as
+    one summary row each. Moments are shifted sums that merge over periods, so a
+    constant history has a deviation of exactly zero.
     (user_id, timestamp) must be unique, see :func:`duplicate_reports`.
     """
     names = targets or TARGETS
-    time, keys = "_us", ["user_id", "_period"]
-    rows = table.withColumn(time, to_us("timestamp")).withColumn(
-        "_period", floor_div(F.col(time), period_us)
-    )
-    fed = F.col(source_column).eqNullSafe(F.lit(history_source))
-    for t in names:
-        v = finite_or_null(F.col(t).cast("double"))
-        rows = rows.withColumn(f"_v_{t}", F.when(fed, v))
-    moment = lambda t: F.struct(F.col(time).alias("t"), F.col(f"_v_{t}").alias("v"))
-    for t in names:
-        rows = rows.withColumn(f"_x_{t}", F.when(F.col(f"_v_{t}").isNotNull(), moment(t)))
+    values = ", ".join(f"'{t}', double({t})" for t in names)
+    long = table.select(
+        "user_id", "timestamp", to_us("timestamp").alias("us"),
+        F.expr(f"{source_column} <=> '{history_source}'").alias("fed"),
+        F.expr(f"stack({len(names)}, {values}) AS (target, given)"),
+    ).select(
+        "user_id", "timestamp", "us", "target",
+        floor_div(F.col("us"), period_us).alias("period"),
+        F.expr("CASE WHEN fed AND NOT isnan(given) THEN given END").alias("v"),
+    ).withColumn("item", F.expr("CASE WHEN v IS NOT NULL THEN struct(us AS t, v AS v) END"))
+
+    group = "PARTITION BY user_id, target, period ORDER BY us"
+    past = f"OVER ({group} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    every = f"OVER ({group} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     # squared sums are taken around the first value of the period, so they stay small
-    inside, group = (
-        Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, end)
-        for end in (-1, Window.unboundedFollowing)
-    )
-    rows = rows.select(
-        "*", *[F.first(f"_v_{t}", ignorenulls=True).over(group).alias(f"_k_{t}") for t in names]
+    rows = long.withColumn("k", F.expr(f"first(v) IGNORE NULLS {every}"))
+    read = rows.select(
+        "user_id", "timestamp", "us", "target", "period", "k",
+        F.expr(f"count(v) {past}").alias("n"),
+        F.expr(f"coalesce(sum(v - k) {past}, 0D)").alias("s"),
+        F.expr(f"coalesce(sum((v - k) * (v - k)) {past}, 0D)").alias("q"),
+        F.expr(
+            "filter(array(" + ", ".join(f"lag(item, {i}) IGNORE NULLS OVER ({group})" for i in (3, 2, 1))
+            + "), x -> x IS NOT NULL)"
+        ).alias("recent"),
     )
-    off = lambda t: F.col(f"_v_{t}") - F.col(f"_k_{t}")
-    spec = f"over (partition by user_id, _period order by {time})"
-    local = []
-    for t in names:
-        local += [
-            F.count(f"_v_{t}").over(inside).alias(f"_n_{t}"),
-            F.coalesce(F.sum(off(t)).over(inside), F.lit(0.0)).alias(f"_s_{t}"),
-            F.coalesce(F.sum(off(t) * off(t)).over(inside), F.lit(0.0)).alias(f"_q_{t}"),
-            F.filter(
-                F.array(*[F.expr(f"lag(_x_{t}, {i}) ignore nulls {spec}") for i in (3, 2, 1)]),
-                lambda x: x.isNotNull(),
-            ).alias(f"_r_{t}"),
-        ]
-    read = rows.select("*", *local)
-
-    # one row per (user, period): moments and the last three values of each target
-    newest = f"over (partition by user_id, _period order by {time} desc)"
-    ranked = rows.select(
-        *keys,
-        *[f"_x_{t}" for t in names], *[f"_k_{t}" for t in names],
-        *[off(t).alias(f"_o_{t}") for t in names],
-        *[F.expr(f"count(_x_{t}) {newest}").alias(f"_rank_{t}") for t in names],
+    newest = "OVER (PARTITION BY user_id, target, period ORDER BY us DESC)"
+    periods = (
+        rows.select("user_id", "target", "period", "k", "v", "item", F.expr(f"count(v) {newest}").alias("rank"))
+        .groupBy("user_id", "target", "period")
+        .agg(
+            F.first("k", ignorenulls=True).alias("k"),
+            F.count("v").alias("n"),
+            F.expr("coalesce(sum(v - k), 0D)").alias("s"),
+            F.expr("coalesce(sum((v - k) * (v - k)), 0D)").alias("q"),
+            F.expr("sort_array(collect_list(CASE WHEN rank <= 3 THEN item END))").alias("last3"),
+        )
     )
-    aggs = []
-    for t in names:
-        aggs += [
-            F.first(f"_k_{t}", ignorenulls=True).alias(f"_k_{t}"),
-            F.count(f"_o_{t}").alias(f"_n_{t}"),
-            F.coalesce(F.sum(f"_o_{t}"), F.lit(0.0)).alias(f"_s_{t}"),
-            F.coalesce(F.sum(F.col(f"_o_{t}") * F.col(f"_o_{t}")), F.lit(0.0)).alias(f"_q_{t}"),
-            F.sort_array(
-                F.collect_list(F.when(F.col(f"_rank_{t}") <= 3, F.col(f"_x_{t}")))
-            ).alias(f"_l_{t}"),
-        ]
-    periods = ranked.groupBy(*keys).agg(*aggs)
-    by_user = Window.partitionBy("user_id").orderBy("_period")
-    every = by_user.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    earlier = by_user.rowsBetween(Window.unboundedPreceding, -1)
-    periods = periods.select(
-        "*",
-        *[F.first(f"_k_{t}", ignorenulls=True).over(every).alias(f"_g_{t}") for t in names],
-        *[F.when(F.size(f"_l_{t}") > 0, F.col(f"_l_{t}")).alias(f"_has_{t}") for t in names],
+    by_user = "PARTITION BY user_id, target ORDER BY period"
+    whole = f"OVER ({by_user} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    earlier = f"OVER ({by_user} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    shift = "coalesce(k - g, 0D)"
+    moved_s, moved_q = f"s + n * {shift}", f"q + 2D * {shift} * s + n * {shift} * {shift}"
+    lags = ", ".join(
+        f"coalesce(lag(has, {i}) IGNORE NULLS OVER ({by_user}), array())" for i in (3, 2, 1)
     )
-    moved = lambda t: _shifted(
-        F.col(f"_n_{t}"), F.col(f"_s_{t}"), F.col(f"_q_{t}"),
-        F.coalesce(F.col(f"_k_{t}") - F.col(f"_g_{t}"), F.lit(0.0)),
+    carried = (
+        periods.select(
+            "*", F.expr(f"first(k) IGNORE NULLS {whole}").alias("g"),
+            F.expr("CASE WHEN size(last3) > 0 THEN last3 END").alias("has"),
+        )
+        .select("user_id", "target", "period", "g", "n", "has", F.expr(moved_s).alias("s"), F.expr(moved_q).alias("q"))
+        .select(
+            "user_id", "target", "period", "g",
+            *[F.expr(f"coalesce(sum({m}) {earlier}, {z})").alias(f"c{m}") for m, z in (("n", "0L"), ("s", "0D"), ("q", "0D"))],
+            F.expr(f"concat({lags})").alias("before"),
+        )
     )
-    periods = periods.select(
-        "*", *[v.alias(f"_{m}g_{t}") for t in names for m, v in zip("sq", moved(t))]
+    full = (
+        read.join(carried, ["user_id", "target", "period"], "left")
+        .select(
+            "user_id", "timestamp", "us", "target", "g",
+            F.expr("n + cn").alias("n"),
+            F.expr(f"{moved_s} + cs").alias("s"),
+            F.expr(f"{moved_q} + cq").alias("q"),
+            F.expr("slice(reverse(concat(before, recent)), 1, 3)").alias("recent"),
+        )
+        .select(
+            "*", F.expr("get(recent, 0)").alias("newest"),
+            F.expr("g + s / nullif(n, 0)").alias("mean"), F.expr("nullif(n, 0)").alias("c"),
+        )
     )
-    none = F.array().cast("array<struct<t:bigint,v:double>>")
-    carry = []
-    for t in names:
-        lags = [
-            F.expr(f"lag(_has_{t}, {i}) ignore nulls over (partition by user_id order by _period)")
-            for i in (3, 2, 1)
-        ]
-        carry += [
-            F.col(f"_g_{t}"),
-            F.coalesce(F.sum(f"_n_{t}").over(earlier), F.lit(0)).alias(f"_cn_{t}"),
-            F.coalesce(F.sum(f"_sg_{t}").over(earlier), F.lit(0.0)).alias(f"_cs_{t}"),
-            F.coalesce(F.sum(f"_qg_{t}").over(earlier), F.lit(0.0)).alias(f"_cq_{t}"),
-            F.concat(*[F.coalesce(x, none) for x in lags]).alias(f"_cr_{t}"),
+    stats = {
+        "last": "newest.v",
+        "mean": "mean",
+        "mean_3": "aggregate(reverse(recent), 0D, (a, x) -> a + x.v) / nullif(size(recent), 0)",
+        "std": "CASE WHEN n > 1 THEN sqrt(greatest((q - s * s / c) / c, 0D)) ELSE 0D END",
+        "log_count": "log1p(double(n))",
+        "log_gap_hours": f"CASE WHEN n > 0 THEN log1p(greatest((us - newest.t) / {60.0 * MINUTE_US!r}D, 0D)) END",
+        "last_minus_mean": "newest.v - mean",
+    }
+    stat = full.select("user_id", "timestamp", "target", *[F.expr(e).alias(n) for n, e in stats.items()])
+    wide = stat.groupBy("user_id", "timestamp").agg(
+        *[
+            F.expr(f"max(CASE WHEN target = '{t}' THEN {n} END)").alias(history_column(t, n))
+            for t in names for n in stats
         ]
-    full = read.join(periods.select(*keys, *carry), keys, "left")
-
-    out = []
-    for t in names:
-        s, q = _shifted(
-            F.col(f"_n_{t}"), F.col(f"_s_{t}"), F.col(f"_q_{t}"),
-            F.coalesce(F.col(f"_k_{t}") - F.col(f"_g_{t}"), F.lit(0.0)),
-        )
-        n, s, q = F.col(f"_n_{t}") + F.col(f"_cn_{t}"), s + F.col(f"_cs_{t}"), q + F.col(f"_cq_{t}")
-        some = n > 0
-        count = F.nullif(n, F.lit(0))
-        recent = F.slice(F.reverse(F.concat(f"_cr_{t}", f"_r_{t}")), 1, 3)
-        newest_item = F.get(recent, F.lit(0))
-        mean = F.col(f"_g_{t}") + s / count
-        total3 = F.aggregate(F.reverse(recent), F.lit(0.0), lambda a, x: a + x["v"])
-        gap = (F.col(time) - newest_item["t"]) / float(60 * MINUTE_US)
-        values = {
-            "last": newest_item["v"],
-            "mean": F.when(some, mean),
-            "mean_3": F.when(some, total3 / F.nullif(F.size(recent), F.lit(0))),
-            "std": F.when(n > 1, F.sqrt(F.greatest((q - s * s / count) / count, F.lit(0.0)))).otherwise(0.0),
-            "log_count": F.log1p(n.cast("double")),
-            "log_gap_hours": F.when(some, F.log1p(F.greatest(gap, F.lit(0.0)))),
-            "last_minus_mean": F.when(some, newest_item["v"] - mean),
-        }
-        out += [v.alias(history_column(t, name)) for name, v in values.items()]
-    return full.select(*table.columns, *out, *calendar_cycle())
-
-
-def _shifted(n: Column, s: Column, q: Column, d: Column) -> tuple[Column, Column]:
-    """Sum and squared sum around ``k - d`` from those around ``k``."""
-    return s + n * d, q + 2.0 * d * s + n * d * d
+    )
+    return (
+        table.join(wide, ["user_id", "timestamp"], "left")
+        .select(*table.columns, *[history_column(t, n) for t in names for n in stats], *calendar_cycle())
+    )
 
 
 def history_only(history: DataFrame, targets: list[str] | None = None) -> DataFrame:

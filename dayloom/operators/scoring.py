@@ -20,11 +20,12 @@ TableScorer = Callable[[DataFrame, str], DataFrame]
 def linear_scorer(weights: Mapping[str, float], intercept: float = 0.0) -> ColumnScorer:
     """Weighted sum of features; a missing feature counts as 0."""
 
+    factors = F.expr("array(" + ", ".join(f"{float(w)!r}D" for w in weights.values()) + ")")
+
     def score(columns: Mapping[str, Column]) -> Column:
-        out = F.lit(float(intercept))
-        for name, weight in weights.items():
-            out = out + F.coalesce(columns[name].cast("double"), F.lit(0.0)) * F.lit(float(weight))
-        return out
+        values = F.array(*[columns[name] for name in weights])
+        products = F.zip_with(values, factors, lambda v, w: F.coalesce(v, F.lit(0.0)) * w)
+        return F.aggregate(products, F.lit(float(intercept)), lambda total, v: total + v)
 
     return score
 

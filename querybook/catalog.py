@@ -599,7 +599,7 @@ def window_rows(spark, d):
 
 
 @query("web_rows", f"""WITH {_RAW} SELECT {_BASE_SQL}, domain, {_WEB_CATEGORY} AS category,
-  'high' AS category_confidence, '' AS category_rule, url, title, CAST(NULL AS BOOLEAN) AS audible,
+  'high' AS category_confidence, '' AS category_rule, url, title, k % 4 = 1 AS audible,
   CAST(CASE WHEN k % 2 = 0 THEN k % 8 ELSE k % 5 END AS INTEGER) AS tab_count, seq FROM parsed WHERE stream = 'web'""")
 def web_rows(spark, d):
     return parse.parse_events(fx.raw_tracker_events(spark, d)).web
@@ -652,7 +652,7 @@ SELECT page_id, CASE page_id % 5 WHEN 3 THEN 'about' ELSE regexp_replace(regexp_
 def normalize_domain(spark, d):
     bare = F.regexp_replace("url", "^[a-z]+://", "")
     url = (
-        F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("HTTPS://user:pw@WWW."), bare))
+        F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("HTTPS://user:pw@WWW."), F.regexp_replace(bare, r"^www\.", "")))
         .when(F.col("page_id") % 5 == 2, bare)
         .when(F.col("page_id") % 5 == 3, F.lit("about:blank"))
         .when(F.col("page_id") % 5 == 4, F.regexp_replace("url", r"^([a-z]+://[^/]*)", "$1.:bad"))
@@ -847,29 +847,29 @@ from dayloom.operators import scoring as sc  # noqa: E402
 from dayloom.plans import runtime as rt  # noqa: E402
 from dayloom.vocab import ACTION_COLUMNS, ACTION_NAMES, ACTION_SOURCES, ACTIONABLE_COLUMNS, HISTORY_COLUMNS, RUNTIME_COLUMNS  # noqa: E402
 
-# part-keyed allocations: 14 minute columns that stay within the hour, in whole quarters
-_MINUTES = {t: f"(l_orderkey * {i + 3} + l_linenumber * {7 * i + 1}) % 17 / 4.0" for i, t in enumerate(TIME_COLUMNS)}
+# order-keyed allocations: 14 minute columns that stay within the hour, in whole quarters
+_MINUTES = {t: f"(o_orderkey * {i + 3} + o_custkey * {7 * i + 1}) % 17 / 4.0" for i, t in enumerate(TIME_COLUMNS)}
 _ALLOC = f"""
-al0 AS (SELECT l_orderkey, l_linenumber, {', '.join(f'{e} AS {t}' for t, e in _MINUTES.items())} FROM lineitem),
+al0 AS (SELECT o_orderkey, o_custkey, {', '.join(f'{e} AS {t}' for t, e in _MINUTES.items())} FROM orders),
 al AS (SELECT *, {', '.join(' + '.join(src) + f' AS {a}' for a, src in ACTION_SOURCES.items())} FROM al0)"""
 
 
 def _minutes_table(spark, d):
-    """One row per order line with 14 minute columns (at most 56 minutes together)."""
-    return fx.table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", *[F.expr(e).cast("double").alias(t) for t, e in _MINUTES.items()]
+    """One row per order with 14 minute columns (at most 56 minutes together)."""
+    return fx.table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", *[F.expr(e).cast("double").alias(t) for t, e in _MINUTES.items()]
     )
 
 
-_LINE = ["l_orderkey", "l_linenumber"]
+_LINE = ["o_orderkey"]
 
 
-@query("action_allocations", f"""WITH {_ALLOC} SELECT l_orderkey, l_linenumber, {', '.join(f'CAST({a} AS DOUBLE) AS {a}' for a in ACTION_COLUMNS)} FROM al""")
+@query("action_allocations", f"""WITH {_ALLOC} SELECT o_orderkey, {', '.join(f'CAST({a} AS DOUBLE) AS {a}' for a in ACTION_COLUMNS)} FROM al""")
 def action_allocations(spark, d):
     return al.action_allocations(_minutes_table(spark, d)).select(*_LINE, *ACTION_COLUMNS)
 
 
-@query("validate_allocation", f"""WITH {_ALLOC} SELECT l_orderkey, l_linenumber,
+@query("validate_allocation", f"""WITH {_ALLOC} SELECT o_orderkey,
   CASE WHEN action_minutes_media - 2 < -1e-9 THEN 'negative' WHEN {' + '.join(ACTION_COLUMNS)} - 2 + 20 > 60.0001 THEN 'exceeds the window' END AS problem FROM al""")
 def validate_allocation(spark, d):
     table = al.action_allocations(_minutes_table(spark, d)).withColumns(
@@ -896,7 +896,7 @@ def _linear_sql(weights: dict[str, float], intercept: float, columns: dict[str,
     return f"({intercept!r} + " + " + ".join(f"({columns[c]}) * ({w!r})" for c, w in weights.items()) + ")"
 
 
-@query("swap_scenarios", f"""WITH {_ALLOC}, {_SWAPS} SELECT l_orderkey, l_linenumber, CAST(swap_no AS INTEGER) AS swap_no, donor, receiver, {', '.join(f'CAST({e} AS DOUBLE) AS {a}' for a, e in _MOVED.items())} FROM sw""")
+@query("swap_scenarios", f"""WITH {_ALLOC}, {_SWAPS} SELECT o_orderkey, CAST(swap_no AS INTEGER) AS swap_no, donor, receiver, {', '.join(f'CAST({e} AS DOUBLE) AS {a}' for a, e in _MOVED.items())} FROM sw""")
 def swap_scenarios(spark, d):
     return al.swap_scenarios(al.action_allocations(_minutes_table(spark, d)).select(*_LINE, *ACTION_COLUMNS))
 
@@ -906,8 +906,8 @@ QUERIES["swap_cross_join"], ORACLES["swap_cross_join"] = QUERIES["swap_scenarios
 
 @query("best_swap", f"""WITH {_ALLOC}, {_SWAPS},
 scored AS (SELECT *, round({_linear_sql(_WEIGHTS, 0.3, _MOVED)}, 9) AS score FROM sw)
-SELECT l_orderkey, l_linenumber, donor, receiver, {q_rnd('score', 'score')} FROM scored
-QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, swap_no) = 1""")
+SELECT o_orderkey, donor, receiver, {q_rnd('score', 'score')} FROM scored
+QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, swap_no) = 1""")
 def best_swap(spark, d):
     table = al.action_allocations(_minutes_table(spark, d)).select(*_LINE, *ACTION_COLUMNS)
     scored = sc.add_score(al.swap_scenarios(table), sc.linear_scorer(_WEIGHTS, 0.3), "score")
@@ -916,8 +916,8 @@ def best_swap(spark, d):
 
 
 @query("allocation_changes", f"""WITH {_ALLOC}, {_SWAPS},
-ch AS ({' UNION ALL '.join(f"SELECT l_orderkey, l_linenumber, swap_no, '{n}' AS category, {a} AS b, {_MOVED[a]} AS a FROM sw WHERE d = {i} OR r = {i}" for i, (a, n) in enumerate(zip(ACTION_COLUMNS, ACTION_NAMES)))})
-SELECT l_orderkey, l_linenumber, CAST(swap_no AS INTEGER) AS swap_no, category, CAST(b AS DOUBLE) AS baseline_minutes, CAST(a AS DOUBLE) AS counterfactual_minutes, CAST(a - b AS DOUBLE) AS delta_minutes FROM ch""")
+ch AS ({' UNION ALL '.join(f"SELECT o_orderkey, swap_no, '{n}' AS category, {a} AS b, {_MOVED[a]} AS a FROM sw WHERE d = {i} OR r = {i}" for i, (a, n) in enumerate(zip(ACTION_COLUMNS, ACTION_NAMES)))})
+SELECT o_orderkey, CAST(swap_no AS INTEGER) AS swap_no, category, CAST(b AS DOUBLE) AS baseline_minutes, CAST(a AS DOUBLE) AS counterfactual_minutes, CAST(a - b AS DOUBLE) AS delta_minutes FROM ch""")
 def allocation_changes(spark, d):
     table = al.action_allocations(_minutes_table(spark, d))
     before = [f"before_{i}" for i in range(7)]
@@ -926,33 +926,33 @@ def allocation_changes(spark, d):
     return moved.select(*_LINE, "swap_no", F.inline(al.allocation_changes(before, ACTION_COLUMNS)))
 
 
-@query("check_time_budget", f"""WITH {_ALLOC} SELECT l_orderkey, l_linenumber, (time_media - 2 >= -0.0001 AND {' + '.join(ACTIONABLE_COLUMNS)} <= 60 - 35 + 0.0001) AS ok FROM al""")
+@query("check_time_budget", f"""WITH {_ALLOC} SELECT o_orderkey, (time_media - 2 >= -0.0001 AND {' + '.join(ACTIONABLE_COLUMNS)} <= 60 - 35 + 0.0001) AS ok FROM al""")
 def check_time_budget(spark, d):
     table = _minutes_table(spark, d).withColumn("minutes_afk", F.lit(35.0))
     ok = cs.time_budget_ok(table, {"time_media": F.lit(-2.0), "time_writing": F.lit(2.0)})
     return table.select(*_LINE, ok.alias("ok"))
 
 
-@query("validate_counterfactual", f"""WITH {_ALLOC} SELECT l_orderkey, l_linenumber,
-  CASE WHEN l_orderkey % 5 = 0 THEN 'immutable feature modified: sleep_hours' WHEN l_linenumber = 2 THEN 'not zero-sum'
+@query("validate_counterfactual", f"""WITH {_ALLOC} SELECT o_orderkey,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'immutable feature modified: sleep_hours' WHEN o_custkey % 3 = 2 THEN 'not zero-sum'
        WHEN time_media - 3 < -0.0001 THEN 'negative minutes: time_media' END AS violation FROM al""")
 def validate_counterfactual(spark, d):
     original = _minutes_table(spark, d).withColumn("sleep_hours", F.lit(8.0))
     modified = original.withColumns(
         {
             "time_media": F.col("time_media") - 3,
-            "time_writing": F.col("time_writing") + F.when(F.col("l_linenumber") == 2, 4).otherwise(3),
-            "sleep_hours": F.when(F.col("l_orderkey") % 5 == 0, 7.0).otherwise(8.0),
+            "time_writing": F.col("time_writing") + F.when(F.col("o_custkey") % 3 == 2, 4).otherwise(3),
+            "sleep_hours": F.when(F.col("o_orderkey") % 5 == 0, 7.0).otherwise(8.0),
         }
     )
     return cs.validate_counterfactual(original, modified, _LINE)
 
 
 @query("first_crossing", """
-SELECT o_orderkey, CAST(CASE WHEN o_totalprice % 100 >= 50 THEN 0 WHEN o_totalprice % 1000 >= 500 THEN 1 WHEN o_totalprice % 10 >= 5 THEN 2 END AS INTEGER) AS step FROM orders""")
+SELECT o_orderkey, CAST(CASE WHEN o_totalprice % 100 >= 50 THEN 0 WHEN o_totalprice % 1000 >= 500 THEN 1 WHEN o_totalprice % 10 >= 5 THEN 2 ELSE -1 END AS INTEGER) AS step FROM orders""")
 def first_crossing(spark, d):
     path = F.array(F.expr("o_totalprice % 100 / 100"), F.expr("o_totalprice % 1000 / 1000"), F.expr("o_totalprice % 10 / 10"))
-    return fx.table(spark, d, "orders").select("o_orderkey", rc.first_crossing(path, 0.5).cast("int").alias("step"))
+    return fx.table(spark, d, "orders").select("o_orderkey", F.coalesce(rc.first_crossing(path, 0.5), F.lit(-1)).cast("int").alias("step"))
 
 
 def _recommend_sql() -> str:
@@ -960,31 +960,31 @@ def _recommend_sql() -> str:
     rounds = []
     cur = [f"c{i}" for i in range(7)]
     rounds.append(
-        f"r0 AS (SELECT l_orderkey, l_linenumber, {', '.join(f'CAST({a} AS DOUBLE) AS {c}' for a, c in zip(ACTION_COLUMNS, cur))},"
+        f"r0 AS (SELECT o_orderkey, {', '.join(f'CAST({a} AS DOUBLE) AS {c}' for a, c in zip(ACTION_COLUMNS, cur))},"
         f" {_linear_sql(_WEIGHTS, 0.2, {a: a for a in ACTION_COLUMNS})} AS p, 1 AS alive FROM al)"
     )
     for k in range(1, 13):
         moved = {a: f"{c} + CASE WHEN d = {i} THEN -5 WHEN r = {i} THEN 5 ELSE 0 END" for i, (a, c) in enumerate(zip(ACTION_COLUMNS, cur))}
         rounds.append(f"""
 s{k} AS (
-  SELECT x.l_orderkey, x.l_linenumber, p, {', '.join(f'{e} AS n{i}' for i, e in enumerate(moved.values()))}, {_linear_sql(_WEIGHTS, 0.2, moved)} AS score
+  SELECT x.o_orderkey, p, {', '.join(f'{e} AS n{i}' for i, e in enumerate(moved.values()))}, {_linear_sql(_WEIGHTS, 0.2, moved)} AS score
   FROM r{k - 1} x, (SELECT a.d, b.r FROM (SELECT unnest(range(7)) AS d) a, (SELECT unnest(range(7)) AS r) b WHERE a.d <> b.r) q
   WHERE x.alive = 1 AND {'x.p < 0.5 AND ' if k == 1 else ''}list_extract([{', '.join(cur)}], q.d + 1) + 1e-12 >= 5
-  QUALIFY row_number() OVER (PARTITION BY x.l_orderkey, x.l_linenumber ORDER BY score DESC, q.d * 7 + q.r) = 1),
-r{k} AS (SELECT l_orderkey, l_linenumber, {', '.join(f'n{i} AS {c}' for i, c in enumerate(cur))}, score AS p, 1 AS alive FROM s{k} WHERE score > p + 1e-12)""")
+  QUALIFY row_number() OVER (PARTITION BY x.o_orderkey ORDER BY score DESC, q.d * 7 + q.r) = 1),
+r{k} AS (SELECT o_orderkey, {', '.join(f'n{i} AS {c}' for i, c in enumerate(cur))}, score AS p, 1 AS alive FROM s{k} WHERE score > p + 1e-12)""")
     union = " UNION ALL ".join(
-        f"SELECT l_orderkey, l_linenumber, {k} AS step, p, {', '.join(cur)} FROM r{k}" for k in range(13)
+        f"SELECT o_orderkey, {k} AS step, p, {', '.join(cur)} FROM r{k}" for k in range(13)
     )
     return f"""WITH {_ALLOC}, {', '.join(rounds)},
 path AS ({union}),
-base AS (SELECT l_orderkey, l_linenumber, p AS p0, {', '.join(f'{c} AS b{i}' for i, c in enumerate(cur))} FROM r0),
+base AS (SELECT o_orderkey, p AS p0, {', '.join(f'{c} AS b{i}' for i, c in enumerate(cur))} FROM r0),
 cross_ AS (
-  SELECT l_orderkey, l_linenumber, min(step) FILTER (WHERE path.p - p0 >= 0.25 - 1e-12) AS great, min(step) FILTER (WHERE path.p - p0 >= 0.1 - 1e-12) AS slight
-  FROM path JOIN base USING (l_orderkey, l_linenumber) GROUP BY ALL)
-SELECT l_orderkey, l_linenumber, {q_rnd('p0', 'baseline_probability_high')}, {q_rnd('path.p', 'projected_probability_high')},
+  SELECT o_orderkey, min(step) FILTER (WHERE path.p - p0 >= 0.25 - 1e-12) AS great, min(step) FILTER (WHERE path.p - p0 >= 0.1 - 1e-12) AS slight
+  FROM path JOIN base USING (o_orderkey) GROUP BY ALL)
+SELECT o_orderkey, {q_rnd('p0', 'baseline_probability_high')}, {q_rnd('path.p', 'projected_probability_high')},
   CASE WHEN great IS NOT NULL THEN 'Greatly improve' WHEN slight IS NOT NULL THEN 'Improve slightly' ELSE 'Keep' END AS strength,
   {', '.join(q_rnd(f'path.c{i} - b{i}', f'delta_{n}') for i, n in enumerate(ACTION_NAMES))}
-FROM base JOIN cross_ USING (l_orderkey, l_linenumber) JOIN path USING (l_orderkey, l_linenumber)
+FROM base JOIN cross_ USING (o_orderkey) JOIN path USING (o_orderkey)
 WHERE path.step = coalesce(great, slight, 0)"""
 
 
@@ -1013,7 +1013,7 @@ def reach_desired_score(spark, d):
     raw = sc.linear_scorer(_LEGACY, 1.0)
     clipped = lambda c: F.least(F.greatest(raw(c), F.lit(0.0)), F.lit(6.0))
     table = _minutes_table(spark, d).withColumn("time_media", F.col("time_media") * 3)
-    table = sc.add_score(table, clipped, "score").withColumn("goal", F.expr("l_linenumber % 4 + 0.5D"))
+    table = sc.add_score(table, clipped, "score", TIME_COLUMNS).withColumn("goal", F.expr("o_custkey % 4 + 0.5D"))
     return rc.reach_desired_score(table, "score", "goal", clipped, features=TIME_COLUMNS, keep=_LINE).select(
         *_LINE, "predicted_score", "desired_score", "projected_score", "success",
         F.size("shifts").cast("bigint").alias("n_shifts"),
@@ -1021,10 +1021,10 @@ def reach_desired_score(spark, d):
     )
 
 
-@query("global_standardize", """SELECT o_orderkey, round((o_totalprice - 250000.0) / 80000.0, 6) AS o_totalprice FROM orders""")
+@query("global_standardize", """SELECT o_orderkey, round((o_totalprice - 250000.0) / 80000.0, 10) AS o_totalprice FROM orders""")
 def global_standardize(spark, d):
     out = sc.global_standardize(fx.table(spark, d, "orders"), {"o_totalprice": 250000.0}, {"o_totalprice": 80000.0})
-    return out.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+    return out.select("o_orderkey", F.round("o_totalprice", 10).alias("o_totalprice"))
 
 
 _USER_STATS_SQL = f"""
@@ -1097,7 +1097,7 @@ def score_all_targets(spark, d):
     )
 
 
-@query("probability_high", f"""WITH {_ALLOC} SELECT l_orderkey, l_linenumber, {q_rnd(_linear_sql(_WEIGHTS, 0.45, {a: a for a in ACTION_COLUMNS}), 'p')},
+@query("probability_high", f"""WITH {_ALLOC} SELECT o_orderkey, {q_rnd(_linear_sql(_WEIGHTS, 0.45, {a: a for a in ACTION_COLUMNS}), 'p')},
   CASE WHEN {_linear_sql(_WEIGHTS, 0.45, {a: a for a in ACTION_COLUMNS})} >= 0.5 THEN 'high' ELSE 'not_high' END AS state FROM al""")
 def probability_high(spark, d):
     table = al.action_allocations(_minutes_table(spark, d)).select(*_LINE, *ACTION_COLUMNS)
@@ -1188,12 +1188,13 @@ def score_requests(spark, d):
     return _report_rows(rt.score_requests(_runtime(spark, d).features, models))
 
 
-_HIGH = {**_WEIGHTS, "history__productivity__mean": 0.02}
+# half weights keep the linear probability inside 0..1 for every allocation
+_HIGH = {**{a: w / 2 for a, w in _WEIGHTS.items()}, "history__productivity__mean": 0.02}
 
 
 @query("recommend")
 def recommend(spark, d):
-    models = {t: (sc.linear_scorer(_HIGH, 0.15 + 0.01 * i), list(_HIGH)) for i, t in enumerate(TARGETS)}
+    models = {t: (sc.linear_scorer(_HIGH, 0.38 + 0.01 * i), list(_HIGH)) for i, t in enumerate(TARGETS)}
     out = rt.recommend(_runtime(spark, d).features, models, "productivity", "demo")
     return out.select(
         "user_id", "timestamp", "snapshot_id", "target", rnd("baseline_probability_high"),
@@ -1203,7 +1204,7 @@ def recommend(spark, d):
 
 @query("snapshot")
 def snapshot(spark, d):
-    models = {t: (sc.linear_scorer(_HIGH, 0.15 + 0.01 * i), list(_HIGH)) for i, t in enumerate(TARGETS)}
+    models = {t: (sc.linear_scorer(_HIGH, 0.38 + 0.01 * i), list(_HIGH)) for i, t in enumerate(TARGETS)}
     out = rc.snapshots(_history_rows(spark, d).fillna(0.0), models, "demo")
     return out.select("user_id", "timestamp", "snapshot_id", *[rnd(f"p_{t}") for t in TARGETS], *[f"state_{t}" for t in TARGETS])
 

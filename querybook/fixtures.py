@@ -131,7 +131,7 @@ def raw_tracker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             k.cast("string").alias("presses"), (k % 5).alias("clicks"),
             (k % 3 * 3).alias("deltaX"), (k % 3 * 4).alias("deltaY"),
             (k % 4 - 2).alias("scrollX"), (-(k % 6)).alias("scrollY"),
-            F.when(k % 2 == 0, k % 8).alias("tabCount"), (k % 5).alias("tab_count"),
+            F.when(k % 2 == 0, k % 8).alias("tabCount"), (k % 5).alias("tab_count"), (k % 4 == 1).alias("audible"),
         )
     )
     base = e.select(

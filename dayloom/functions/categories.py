@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dayloom.functions.text import category_slug, normalize_text
+from dayloom.functions.text import category_slug, let, normalize_text
 from dayloom.vocab import TAXONOMY_CATEGORY
 
 
@@ -78,14 +78,18 @@ DEFAULT_RULES = (
 def categorize(parts: list[Column], rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
     """H5: category of the text ``parts`` joined by line breaks.
 
-    Rules are tried deepest first, so the first hit ends the search.
+    Rules are tried deepest first, so the first hit ends the search; the cleaned text
+    is made once for all of them.
     """
     text = F.concat_ws("\n", *[normalize_text(p) for p in parts])
     ordered = sorted(
         (r for r in rules if r.pattern), key=lambda r: -len(r.path)
     )
-    hits = [F.when(text.rlike(r.java_pattern), F.lit(r.category)) for r in ordered]
-    return F.coalesce(*hits, F.lit(TAXONOMY_CATEGORY["uncategorized"]))
+    other = F.lit(TAXONOMY_CATEGORY["uncategorized"])
+    return let(
+        text,
+        lambda t: F.coalesce(*[F.when(t.rlike(r.java_pattern), F.lit(r.category)) for r in ordered], other),
+    )
 
 
 def categorize_window(app: Column, title: Column, url: Column, rules=DEFAULT_RULES) -> Column:

@@ -30,39 +30,47 @@ def text_key(value: Column) -> Column:
     return F.lower(normalize_text(value))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` as often as needed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_domain(value: Column) -> Column:
     """H3: host of a URL or bare domain, without port, user, dots at the end or ``www.``.
 
     A malformed port still gives its host; unbalanced or non-IPv6 brackets give ''.
     """
-    text = text_key(value)
-    candidate = F.when(text.contains("://"), text).otherwise(F.concat(F.lit("//"), text))
-    netloc = F.regexp_extract(candidate, r"^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#]*)", 1)
-    host_port = F.regexp_extract(netloc, r"([^@]*)$", 1)
-    opened, closed = netloc.contains("["), netloc.contains("]")
-    inside = F.regexp_extract(host_port, r"\[([^\]]*)\]", 1)
-    host = (
-        F.when(opened != closed, F.lit(""))
-        .when(
-            opened,
-            F.when(inside.rlike(r"^([0-9a-f:.]*:[0-9a-f:.]*(%.+)?|v[0-9a-f]+\..+)$"), inside).otherwise(""),
+
+    def from_netloc(text: Column):
+        def domain_of(netloc: Column) -> Column:
+            host_port = F.regexp_extract(netloc, r"([^@]*)$", 1)
+            opened, closed = netloc.contains("["), netloc.contains("]")
+            inside = F.regexp_extract(host_port, r"\[([^\]]*)\]", 1)
+            address = inside.rlike(r"^([0-9a-f:.]*:[0-9a-f:.]*(%.+)?|v[0-9a-f]+\..+)$")
+            host = F.when(opened, F.when(address, inside).otherwise("")).otherwise(
+                F.regexp_extract(host_port, r"^([^:]*)", 1)
+            )
+            domain = F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", "")
+            local = F.when(
+                text.startswith("localhost") | text.startswith("127."),
+                F.regexp_extract(text, r"^([^:/]*)", 1),
+            ).otherwise("")
+            found = let(domain, lambda d: F.when(d != "", d).otherwise(local))
+            return F.when(opened != closed, F.lit("")).otherwise(found)
+
+        return domain_of
+
+    def from_text(text: Column) -> Column:
+        candidate = F.when(text.contains("://"), text).otherwise(F.concat(F.lit("//"), text))
+        netloc = F.regexp_extract(candidate, r"^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#]*)", 1)
+        internal = F.regexp_extract(text, r"^(about|chrome|chrome-extension):", 1)
+        return (
+            F.when(text == "", F.lit(""))
+            .when(internal != "", internal)
+            .otherwise(let(netloc, from_netloc(text)))
         )
-        .otherwise(F.regexp_extract(host_port, r"^([^:]*)", 1))
-    )
-    domain = F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", "")
-    bad = (opened != closed)
-    local = F.when(
-        text.startswith("localhost") | text.startswith("127."),
-        F.regexp_extract(text, r"^([^:/]*)", 1),
-    ).otherwise("")
-    internal = F.regexp_extract(text, r"^(about|chrome|chrome-extension):", 1)
-    return (
-        F.when(text == "", F.lit(""))
-        .when(internal != "", internal)
-        .when(bad, F.lit(""))
-        .when(domain != "", domain)
-        .otherwise(local)
-    )
+
+    return let(text_key(value), from_text)
 
 
 def category_slug(path: list[str]) -> str:

@@ -188,7 +188,8 @@ def self_report_history(
     (user_id, timestamp) must be unique, see :func:`duplicate_reports`.
     """
     names = targets or TARGETS
-    values = ", ".join(f"'{t}', double({t})" for t in names)
+    # the target number, not its name, travels through the shuffles
+    values = ", ".join(f"{i}, double({t})" for i, t in enumerate(names))
     long = table.select(
         "user_id", "timestamp", to_us("timestamp").alias("us"),
         F.expr(f"{source_column} <=> '{history_source}'").alias("fed"),
@@ -270,15 +271,14 @@ def self_report_history(
         "last_minus_mean": "newest.v - mean",
     }
     stat = full.select("user_id", "timestamp", "target", *[F.expr(e).alias(n) for n, e in stats.items()])
+    # every report has exactly one row per target, so the list is indexed by target number
     wide = stat.groupBy("user_id", "timestamp").agg(
-        *[
-            F.expr(f"max(CASE WHEN target = '{t}' THEN {n} END)").alias(history_column(t, n))
-            for t in names for n in stats
-        ]
+        F.expr(f"array_sort(collect_list(struct(target, {', '.join(stats)})))").alias("_stats")
     )
-    return (
-        table.join(wide, ["user_id", "timestamp"], "left")
-        .select(*table.columns, *[history_column(t, n) for t in names for n in stats], *calendar_cycle())
+    return table.join(wide, ["user_id", "timestamp"], "left").select(
+        *table.columns,
+        *[F.expr(f"_stats[{i}].{n}").alias(history_column(t, n)) for i, t in enumerate(names) for n in stats],
+        *calendar_cycle(),
     )
 
 

@@ -64,7 +64,7 @@ def malformed_events(raw: DataFrame) -> DataFrame:
     key = data_key(F.col("data"))
     problem = F.coalesce(
         F.when(blank, F.lit("blank user_id")),
-        F.when(key.isNull() | ~key.startswith("{"), F.lit("data is not an object")),
+        F.when(key.isNull() | ~F.ltrim("data").startswith("{"), F.lit("data is not an object")),
         F.when(normalize_timestamp("timestamp").isNull(), F.lit("invalid timestamp")),
     )
     kept = raw.filter(stream_of(F.col("type")).isNotNull()).filter(
@@ -87,9 +87,15 @@ def dedupe_heartbeats(raw: DataFrame) -> DataFrame:
         .withColumn("user_id", strip(F.col("user_id")))
         .withColumn("hostname", hostname_of(F.col("hostname"), F.col("bucket_data")))
         .filter(F.col("source_type").isNotNull() & valid_duration(F.col("duration_seconds")))
-        .filter((F.col("timestamp") != "") & (F.col("user_id") != "") & F.col("data_key").startswith("{"))
+        .filter((F.col("timestamp") != "") & (F.col("user_id") != ""))
+        .filter(F.col("data").isNull() | F.ltrim("data").startswith("{"))
         .groupBy("user_id", "bucket", "hostname", "source_type", "timestamp", "data_key")
-        .agg(F.max("duration_seconds").alias("duration_seconds"), F.min("seq").alias("seq"))
+        .agg(
+            F.max("duration_seconds").alias("duration_seconds"), F.min("seq").alias("seq"),
+            F.count("data_key").alias("_parsed"),
+        )
+        # checked on the aggregate: a filter on the key would parse every text twice
+        .filter("_parsed > 0").drop("_parsed")
     )
 
 

@@ -81,35 +81,35 @@ def hourly_behavior(window: DataFrame | None, web: DataFrame | None) -> DataFram
     )
 
 
-def _doubles(values) -> str:
-    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+def _with_nearest(table: DataFrame, values: list[str], model: StateModel) -> DataFrame:
+    """Add ``best``: struct (d, i) of the nearest centre; the lowest id wins ties.
 
-
-def _nearest(vector: str, model: StateModel) -> Column:
-    """Struct (d, i) of the nearest centre; the lowest id wins ties."""
-    centers = ", ".join(_doubles(c) for c in model.centers)
-    scaled = (
-        f"zip_with(zip_with({vector}, {_doubles(model.mean)}, (v, m) -> coalesce(v, 0D) - m), "
-        f"{_doubles(model.scale)}, (v, s) -> v / s)"
-    )
-    return F.expr(
-        f"array_min(transform(array({centers}), (c, i) -> struct(sqrt(aggregate("
-        f"zip_with({scaled}, c, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v)) AS d, i AS i)))"
-    )
+    Flat arithmetic in two projections, so it stays inside generated code.
+    """
+    scaled = [
+        F.expr(f"(coalesce({v}, 0D) - {float(m)!r}D) / {float(s)!r}D").alias(f"_z{i}")
+        for i, (v, m, s) in enumerate(zip(values, model.mean, model.scale))
+    ]
+    distances = []
+    for k, center in enumerate(model.centers):
+        terms = [f"(_z{i} - {float(c)!r}D) * (_z{i} - {float(c)!r}D)" for i, c in enumerate(center)]
+        distances.append(f"struct(sqrt({' + '.join(terms)}) AS d, {k} AS i)")
+    best = F.expr(f"array_min(array({', '.join(distances)}))").alias("best")
+    return table.select("*", *scaled).select(*table.columns, best)
 
 
 def assign_state(table: DataFrame, model: StateModel = DEFAULT_STATE_MODEL) -> DataFrame:
     """Add ``state`` and ``state_distance_min``; missing features count as 0."""
-    vector = "array(" + ", ".join(f"double({f})" for f in model.features) + ")"
-    best = table.withColumn("_best", _nearest(vector, model))
+    best = _with_nearest(table, [f"double({f})" for f in model.features], model)
     return best.select(
-        *table.columns, F.col("_best.i").alias("state"), F.col("_best.d").alias("state_distance_min")
+        *table.columns, F.col("best.i").alias("state"), F.col("best.d").alias("state_distance_min")
     )
 
 
 def _labelled(totals: DataFrame, keep: list[str], model: StateModel) -> DataFrame:
     """Active hours only, as (keep..., state, state_distance_min)."""
-    table = hour_vector(totals, keep).filter("x[0] > 0").withColumn("best", _nearest("x", model))
+    table = hour_vector(totals, keep).filter("x[0] > 0")
+    table = _with_nearest(table, [f"x[{i}]" for i in range(len(model.features))], model)
     return table.select(*keep, F.col("best.i").alias("state"), F.col("best.d").alias("state_distance_min"))
 
 

@@ -764,11 +764,11 @@ def numeric_features(spark, d):
 
 
 @query("divide_or_zero", """
-SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity - 10 > 0 THEN l_extendedprice / (l_quantity - 10) ELSE 0 END, 6) AS ratio FROM lineitem""")
+SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity - 10 > 0 THEN l_extendedprice / (l_quantity - 10) ELSE 0 END, 9) AS ratio FROM lineitem""")
 def divide_or_zero_query(spark, d):
     return fx.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber",
-        F.round(divide_or_zero(F.col("l_extendedprice"), F.col("l_quantity") - 10), 6).alias("ratio"),
+        F.round(divide_or_zero(F.col("l_extendedprice"), F.col("l_quantity") - 10), 9).alias("ratio"),
     )
 
 
@@ -1008,7 +1008,43 @@ def recommend_changes(spark, d):
 _LEGACY = {"time_development": 0.1, "time_writing": 0.07, "time_media": -0.03, "time_personal_distraction": -0.05}
 
 
-@query("reach_desired_score")
+def _reach_sql() -> str:
+    """The desired-score search unrolled; scores carry the sign of the direction."""
+    from dayloom.vocab import DONOR_ORDER, RECEIVER_ORDER
+
+    cur = [f"c{i}" for i in range(7)]
+    base = {c: f"b{i}" for i, c in enumerate(DONOR_ORDER)}
+    pairs = [(DONOR_ORDER.index(a), DONOR_ORDER.index(b)) for a in DONOR_ORDER for b in RECEIVER_ORDER if a != b]
+    values = ", ".join(f"({no}, {a}, {b})" for no, (a, b) in enumerate(pairs))
+    clip = lambda columns: f"least(greatest({_linear_sql(_LEGACY, 1.0, columns)}, 0.0), 6.0)"
+    kept = "o_orderkey, s0, goal, sg, " + ", ".join(base.values())
+    steps = [f"""
+o0 AS (SELECT o_orderkey, {', '.join(f"CAST({'time_media * 3' if c == 'time_media' else c} AS DOUBLE) AS {b}" for c, b in base.items())}, CAST(o_custkey % 4 + 0.5 AS DOUBLE) AS goal FROM al0),
+o1 AS (SELECT *, {clip(base)} AS s0 FROM o0),
+o2 AS (SELECT *, CASE WHEN goal > s0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg FROM o1),
+r0 AS (SELECT {kept}, {', '.join(f'{b} AS {c}' for b, c in zip(base.values(), cur))}, sg * s0 AS score,
+  CASE WHEN goal <> s0 AND {' + '.join(base.values())} <= 60.0001 THEN 1 ELSE 0 END AS alive FROM o2),
+pr AS (SELECT * FROM (VALUES {values}) v(no, d, r))"""]
+    for k in range(1, 13):
+        moved = {c: f"{a} + CASE WHEN d = {i} THEN -5 WHEN r = {i} THEN 5 ELSE 0 END" for i, (c, a) in enumerate(zip(DONOR_ORDER, cur))}
+        steps.append(f"""
+s{k} AS (
+  SELECT {kept}, score AS before, {', '.join(f'{e} AS n{i}' for i, e in enumerate(moved.values()))}, sg * {clip(moved)} AS new_score
+  FROM r{k - 1}, pr WHERE alive = 1 AND list_extract([{', '.join(base.values())}], d + 1) >= 5 AND list_extract([{', '.join(cur)}], d + 1) >= 5
+  QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY new_score DESC, no) = 1),
+r{k} AS (SELECT {kept}, {', '.join(f'n{i} AS {c}' for i, c in enumerate(cur))}, new_score AS score, CASE WHEN new_score < sg * goal THEN 1 ELSE 0 END AS alive
+  FROM s{k} WHERE new_score > before)""")
+    union = " UNION ALL ".join(f"SELECT {k} AS step, * FROM r{k}" for k in range(13))
+    moved_by = [f"abs({c} - {b})" for c, b in zip(cur, base.values())]
+    return f"""WITH {_ALLOC}, {', '.join(steps)}, path AS ({union}),
+final AS (SELECT * FROM path QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY step DESC) = 1)
+SELECT o_orderkey, round(s0, 4) AS predicted_score, round(goal, 4) AS desired_score, round(s0 + (sg * score - s0) * 1.0, 4) AS projected_score,
+  goal = s0 OR sg * (s0 + (sg * score - s0) * 1.0) >= sg * goal AS success,
+  CAST({' + '.join(f'CASE WHEN {m} > 0.0001 THEN 1 ELSE 0 END' for m in moved_by)} AS BIGINT) AS n_shifts,
+  {' + '.join(moved_by)} AS moved_minutes FROM final"""
+
+
+@query("reach_desired_score", _reach_sql())
 def reach_desired_score(spark, d):
     raw = sc.linear_scorer(_LEGACY, 1.0)
     clipped = lambda c: F.least(F.greatest(raw(c), F.lit(0.0)), F.lit(6.0))
@@ -1213,3 +1249,46 @@ def snapshot(spark, d):
 def content_hash(spark, d):
     table = fx.self_reports(spark, d)
     return table.select("seq", sc.content_hash(table, "demo", ["user_id", "timestamp", *TARGETS]).alias("content_hash"))
+
+
+# --- the same operators under their own names, and single columns of wider ones ---------------
+
+from dayloom.vocab import feature_sets as _feature_sets  # noqa: E402
+
+for _alias, _same in {
+    "nearest_state": "assign_state", "context_ratios": "context_features",
+    "slice_event_join": "resolve_overlaps", "finalize": "window_rows",
+}.items():
+    QUERIES[_alias], ORACLES[_alias] = QUERIES[_same], ORACLES[_same]
+
+
+def _state_subset(spark, d, columns):
+    w, web, _, r = _tables(spark, d)
+    return st.behavior_states(w, web, r).select("user_id", "timestamp", *[rnd(c) for c in columns])
+
+
+def _subset_sql(columns):
+    return f"""SELECT user_id, "timestamp", {', '.join(columns)} FROM ({_STATES_ORACLE})"""
+
+
+_INTERVAL = [c for c in st.state_columns() if c.startswith("prior7d")]
+_TRANSITIONS = [c for c in st.state_columns() if c.endswith("transition_count")]
+for _name, _cols in {"state_interval": _INTERVAL, "state_transitions": _TRANSITIONS}.items():
+    query(_name, _subset_sql(_cols))(lambda spark, d, cols=_cols: _state_subset(spark, d, cols))
+
+
+@query("hourly_counts_join", f"""
+WITH {sp.FX}, {sp.HOUR_PIECES}
+SELECT user_id, make_timestamp(h * {HOUR_US}) AS hour, CAST(count(*) AS DOUBLE) AS event_count FROM pieces GROUP BY ALL""")
+def hourly_counts_join(spark, d):
+    w, web, _, _ = _tables(spark, d)
+    return st.hourly_behavior(w, web).select("user_id", "hour", "event_count")
+
+
+_SET = _feature_sets("arousal")["history_vector_aw25"]
+
+
+@query("feature_sets", f"""{_HROWS} SELECT user_id, "timestamp", {', '.join(q_rnd(c, c) for c in _SET)} FROM hist""")
+def feature_sets(spark, d):
+    table = contract.project_contract(_history_rows(spark, d), ["user_id", "timestamp", *_SET])
+    return table.select("user_id", "timestamp", *[rnd(c) for c in _SET])

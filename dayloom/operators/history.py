@@ -33,32 +33,21 @@ def last_k_before(
     name: str,
     tie: list[str] | None = None,
     period_us: int = DAY_US,
-    strict_time: bool = False,
 ) -> DataFrame:
     """Add ``name``: the last ``k`` eligible values of the same user before each row.
 
-    Oldest first. Rows are ordered by ``time`` then ``tie``; with ``strict_time``
-    equal times do not see each other. ``value`` must not be NULL when eligible.
+    Oldest first. Rows are ordered by ``time`` then ``tie``. ``value`` must not be
+    NULL when eligible.
     """
     keys, order = ["user_id", "_period"], [time, *(tie or [])]
     rows = table.withColumn("_period", floor_div(F.col(time), period_us)).withColumn(
         "_item", F.when(eligible, F.struct(F.col(time).alias("t"), value.alias("v")))
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
     spec = "partition by user_id, _period order by " + ", ".join(order)
-    if strict_time:
-        # equal times never see each other: read the state before the first of them
-        steps = [f"_lag{i}" for i in range(1, k + 1)]
-        for i, c in enumerate(steps, 1):
-            rows = rows.withColumn(c, F.expr(f"lag(_item, {i}) ignore nulls over ({spec})"))
-        first = Window.partitionBy(*keys, time).orderBy(*(tie or [time]))
-        rows = rows.withColumn("_recent", F.first(F.array(*[F.col(c) for c in reversed(steps)])).over(first))
-        rows = rows.drop(*steps)
-    else:
-        rows = rows.withColumn(
-            "_recent",
-            F.array(*[F.expr(f"lag(_item, {i}) ignore nulls over ({spec})") for i in range(k, 0, -1)]),
-        )
+    rows = rows.withColumn(
+        "_recent",
+        F.array(*[F.expr(f"lag(_item, {i}) ignore nulls over ({spec})") for i in range(k, 0, -1)]),
+    )
     rows = rows.withColumn("_recent", F.filter("_recent", lambda x: x.isNotNull()))
     # per period: its last k items (a bounded array), then carried over later periods
     newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])

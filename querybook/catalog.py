@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,6 @@ from dayloom.operators.timeline import activity_union
 from dayloom.plans.production import production_features
 from dayloom.vocab import (
     ACTIVITY_FEATURES,
-    CATEGORIES,
     STATE_CATEGORIES,
     STATE_FEATURES,
     TIME_COLUMNS,
@@ -493,7 +491,6 @@ from dayloom.functions.categories import DEFAULT_RULES, categorize_web, categori
 from dayloom.functions.numbers import coerce_number, divide_or_zero  # noqa: E402
 from dayloom.functions.times import normalize_timestamp  # noqa: E402
 from dayloom.operators import parse  # noqa: E402
-from dayloom.vocab import BUCKET_STREAMS, TAXONOMY_CATEGORY  # noqa: E402
 
 _RAW = """
 base AS (
@@ -1080,9 +1077,6 @@ def per_user_standardize(spark, d):
 
 QUERIES["user_stats_join"], ORACLES["user_stats_join"] = QUERIES["per_user_standardize"], ORACLES["per_user_standardize"]
 
-_SCORED = ["history__arousal__mean", "history__productivity__mean"]
-
-
 def _demo_models():
     """Fixed linear weights over each target's own features (no fitted model is published)."""
     out = {}

@@ -17,9 +17,9 @@ from dayloom.operators.parse import EventTables
 from dayloom.operators.questionnaires import composite_targets, validate_answers
 from dayloom.plans import runtime as rt
 from dayloom.vocab import (
-    ACTION_COLUMNS, ACTION_NAMES, ANSWER_RANGES, HISTORY_COLUMNS, RUNTIME_COLUMNS, TARGETS, TIME_COLUMNS, feature_sets,
+    ACTION_COLUMNS, ACTION_NAMES, ANSWER_RANGES, HISTORY_COLUMNS, RUNTIME_COLUMNS, TARGETS, feature_sets,
 )
-from tests.helpers import EVENT, INPUT, REQUEST, at, golden
+from tests.helpers import REQUEST, at, golden
 
 
 def test_targets_and_answer_ranges(spark):

@@ -17,7 +17,7 @@ from dayloom.operators.contract import normalize_requests, prepare_events
 from dayloom.operators.history import duplicate_reports, self_report_history
 from dayloom.operators.parse import EventTables, parse_events
 from dayloom.operators.recourse import recommend_changes, snapshots
-from dayloom.operators.scoring import prediction_report, score_all_targets
+from dayloom.operators.scoring import prediction_report, salted_lookup, score_all_targets
 from dayloom.plans.production import production_readings
 from dayloom.vocab import HISTORY_COLUMNS, HISTORY_SOURCE, RUNTIME_COLUMNS, TARGETS
 
@@ -83,7 +83,7 @@ def runtime_features(
     reason = idle
     if reports is not None:
         twice = duplicate_reports(reports).groupBy("user_id").agg(F.min("timestamp").alias("_twice"))
-        rows = rows.join(twice, "user_id", "left")
+        rows = salted_lookup(rows, twice, "user_id", ["timestamp"])
         reason = F.coalesce(
             idle, F.when(F.col("_twice") < F.col("timestamp"), F.lit("self-reports need unique times"))
         )

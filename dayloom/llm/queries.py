@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import quality
+from dayloom.llm import quality, urls, warc
 from dayloom.llm.common import table
 
 QUERIES = {}
@@ -58,3 +58,57 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"), result="quality")
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return out.select("doc_id", *[F.col(f"quality.{f}").alias(f) for f in fields])
+
+
+_BLOCKED = "|".join(
+    f"({p})" for p in (
+        r"[/.]casino(-[a-z]+)?[./]", r"[/.](free|best)-bets[./]", r"[/.]cheap-pills[./]",
+        r"[/.]pills-(online|shop)[./]", r"[/.]adult-[a-z]+[./]", r"[/.]ads-track[./]", r"[/.]spam-farm[./]",
+        r"[/.]poker(-[a-z]+)?[./]", r"[/.]xxx(-[a-z]+)?[./]", r"[/.]porn(-[a-z]+)?[./]", r"[/.]warez[./]",
+        r"/affiliate/.*[?&]click=",
+    )
+)
+
+
+@query("op5_url_filters", rf"""
+WITH p AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/'
+  END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(lower(url), '{_BLOCKED}') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM r""")
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, winning host rule and verdict of every page."""
+    return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {1 + 5 * (k // 4)}, 5) AS BIGINT) >> {15 - 5 * (k % 4)}) & 31)::INT, 1)"
+    for k in range(32)
+)
+
+
+@query("op6_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM f""")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back through the index."""
+    index = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import quality, urls, warc
+from dayloom.llm import quality, tokens, urls, warc
 from dayloom.llm.common import table
 
 QUERIES = {}
@@ -112,3 +113,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back through the index."""
     index = warc.write_warc(table(spark, sf_dir, "pages"))
     return warc.read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_token_output")
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum as read back from the token files."""
+    index = tokens.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokens.read_tokens(index).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import quality, tokens, urls, warc
+from dayloom.llm import mixing, quality, tokens, urls, warc
 from dayloom.llm.common import table
 
 QUERIES = {}
@@ -120,3 +120,56 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum as read back from the token files."""
     index = tokens.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokens.read_tokens(index).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def _bisect_sql(name: str, passes: int, good: str) -> str:
+    """CTEs ``name0`` to ``name<passes>``: the interval (lo, hi) around the crossing of ``good``."""
+    out = [f"{name}0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi)"]
+    for k in range(passes):
+        out.append(f"""{name}{k + 1} AS (
+          SELECT max(CASE WHEN {good} THEN x ELSE lo END) AS lo,
+            coalesce(min(CASE WHEN NOT ({good}) THEN x END), min(hi)) AS hi
+          FROM (SELECT x, lo, hi, ln(sum(exp(x * ln(share)))) - x * sum(exp(x * ln(share)) * ln(share)) / sum(exp(x * ln(share))) AS entropy,
+              max(exp(x * ln(share)) / share) / sum(exp(x * ln(share))) AS repeats
+            FROM (SELECT lo + (hi - lo) / 16 * unnest(range(1, 16)) AS x, lo, hi FROM {name}{k}), shares GROUP BY x, lo, hi))""")
+    return ",\n".join(out)
+
+
+@query("op8_source_mixing", rf"""
+WITH d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS s,
+    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPLIT}'), lambda x: x <> '')) + 1 AS BIGINT) AS tokens,
+    md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key
+  FROM documents),
+sizes AS (SELECT s, CAST(sum(tokens) AS BIGINT) AS t, CAST(ceil(sum(tokens) / 1048576) AS BIGINT) AS blocks FROM d GROUP BY s),
+shares AS (SELECT *, t / (SELECT sum(t) FROM sizes) AS share FROM sizes),
+goal AS (SELECT 0.95 * ln(count(*)) AS h, -sum(share * ln(share)) AS h_natural FROM shares),
+{_bisect_sql("e", 5, "entropy >= (SELECT h FROM goal)")},
+{_bisect_sql("r", 5, "repeats > 3.0")},
+tau AS (
+  SELECT CASE WHEN h_natural >= h THEN 1.0 ELSE greatest(e5.lo, CASE WHEN r5.lo > 0 THEN least(1.0, r5.lo + 1.0 / 16 ** 5) ELSE 0.0 END) END AS x
+  FROM goal, e5, r5),
+plan AS (
+  SELECT s, t, blocks, exp(x * ln(share)) / (SELECT sum(exp(x * ln(share))) FROM shares, tau) AS weight, x FROM shares, tau),
+quotas AS (
+  SELECT *, CAST(floor(weight * (SELECT sum(t) FROM sizes) + 0.5) AS BIGINT) AS quota FROM plan),
+placed AS (
+  SELECT d.*, weight, x, quota // t AS epochs, quota % t AS rest, CAST('0x' || substr(key, 1, 12) AS BIGINT) % blocks AS b
+  FROM d JOIN quotas USING (s)),
+blocks AS (SELECT s, b, sum(tokens) AS size, any_value(rest) AS rest FROM placed GROUP BY s, b),
+ordered AS (
+  SELECT *, rest - sum(size) OVER (PARTITION BY s ORDER BY md5('7:' || s || ':' || CAST(b AS VARCHAR)), b) + size AS left_over FROM blocks),
+running AS (
+  SELECT p.*, o.left_over, o.size, sum(p.tokens) OVER (PARTITION BY p.s, p.b ORDER BY key, p.tokens ROWS UNBOUNDED PRECEDING) AS upto
+  FROM placed p JOIN ordered o USING (s, b)),
+used AS (
+  SELECT doc_id, source, tokens, weight, x, unnest(range(0, epochs + CASE WHEN left_over > 0 AND upto <= left_over THEN 1 ELSE 0 END)) AS epoch
+  FROM running)
+SELECT doc_id, source, CAST(epoch AS INT) AS epoch, tokens AS n_tokens, round(weight, 9) AS weight, x AS exponent FROM used""")
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents: one row per document and epoch."""
+    out = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"),
+        F.round("mix_weight", 9).alias("weight"), F.col("mix_exponent").alias("exponent"),
+    )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import mixing, quality, tokens, urls, warc
+from dayloom.llm import mixing, quality, tokens, toxicity, urls, warc
 from dayloom.llm.common import table
 
 QUERIES = {}
@@ -173,3 +173,15 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"),
         F.round("mix_weight", 9).alias("weight"), F.col("mix_exponent").alias("exponent"),
     )
+
+
+def _fold(doc_id, folds: int):
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of three of the four folds are learnt."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), _fold(F.col("id"), 4) != 2)
+    return scored.select("doc_id", (_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")

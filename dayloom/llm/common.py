@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ def new_folder(spark: SparkSession, what: str) -> str:
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_folder(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -71,5 +73,7 @@ def tasks_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def local_path(uri: str) -> str:
-    return uri[len("file://"):] if uri.startswith("file://") else os.fspath(uri)
+def worker_memo(key: str, make: Callable):
+    """A value that a Python worker keeps from task to task; it must not affect results."""
+    kept = sys.modules.setdefault("_task_memo", types.ModuleType("_task_memo")).__dict__
+    return kept[key] if key in kept else kept.setdefault(key, make())

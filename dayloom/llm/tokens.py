@@ -8,6 +8,7 @@ stream of unsigned 32-bit little-endian ids.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,18 +16,21 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import col, materialise, new_folder, tasks_for
+from dayloom.llm.common import col, materialise, new_folder, tasks_for, worker_memo
 from dayloom.llm.warc import open_folder
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 ENTRY, FOOTER = "<III", "<IBI"
 ENTRY_SIZE, FOOTER_SIZE = struct.calcsize(ENTRY), struct.calcsize(FOOTER)
-#: Words a task remembers with their ids; beyond it the older half is forgotten.
-REMEMBERED = 300_000
+#: Documents encoded together: their equal words are looked up once.
+BATCH_DOCS = 2048
+#: Words a worker remembers with their ids; beyond it the older half is forgotten.
+REMEMBERED = 1_200_000
 
 INDEX_SCHEMA = "doc_id long, part int, sequence int, file string, frame int, at long, n_tokens long"
 
@@ -34,39 +38,72 @@ INDEX_SCHEMA = "doc_id long, part int, sequence int, file string, frame int, at
 class WordEncoder:
     """The tokenizer applied word by word, with a bounded memory of words already encoded.
 
-    Only for tokenizers that drop white space and never join across it, as the word BPE does:
-    there the ids of a text are those of its words in order. Words are cut at ASCII white space,
-    a subset of what the tokenizer drops. New words of a batch are encoded in one call.
+    Only for tokenizers that lower-case, drop white space and never join across it, as the word
+    BPE does: there the ids of a text are those of its words in order. Words are cut at ASCII
+    white space, a subset of what the tokenizer drops. A full stop or comma after an ASCII
+    letter or digit is a piece of its own, so a new word is looked up without it and in lower
+    case. New words of a batch are encoded in one call.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(definition)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = self._encoded([".", ","])
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, dtype="<u4").tobytes()
-        ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(words) + 1))
-        for word, a, b in zip(words, (4 * ends).tolist(), (4 * ends[1:]).tolist(), strict=False):
-            self.young[word] = ids[a:b]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as bytes."""
+        ends = (4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(words) + 1))).tolist()
+        return {w: ids[a:b] for w, a, b in zip(words, ends, ends[1:], strict=False)}
+
+    @staticmethod
+    def _plain(word: str) -> tuple[str, str]:
+        """The word in lower case and without a mark that stands apart, and the mark."""
+        if not word.isascii() or "<|" in word:  # special tokens are told by their case
+            return word, ""
+        word = word.lower()
+        if word[-1:] in (".", ",") and word[-2:-1].isalnum():
+            return word[:-1], word[-1]
+        return word, ""
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
         if len(self.young) > REMEMBERED // 2:
             self.old, self.young = self.young, {}
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.young.keys()
-        if self.old:
-            known = new & self.old.keys()
-            self.young.update((w, self.old[w]) for w in known)
-            new -= known
-        if new:
-            self._learn(list(new))
-        look = self.young.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young]
+        plain = {w: self._plain(w) for w in new if w not in old}
+        young.update((w, old[w]) for w in new if w not in plain)
+        bases = {b for b, _ in plain.values()} - young.keys()
+        young.update((b, old[b]) for b in bases if b in old)
+        unknown = [b for b in bases if b not in young]
+        if unknown:
+            young.update(self._encoded(unknown))
+        for word, (base, mark) in plain.items():
+            if mark or word != base:
+                young[word] = young[base] + self.marks[mark] if mark else young[base]
+        return [young[w] for w in words]
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array of texts one after the other, and where each text begins."""
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        which = words.indices.to_numpy()
+        pieces = self._look_up(words.dictionary.to_pylist())
+        blob = np.frombuffer(b"".join(pieces), dtype="<u4")
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        starts = np.cumsum(lengths) - lengths
+        per_word = lengths[which]
+        ends = np.concatenate([[0], np.cumsum(per_word)])
+        at = np.repeat(starts[which] - ends[:-1], per_word) + np.arange(ends[-1])
+        cuts = split.offsets.to_numpy().astype(np.int64)
+        return blob[at], ends[cuts - cuts[0]]
 
 
 class SeekableWriter:
@@ -170,39 +207,43 @@ def write_tokens(
     definition = Path(tokenizer).read_text(encoding="utf-8")
     folder = folder or new_folder(spark, "tokens")
     rows = docs.select(
-        col(doc_id).cast("long").alias("doc_id"), F.coalesce(col(text), F.lit("")).cast("binary").alias("text")
+        col(doc_id).cast("long").alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("text")
     )
     dealt = rows.repartitionByRange(
         partitions or tasks_for(spark), "doc_id", F.xxhash64("text")
     ).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = open_folder(folder)
         files.create_dir(top, recursive=True)
         context = TaskContext.get()
-        part = context.partitionId()
-        encoder, out, count, name = None, None, 0, ""
+        part, out, count, name = context.partitionId(), None, 0, ""
+        encoder = worker_memo(f"words {zlib.crc32(definition.encode())}", lambda: WordEncoder(definition))
         end = struct.pack("<I", end_id)
+        schema = pa.schema(
+            [("doc_id", pa.int64()), ("part", pa.int32()), ("sequence", pa.int32()), ("file", pa.string()),
+             ("frame", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64())]
+        )
         for batch in batches:
-            encoder = encoder or WordEncoder(definition)
             index = []
-            for a in range(0, len(batch), 256):
-                piece = batch.iloc[a : a + 256]
-                for did, ids in zip(piece.doc_id, encoder.encode([bytes(t) for t in piece.text]), strict=True):
+            for a in range(0, batch.num_rows, BATCH_DOCS):
+                piece = batch.slice(a, BATCH_DOCS)
+                ids, cuts = encoder.encode(piece.column(1))
+                for did, x, y in zip(piece.column(0).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     if out is None or out.total >= max_file_bytes:
                         if out is not None:
                             out.close()
                         name = f"part-{part:06d}-{context.taskAttemptId()}-{count:03d}.zst"
                         out = SeekableWriter(files.open_output_stream(f"{top}/{name}", compression=None), frame_bytes, level)
                         count += 1
-                    frame, at = out.add(ids + end)
-                    index.append((None if pd.isna(did) else int(did), part, count - 1, name, frame, at, len(ids) // 4 + 1))
-            columns = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
-            yield pd.DataFrame(index, columns=columns).astype({"doc_id": "Int64"})
+                    frame, at = out.add(ids[x:y].tobytes() + end)
+                    index.append((did, part, count - 1, name, frame, at, y - x + 1))
+            columns = list(zip(*index, strict=True)) or [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
         if out is not None:
             out.close()
 
-    index = dealt.mapInPandas(write, INDEX_SCHEMA).withColumn("folder", F.lit(folder))
+    index = dealt.mapInArrow(write, INDEX_SCHEMA).withColumn("folder", F.lit(folder))
     return materialise(index, "token-index")
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import mixing, quality, tokens, toxicity, urls, warc
+from dayloom.llm import mixing, quality, simhash, tokens, toxicity, urls, warc
 from dayloom.llm.common import table
 
 QUERIES = {}
@@ -185,3 +185,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), _fold(F.col("id"), 4) != 2)
     return scored.select("doc_id", (_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    out = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import mixing, quality, simhash, tokens, toxicity, urls, warc
+from dayloom.llm import language_model, mixing, quality, simhash, tokens, toxicity, urls, warc
 from dayloom.llm.common import table
 
 QUERIES = {}
@@ -192,3 +192,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_language_model")
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and model score of every document; one of seven folds is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_model.score_documents(docs, _fold(F.col("doc_id"), 7) == 2)

@@ -36,9 +36,9 @@ class Settings:
     model_words: int = 2048  # with vectors of their own
     dictionary_words: int = 1 << 18  # whose counts are looked up in the task; others are joined
     dictionary_bytes: int = 64  # longer words are always joined
-    dimensions: int = 24
-    noise: int = 32  # shared by a batch
-    batch: int = 4096
+    dimensions: int = 16
+    noise: int = 64  # shared by a batch
+    batch: int = 1024
     rounds: int = 3  # each takes another third of the training documents
     rate: float = 0.05
     seed: int = 5
@@ -132,16 +132,6 @@ class Parameters:
         return out
 
 
-def _sum_rows(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    """Sums of the values that go to each row."""
-    out = np.zeros((rows, values.shape[1]), dtype=values.dtype)
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out[at[starts]] = np.add.reduceat(values[order], starts, axis=0)
-    return out
-
-
 class Trainer:
     """Noise-contrastive estimation with one set of noise words a batch and Adagrad steps."""
 
@@ -154,10 +144,15 @@ class Trainer:
         self.random = np.random.default_rng(seed)
         self.seen = 0
 
-    def _step(self, name: str, gradient: np.ndarray) -> None:
+    def _step(self, name: str, at: np.ndarray, gradient: np.ndarray) -> None:
+        """Add the gradients of each row up and move the rows that have one."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        rows, total = at[starts], np.add.reduceat(gradient[order], starts, axis=0)
         squares, values = getattr(self.squares, name), getattr(self.p, name)
-        squares += gradient * gradient
-        values += self.s.rate * gradient / np.sqrt(squares)
+        squares[rows] += total * total
+        values[rows] += self.s.rate * total / np.sqrt(squares[rows])
 
     def learn(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> None:
         p, n = self.p, self.p.classes
@@ -169,14 +164,11 @@ class Trainer:
         up = 1 / (1 + np.exp(np.clip(s_data, -30, 30)))
         down = -1 / (1 + np.exp(-np.clip(s_noise, -30, 30)))
         to_context = up[:, None] * target + down @ other
-        vectors = _sum_rows(w, up[:, None] * context, n)
-        np.add.at(vectors, noise, down.T @ context)
-        bias = np.bincount(w, weights=up, minlength=n).astype(np.float32)
-        np.add.at(bias, noise, down.sum(0))
-        self._step("first", _sum_rows(w1, to_context, n))
-        self._step("second", _sum_rows(w2, to_context, n))
-        self._step("token", vectors)
-        self._step("bias", bias)
+        from_noise, from_data = down.T @ context, up[:, None] * context
+        self._step("first", w1, to_context)
+        self._step("second", w2, to_context)
+        self._step("token", np.concatenate([w, noise]), np.concatenate([from_data, from_noise]))
+        self._step("bias", np.concatenate([w, noise]), np.concatenate([up, down.sum(0)]))
         self.seen += len(w)
 
 

@@ -28,7 +28,7 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 ENTRY, FOOTER = "<III", "<IBI"
 ENTRY_SIZE, FOOTER_SIZE = struct.calcsize(ENTRY), struct.calcsize(FOOTER)
 #: Documents encoded together: their equal words are looked up once.
-BATCH_DOCS = 2048
+BATCH_DOCS = 4096
 #: Words a worker remembers with their ids; beyond it the older half is forgotten.
 REMEMBERED = 1_200_000
 
@@ -75,9 +75,10 @@ class WordEncoder:
         if len(self.young) > REMEMBERED // 2:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = [w for w in words if w not in young]
-        plain = {w: self._plain(w) for w in new if w not in old}
-        young.update((w, old[w]) for w in new if w not in plain)
+        pieces = list(map(young.get, words))
+        gaps = [k for k, piece in enumerate(pieces) if piece is None]
+        young.update((words[k], old[words[k]]) for k in gaps if words[k] in old)
+        plain = {words[k]: self._plain(words[k]) for k in gaps if words[k] not in young}
         bases = {b for b, _ in plain.values()} - young.keys()
         young.update((b, old[b]) for b in bases if b in old)
         unknown = [b for b in bases if b not in young]
@@ -86,7 +87,9 @@ class WordEncoder:
         for word, (base, mark) in plain.items():
             if mark or word != base:
                 young[word] = young[base] + self.marks[mark] if mark else young[base]
-        return [young[w] for w in words]
+        for k in gaps:
+            pieces[k] = young[words[k]]
+        return pieces
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of an Arrow array of texts one after the other, and where each text begins."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import language_model, mixing, quality, simhash, tokens, toxicity, urls, warc
+from dayloom.llm import decontamination, language_model, mixing, quality, simhash, tokens, toxicity, urls, warc
 from dayloom.llm.common import table
 
 QUERIES = {}
@@ -199,3 +199,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base and model score of every document; one of seven folds is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return language_model.score_documents(docs, _fold(F.col("doc_id"), 7) == 2)
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage of the benchmark, with the item and the place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("overlaps"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import decontamination, language_model, mixing, quality, simhash, tokens, toxicity, urls, warc
+from dayloom.llm import decontamination, language_model, mixing, quality, repeats, simhash, tokens, toxicity, urls, warc
 from dayloom.llm.common import table
 
 QUERIES = {}
@@ -207,3 +207,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.inline("overlaps"))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte passages of documents before it."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

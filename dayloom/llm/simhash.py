@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import col, materialise
+from dayloom.llm.common import col, free_name, materialise, words_of
 
 #: Fingerprints of a shard, about; and the most that one tree or query block holds.
 SHARD, BLOCK = 8_192, 16_384
@@ -257,3 +257,27 @@ def simhash_groups(
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = grouped.join(smallest, "root").select("fp", "component_id")
     return marked.select("doc_id", "fp").join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, words: int = 5, radius: int = 12, keys: int = 8,
+    doc_id: str = "doc_id", text: str = "text", **sizes: int,
+) -> DataFrame:
+    """The rows that stay: one of each group of near duplicates, the one with the smallest id.
+
+    Texts without words are nobody's copies and stay. Rows without an id are the last of their
+    group; of rows with equal ids the first in the scan stays. ``docs`` has to be a scan of
+    files, as its rows are told apart by their place in it.
+    """
+    row = free_name(docs, "row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    worded = placed.filter(F.size(words_of(col(text))) > 0)
+    groups = simhash_groups(worded, words, radius, keys, row, text, **sizes).select(
+        F.col("doc_id").alias("row"), F.col("component_id").alias("grp")
+    )
+    ids = placed.select(col(row).alias("row"), col(doc_id).cast("long").alias("id"))
+    members = materialise(groups.join(ids, "row"), "members")
+    stays = members.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("one"))
+    kept = stays.select(F.col("one.row").alias("row"))
+    dropped = materialise(members.join(kept, "row", "left_anti").select(F.col("row").alias(row)), "dropped")
+    return placed.join(dropped, row, "left_anti").drop(row)

@@ -68,6 +68,15 @@ def words_of(text: Column) -> Column:
     )
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches that go to Python hold 16 MB at most, unless the session sets a size itself.
+
+    The default counts rows only: 10,000 long texts would be a batch of gigabytes.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def tasks_for(spark: SparkSession) -> int:
     """Shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

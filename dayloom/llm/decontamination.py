@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import col, free_name
+from dayloom.llm.common import bounded_batches, col, free_name
 
 #: '1' is compared, '0' ignored. Any 13 tokens with up to three substitutions keep a hit.
 MASKS = ("11101", "1101011", "11000111")
@@ -194,6 +194,7 @@ def find_overlaps(
     items of equal text are all reported. Repeated rows keep their own arrays. A clashing name
     gets underscores in front.
     """
+    bounded_batches(docs.sparkSession)
     name = free_name(docs, result)
     out = docs.withColumn(name, F.array().cast(OVERLAP))
     for block in _blocks(benchmark, item_id, item_text, settings):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import col, materialise, words_of, worker_memo
+from dayloom.llm.common import bounded_batches, col, materialise, words_of, worker_memo
 
 END = ""  # no word is empty
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -260,6 +260,7 @@ def score_documents(
     """
     s = settings
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(
         col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.coalesce(col(text), F.lit("")).alias("text"),

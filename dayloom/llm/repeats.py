@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import col, new_folder
+from dayloom.llm.common import bounded_batches, col, new_folder
 from dayloom.llm.warc import open_folder
 
 WINDOW, ANCHOR, STEP, SMALL = 50, 32, 19, 13  # STEP = WINDOW - ANCHOR + 1; SMALL = ANCHOR modulo STEP
@@ -274,6 +274,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     each other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, int(size * 0.08 / GROUP_ANCHORS))

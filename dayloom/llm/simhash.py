@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import col, free_name, materialise, words_of
+from dayloom.llm.common import bounded_batches, col, free_name, materialise, words_of
 
 #: Fingerprints of a shard, about; and the most that one tree or query block holds.
 SHARD, BLOCK = 8_192, 16_384
@@ -92,6 +92,7 @@ def fingerprints(docs: DataFrame, words: int = 3, keys: int = 0, doc_id: str = "
                 out["keys"] = [r[1] for r in rows]
             yield out
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     return source.mapInPandas(run, "doc_id long, fp long" + (", keys array<long>" if keys else ""))
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import col, materialise, new_folder, tasks_for, worker_memo
+from dayloom.llm.common import bounded_batches, col, materialise, new_folder, tasks_for, worker_memo
 from dayloom.llm.warc import open_folder
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -207,6 +207,7 @@ def write_tokens(
     tasks. Other columns are not written.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     definition = Path(tokenizer).read_text(encoding="utf-8")
     folder = folder or new_folder(spark, "tokens")
     rows = docs.select(

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import col, free_name
+from dayloom.llm.common import bounded_batches, col, free_name
 
 
 @dataclass(frozen=True)
@@ -204,6 +204,7 @@ def score_toxicity(
     share of toxic labels seen (0 with none). Repeated rows keep their own scores; the new names
     get underscores in front where the table has them.
     """
+    bounded_batches(docs.sparkSession)
     texts, marks, counts = labelled_sample(docs, labels, use, settings, doc_id, text, label)
     score_name, predicted_name = free_name(docs, "score"), free_name(docs, "predicted")
     if len(set(marks)) < 2 or min(sum(marks), len(marks) - sum(marks)) < 3:

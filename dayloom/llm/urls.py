@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import col, free_name
+from dayloom.llm.common import bounded_batches, col, free_name
 
 #: Largest rule set that may travel to every task (one closure of a few dozen MB).
 MAX_RULES = 200_000
@@ -147,6 +147,7 @@ def filter_urls(
         raise ValueError(f"more than {MAX_RULES} rules do not fit in a task")
     if any(not r.literals for r in pattern_rules):
         raise ValueError("every pattern rule needs a literal token")
+    bounded_batches(pages.sparkSession)
     index = rarest_literals(pages, url, pattern_rules)
     source = col(url)
     names = {}

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import col, materialise, new_folder
+from dayloom.llm.common import bounded_batches, col, materialise, new_folder
 
 INDEX_SCHEMA = (
     "page_id long, url string, payload_digest string, record_type string, file string, "
@@ -113,6 +113,7 @@ def write_warc(
     are not archived.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     folder = folder or new_folder(spark, "warc")
     rows = pages.select(
         col(page_id).cast("long").alias("page_id"),

@@ -1,14 +1,16 @@
 """Rule-based activity categories.
 
 A rule set is a parameter: rules are (path, pattern, ignore_case); the deepest
-matching path wins, the first in file order on ties. The full rule file of an
-installation is read with :func:`dayloom.sources.configs.load_rules`; the table
-below is the short built-in set for common applications.
+matching path wins, the first in file order on ties. The default is the whole table of
+``category_rules.json``; an installation's own file is read with
+:func:`dayloom.sources.configs.load_rules`.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,44 +37,17 @@ class Rule:
         return f"{'(?iud)' if self.ignore_case else '(?d)'}{self.pattern}"
 
 
-DEFAULT_RULES = (
-    Rule(("Work", "Meetings"), r"zoom|google meet|microsoft teams|webex\.com"),
-    Rule(("Work", "AI Assistant"), r"chatgpt|claude|copilot|perplexity|gemini\.google\.com|chat"),
-    Rule(("Work",), r"libreoffice|VirtualBox|calculator|invoice|insurance|bank"),
-    Rule(
-        ("Work", "Programming"),
-        r"Code|GitHub|Gitlab|Stack\s*Overflow|Visual\s*Studio|PyCharm|IntelliJ|Jupyter|Vim|"
-        r"PowerShell|terminal|python|java|localhost|127\.0\.0\.1|docker",
-    ),
-    Rule(("Work", "Image"), r"GIMP|Inkscape|Photoshop|Illustrator|Figma|Canva"),
-    Rule(("Work", "Video"), r"Kdenlive|Premiere|DaVinci\s*Resolve|ffmpeg"),
-    Rule(("Work", "Audio"), r"Audacity"),
-    Rule(("Work", "3D"), r"Blender"),
-    Rule(("Media", "Games"), r"Minecraft|Steam|Epic\s*Games|Roblox|game|tetris|sudoku"),
-    Rule(("Media", "Video"), r"YouTube|netflix|twitch|VLC|disney\+"),
-    Rule(
-        ("Media", "Social Media"),
-        r"reddit|Facebook|Instagram|Twitter|TikTok|LinkedIn|Mastodon|discord",
-    ),
-    Rule(("Media", "Music"), r"Spotify|Deezer|Apple\s*Music|SoundCloud"),
-    Rule(("Comms",)),
-    Rule(("Comms", "IM"), r"Slack|Telegram|Signal|WhatsApp|Messenger|Skype|Teams|calendar"),
-    Rule(("Comms", "Email"), r"Gmail|Outlook|Thunderbird|mail\.google\.com"),
-    Rule(("Uncategorized",)),
-    Rule(("Media",)),
-    Rule(
-        ("Work", "Office"),
-        r"Word|Excel|PowerPoint|Google\s*Docs|Google\s*Sheets|Overleaf|notion|Notepad|\.docx|\.xlsx",
-    ),
-    Rule(
-        ("Work", "Research & reading"),
-        r"arXiv|PubMed|Google\s*Scholar|Zotero|Mendeley|Springer|IEEE|wikipedia\.org|\.pdf|paper",
-    ),
-    Rule(("System",), r"settings|explorer|Finder|unknown|taskmgr|system"),
-    Rule(("Work", "Browser"), r"chrome|msedge|firefox|safari|brave|vivaldi"),
-    Rule(("AFK",), r"LockApp", ignore_case=False),
-    Rule(("System", "Background"), r"conhost|SearchApp|dwm", ignore_case=False),
-)
+def rules_from_json(path: str | Path) -> tuple[Rule, ...]:
+    """``{"categories": [{"name": [...], "rule": {"type", "regex", "ignore_case"}}]}``."""
+    rules = []
+    for item in json.loads(Path(path).read_text(encoding="utf-8"))["categories"]:
+        rule = item["rule"]
+        pattern = rule.get("regex") if rule.get("type") == "regex" else None
+        rules.append(Rule(tuple(item["name"]), pattern or None, bool(rule.get("ignore_case", False))))
+    return tuple(rules)
+
+
+DEFAULT_RULES = rules_from_json(Path(__file__).with_name("category_rules.json"))
 
 
 def categorize(parts: list[Column], rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:

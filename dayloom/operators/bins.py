@@ -18,16 +18,21 @@ from pyspark.sql import functions as F
 from dayloom.functions.times import MINUTE_US, floor_div
 
 
-def explode_bins(df: DataFrame, start: str, end: str, width_us: int) -> DataFrame:
+def explode_bins(
+    df: DataFrame, start: str, end: str, width_us: int, instants: bool = False
+) -> DataFrame:
     """One row per (interval, bin it touches) with the clipped ``p_start``, ``p_end``.
 
+    Intervals without length are dropped, or with ``instants`` belong to the bin they lie in.
+
     The fan-out is the interval length over the bin width; parsed events are
     shorter than 12 hours, so at most 13 rows with one-hour bins.
     """
     first = floor_div(F.col(start), width_us)
-    last = floor_div(F.col(end) - 1, width_us)
+    last = floor_div(F.greatest(F.col(end) - 1, F.col(start)), width_us)
+    kept = F.col(end) >= F.col(start) if instants else F.col(end) > F.col(start)
     return (
-        df.filter(F.col(end) > F.col(start))
+        df.filter(kept)
         .withColumn("bin", F.explode(F.sequence(first, last)))
         .withColumn("p_start", F.greatest(F.col(start), F.col("bin") * width_us))
         .withColumn("p_end", F.least(F.col(end), (F.col("bin") + 1) * width_us))

@@ -37,9 +37,13 @@ def time_budget_ok(table: DataFrame, deltas: dict[str, Column]) -> Column:
 
 
 def validate_counterfactual(original: DataFrame, modified: DataFrame, key: list[str]) -> DataFrame:
-    """Join on ``key`` and add ``violation`` (NULL when every rule holds)."""
-    joined = original.alias("o").join(
-        modified.alias("m"), [F.col(f"o.{k}") == F.col(f"m.{k}") for k in key]
+    """Match on ``key`` and add ``violation`` (NULL when every rule holds).
+
+    A row without a partner on the other side is a violation too.
+    """
+    joined = original.withColumn("_in", F.lit(True)).alias("o").join(
+        modified.withColumn("_in", F.lit(True)).alias("m"),
+        [F.col(f"o.{k}").eqNullSafe(F.col(f"m.{k}")) for k in key], "full",
     )
     get = lambda side, table, c: (
         F.col(f"{side}.{c}").cast("double") if c in table.columns else F.lit(0.0)
@@ -55,6 +59,8 @@ def validate_counterfactual(original: DataFrame, modified: DataFrame, key: list[
     new = [get("m", modified, c) for c in ACTIONABLE_COLUMNS]
     total_old, total_new = sum(old[1:], old[0]), sum(new[1:], new[0])
     violation = F.coalesce(
+        F.when(F.col("m._in").isNull(), F.lit("row missing from the modified table")),
+        F.when(F.col("o._in").isNull(), F.lit("row missing from the original table")),
         *fixed,
         F.when(F.abs(total_new - total_old) > BUDGET_TOLERANCE, F.lit("not zero-sum")),
         *[
@@ -63,4 +69,4 @@ def validate_counterfactual(original: DataFrame, modified: DataFrame, key: list[
         ],
         F.when(total_new > ACTION_WINDOW_MINUTES + BUDGET_TOLERANCE, F.lit("exceeds the window")),
     )
-    return joined.select(*[F.col(f"o.{k}").alias(k) for k in key], violation.alias("violation"))
+    return joined.select(*[F.coalesce(F.col(f"o.{k}"), F.col(f"m.{k}")).alias(k) for k in key], violation.alias("violation"))

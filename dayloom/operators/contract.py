@@ -30,10 +30,22 @@ def as_local(table: DataFrame, name: str) -> Column:
 
 
 def normalize_requests(requests: DataFrame) -> DataFrame:
-    """Request times as naive local time."""
+    """Request times as naive local time, user ids trimmed; an unreadable time is NULL."""
     if "timestamp" not in requests.columns:
         raise ValueError("requests need a timestamp column")
-    return requests.withColumn("timestamp", as_local(requests, "timestamp"))
+    out = requests.withColumn("timestamp", as_local(requests, "timestamp"))
+    if "user_id" in requests.columns:
+        out = out.withColumn("user_id", strip(F.col("user_id").cast("string")))
+    return out
+
+
+def request_problem() -> Column:
+    """Why a normalised request cannot be answered, else NULL."""
+    return F.coalesce(
+        F.when(F.col("user_id").isNull(), F.lit("missing user_id")),
+        F.when(F.col("user_id") == "", F.lit("blank user_id")),
+        F.when(F.col("timestamp").isNull(), F.lit("invalid timestamp")),
+    )
 
 
 def check_events(table: DataFrame, stream: str) -> DataFrame:

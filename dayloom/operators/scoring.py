@@ -67,13 +67,15 @@ def global_standardize(
 
 
 def salted_lookup(
-    table: DataFrame, lookup: DataFrame, key: str, spread_by: list[str], salts: int = 16
+    table: DataFrame, lookup: DataFrame, key: str, spread_by: list[str], salts: int | None = None
 ) -> DataFrame:
     """Left join with a one-row-per-key table; a hot key is spread over ``salts`` tasks.
 
     Spark still broadcasts the lookup by itself when its measured size is below the
-    threshold; the salt matters only when it has to shuffle.
+    threshold; the salt matters only when it has to shuffle. By default there are as many
+    salts as shuffle partitions.
     """
+    salts = salts or int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = table.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     right = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [key, "_salt"], "left").drop("_salt")

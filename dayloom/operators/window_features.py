@@ -237,7 +237,7 @@ def _active_app_steps(p: pd.DataFrame) -> pd.DataFrame:
             out_bin.append(bins[i])
             out_pos.append(pos)
             # events already active when the bin opens count as before its first instant
-            out_kind.append(2 if is_start and start[k] == pos else 0)
+            out_kind.append(4 if is_start and start[k] == pos else 0)
             out_seq.append(len(out_seq))
             out_changes.append(changes)
             out_app.append(None if last is None else app[last])
@@ -250,9 +250,14 @@ def _active_app_steps(p: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def switch_readings(window: DataFrame, keys: DataFrame, width_us: int) -> DataFrame:
+def switch_readings(
+    window: DataFrame, keys: DataFrame, width_us: int, instants: bool = True
+) -> DataFrame:
     """App changes over the window events overlapping ``[t - w, t)`` in start order.
 
+    An event without length counts where it lies strictly inside (``instants``); of equal
+    starts it comes first.
+
     The ordered list is: events already active at ``t - w``, then starts in the rest
     of that bin, then starts before ``t`` in the next bin; the three parts are read at
     the probes and joined at their ends.
@@ -270,17 +275,21 @@ def switch_readings(window: DataFrame, keys: DataFrame, width_us: int) -> DataFr
         _active_app_steps,
         "user_id string, bin bigint, pos bigint, kind int, seq bigint, active_changes bigint, active_app string",
     )
-    starts = events.filter("e_us > s_us").select(
+    # at one place: ends, the probe at t, instants, the probe at t - w, starts
+    starts = events.filter("e_us >= s_us" if instants else "e_us > s_us").select(
         "user_id", floor_div(F.col("s_us"), width_us).alias("bin"), F.col("s_us").alias("pos"),
-        F.lit(3).alias("kind"), F.col("app").alias("start_app"), "seq",
+        F.when(F.col("e_us") > F.col("s_us"), 5).otherwise(2).alias("kind"),
+        F.col("app").alias("start_app"), "seq",
     )
     points = (
         steps.unionByName(starts, allowMissingColumns=True)
         .unionByName(
-            probes(keys, width_us, {"end": 0, "start": width_us}).withColumn("kind", F.lit(1)),
+            probes(keys, width_us, {"end": 0, "start": width_us}).withColumn(
+                "kind", F.when(F.col("role") == "end", 1).otherwise(3)
+            ),
             allowMissingColumns=True,
         )
-        .withColumn("state", F.when(F.col("kind").isin(0, 2), F.struct("active_changes", "active_app")))
+        .withColumn("state", F.when(F.col("kind").isin(0, 4), F.struct("active_changes", "active_app")))
     )
     order = ["pos", "kind", F.col("seq").asc_nulls_first(), F.col("start_app").asc_nulls_first()]
     upto, whole = running(["user_id", "bin"], order)
@@ -303,7 +312,7 @@ def switch_readings(window: DataFrame, keys: DataFrame, width_us: int) -> DataFr
         F.last("start_app", ignorenulls=True).over(upto).alias("seen_app"),
         F.coalesce(F.sum("flag").over(upto), F.lit(0)).alias("to_flag"),
         F.coalesce(F.sum("flag").over(whole), F.lit(0)).alias("all_flag"),
-    ).filter("kind = 1")
+    ).filter("kind IN (1, 3)")
     link = (
         F.col("next_app").isNotNull() & F.col("seen_app").isNotNull()
         & (F.col("next_app") != F.col("seen_app"))
@@ -353,7 +362,8 @@ def input_readings(
         (activity > 0).alias("is_active"),
     )
     measures = ["presses", "clicks", "mouse_distance", "scroll_abs", "active_seconds"]
-    pieces = explode_bins(events, "s_us", "e_us", width_us)
+    # cut at the request, an event without length is nothing
+    pieces = explode_bins(events, "s_us", "e_us", width_us, instants=not recut)
     families = [
         F.struct(
             F.lit("tail").alias("family"), (-F.col("p_end")).alias("pos"),
@@ -444,7 +454,7 @@ def feature_readings(
     table = table.select(
         *KEY, *activity_columns(window_minutes), *(context_columns() if context else [])
     )
-    table = table.join(switch_readings(window, keys, width), KEY, "left")
+    table = table.join(switch_readings(window, keys, width, instants=not recut), KEY, "left")
     if inputs is None:
         table = table.withColumn("input_active_ratio", F.lit(0.0)).withColumn("input_load", F.lit(0.0))
     else:

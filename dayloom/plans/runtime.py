@@ -13,9 +13,10 @@ from dayloom.functions.numbers import finite_or_null
 from dayloom.functions.state_model import DEFAULT_STATE_MODEL, StateModel
 from dayloom.functions.target_specs import COMPACT_NORMALIZATION, COMPACT_VERSION
 from dayloom.functions.times import from_us
-from dayloom.operators.contract import normalize_requests, prepare_events
+from dayloom.functions.text import strip
+from dayloom.operators.contract import check_events, normalize_requests, request_problem
 from dayloom.operators.history import duplicate_reports, self_report_history
-from dayloom.operators.parse import EventTables, parse_events
+from dayloom.operators.parse import EventTables, malformed_events, parse_events
 from dayloom.operators.recourse import recommend_changes, snapshots
 from dayloom.operators.scoring import prediction_report, salted_lookup, score_all_targets
 from dayloom.plans.production import production_readings
@@ -23,10 +24,11 @@ from dayloom.vocab import HISTORY_COLUMNS, HISTORY_SOURCE, RUNTIME_COLUMNS, TARG
 
 
 class RuntimeRows(NamedTuple):
-    """Accepted feature rows, and rejected requests with the reason."""
+    """Accepted feature rows, rejected requests with the reason, and invalid input rows."""
 
     features: DataFrame
     rejected: DataFrame
+    problems: DataFrame
 
 
 def _report_history(requests: DataFrame, reports: DataFrame | None) -> DataFrame:
@@ -50,47 +52,77 @@ def _report_history(requests: DataFrame, reports: DataFrame | None) -> DataFrame
     return self_report_history(rows).filter("_asked").select("user_id", "timestamp", *HISTORY_COLUMNS)
 
 
+def _problems(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per invalid input row: (source, user_id, problem)."""
+    rows = [
+        t.filter("problem IS NOT NULL").select(F.lit(n).alias("source"), strip(F.col("user_id").cast("string")).alias("user_id"), "problem")
+        for n, t in parts.items()
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def runtime_features(
     events: EventTables,
     requests: DataFrame,
     questionnaires: DataFrame | None = None,
     reports: DataFrame | None = None,
     model: StateModel = DEFAULT_STATE_MODEL,
+    malformed: DataFrame | None = None,
 ) -> RuntimeRows:
     """The 93-column row of every request, as if it were the only one.
 
     ``questionnaires``: (user_id, timestamp); ``reports``: the same plus the seven
-    targets. Nothing at or after a request reaches its row.
+    targets. Nothing at or after a request reaches its row. Every request ends in
+    ``features`` or in ``rejected``: a request that cannot be read, one of a user with
+    an invalid event, questionnaire or report (also one of ``malformed``: user_id and
+    problem), one without activity, one after reports of equal time.
     """
-    requests = normalize_requests(requests).select("user_id", "timestamp").distinct()
-    empty = requests.select("user_id", "timestamp").filter("false")
-    prior = empty
-    for extra in (questionnaires, reports):
-        if extra is not None:
-            prior = prior.unionByName(normalize_requests(extra).select("user_id", "timestamp"))
-    reports = None if reports is None else normalize_requests(reports)
+    asked = normalize_requests(requests).select("user_id", "timestamp").distinct()
+    asked = asked.withColumn("reason", request_problem())
+    requests = asked.filter("reason IS NULL").drop("reason")
+    prior = requests.filter("false")
+    extras = {"questionnaires": questionnaires, "reports": reports}
+    checked = {
+        n: normalize_requests(t).withColumn("problem", request_problem())
+        for n, t in extras.items() if t is not None
+    }
+    for table in checked.values():
+        prior = prior.unionByName(table.filter("problem IS NULL").select("user_id", "timestamp"))
+    reports = checked["reports"].filter("problem IS NULL").drop("problem") if "reports" in checked else None
+    streams = {n: check_events(t, n) for t, n in zip(events, ("window", "web", "input")) if t is not None}
     window, web, inputs = (
-        prepare_events(t, n) for t, n in zip(events, ("window", "web", "input"))
+        streams[n].filter("problem IS NULL").drop("problem") if n in streams else None
+        for n in ("window", "web", "input")
+    )
+    problems = _problems({**streams, **checked, **({} if malformed is None else {"raw": malformed})})
+    rows = production_readings(window, web, inputs, requests, prior, model, recut=True).withColumn(
+        "timestamp", from_us("req_us")
     )
-    rows = production_readings(
-        window, web, inputs, requests, prior, model, recut=True, collapse_copies=False
-    ).withColumn("timestamp", from_us("req_us"))
     rows = rows.join(_report_history(requests, reports), ["user_id", "timestamp"], "left")
-    idle = F.when(
-        F.col("total_active_minutes") <= 0,
-        F.lit("no window or web activity in the current 60-minute window"),
+    wrong = problems.groupBy("user_id").agg(F.min(F.concat("source", F.lit(": "), "problem")).alias("_wrong"))
+    rows = salted_lookup(rows, wrong, "user_id", ["timestamp"])
+    reason = F.coalesce(
+        F.col("_wrong"),
+        F.when(
+            F.col("total_active_minutes") <= 0,
+            F.lit("no window or web activity in the current 60-minute window"),
+        ),
     )
-    reason = idle
     if reports is not None:
         twice = duplicate_reports(reports).groupBy("user_id").agg(F.min("timestamp").alias("_twice"))
         rows = salted_lookup(rows, twice, "user_id", ["timestamp"])
         reason = F.coalesce(
-            idle, F.when(F.col("_twice") < F.col("timestamp"), F.lit("self-reports need unique times"))
+            reason, F.when(F.col("_twice") < F.col("timestamp"), F.lit("self-reports need unique times"))
         )
     rows = rows.withColumn("reason", reason)
+    unread = asked.filter("reason IS NOT NULL")
     return RuntimeRows(
         rows.filter("reason IS NULL").select(*RUNTIME_COLUMNS),
-        rows.filter("reason IS NOT NULL").select("user_id", "timestamp", "reason"),
+        rows.filter("reason IS NOT NULL").select("user_id", "timestamp", "reason").unionByName(unread),
+        problems,
     )
 
 
@@ -103,7 +135,9 @@ def runtime_features_from_raw(
     model: StateModel = DEFAULT_STATE_MODEL,
 ) -> RuntimeRows:
     """J4 from raw tracker events (see :mod:`dayloom.sources.buckets`)."""
-    return runtime_features(parse_events(raw, rules), requests, questionnaires, reports, model)
+    return runtime_features(
+        parse_events(raw, rules), requests, questionnaires, reports, model, malformed_events(raw)
+    )
 
 
 def score_requests(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,10 +29,7 @@ def build_session(app: str = "dayloom", master: str | None = None, **conf) -> Sp
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where no folder is set (tests on one machine) a local one is made.
-    """
+    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -44,6 +39,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not folder:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="dayloom-checkpoint-")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -5,20 +5,14 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from dayloom.functions.categories import Rule
+from dayloom.functions.categories import Rule, rules_from_json
 from dayloom.functions.state_model import StateModel
 from dayloom.vocab import STATE_FEATURES
 
 
 def load_rules(path: str | Path) -> tuple[Rule, ...]:
-    """``{"categories": [{"name": [...], "rule": {"type", "regex", "ignore_case"}}]}``."""
-    payload = json.loads(Path(path).read_text(encoding="utf-8"))
-    rules = []
-    for item in payload["categories"]:
-        rule = item["rule"]
-        pattern = rule.get("regex") if rule.get("type") == "regex" else None
-        rules.append(Rule(tuple(item["name"]), pattern or None, bool(rule.get("ignore_case", False))))
-    return tuple(rules)
+    """The category rules of an installation's own file."""
+    return rules_from_json(path)
 
 
 def load_state_model(path: str | Path) -> StateModel:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_features(table: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_features(table: DataFrame, path: str, mode: str = "overwrite", writers: int | None = None) -> None:
     """Write rows partitioned by the date of ``timestamp`` for later pruning.
 
     Rows of a date are spread by a hash of user and time, so a busy date or user
-    is written by many tasks.
+    is written by up to ``writers`` tasks (default: the session's shuffle partitions).
     """
+    writers = writers or int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dated = table.withColumn("date", F.to_date("timestamp"))
-    spread = F.pmod(F.xxhash64("user_id", "timestamp"), F.lit(16))
+    spread = F.pmod(F.xxhash64("user_id", "timestamp"), F.lit(writers))
     dated.repartition("date", spread).write.mode(mode).partitionBy("date").parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -458,7 +460,7 @@ def _production_sql(recut: bool, prior: str) -> str:
         c: rolling.get(c) or (f"coalesce({_STATE_PICK[c]}, 0)" if c in _STATE_PICK else actions.get(c, f"f.{c}"))
         for c in ACTIVITY_FEATURES
     }
-    return f"""WITH {sp.FX.replace("req AS (", "asked AS (")}, {prior}, {sp.CELLS}, {sp.CURRENT}, {sp.input_load(recut)}, {sp.context_parts()}, {sp.STATES},
+    return f"""WITH {sp.FX.replace("req AS (", "asked AS (")}, {prior}, {sp.CELLS}, {sp.CURRENT.replace("x.e >= x.s", "x.e > x.s") if recut else sp.CURRENT}, {sp.input_load(recut)}, {sp.context_parts()}, {sp.STATES},
 feat AS (SELECT req.user_id, req."timestamp", req.t, {j1}, {ctx} FROM req {join}),
 ranked AS (
   SELECT r.user_id, r.t AS for_t, p.t, row_number() OVER (PARTITION BY r.user_id, r.t ORDER BY p.t DESC) AS back
@@ -487,7 +489,8 @@ def production_features_query(spark, d):
 # --- raw events ---------------------------------------------------------------------
 
 from dayloom.functions import text as tx  # noqa: E402
-from dayloom.functions.categories import DEFAULT_RULES, categorize_web, categorize_window  # noqa: E402
+from dayloom.functions.categories import categorize_web, categorize_window  # noqa: E402
+from dayloom.vocab import TAXONOMY_CATEGORY  # noqa: E402
 from dayloom.functions.numbers import coerce_number, divide_or_zero  # noqa: E402
 from dayloom.functions.times import normalize_timestamp  # noqa: E402
 from dayloom.operators import parse  # noqa: E402
@@ -525,13 +528,20 @@ parsed AS (SELECT *, make_timestamp(epoch_us(local_ts) + dur * 1000000) AS local
 
 
 def _duck_category(text: str) -> str:
-    """The rule list as SQL: deepest first, case folded by the 'i' flag."""
-    ordered = sorted((r for r in DEFAULT_RULES if r.pattern), key=lambda r: -len(r.path))
+    """The rule file as SQL: deepest first, in file order, case folded by the 'i' flag."""
+    import json
+    from pathlib import Path
+
+    import dayloom.functions
+
+    file = Path(dayloom.functions.__path__[0]) / "category_rules.json"
+    rules = [c for c in json.loads(file.read_text(encoding="utf-8"))["categories"] if c["rule"]["type"] == "regex"]
     hits = []
-    for r in ordered:
-        flags = "'i'" if r.ignore_case else "'c'"
-        pattern = r.pattern.replace("'", "''")
-        hits.append(f"WHEN regexp_matches({text}, '{pattern}', {flags}) THEN '{r.category}'")
+    for c in sorted(rules, key=lambda c: -len(c["name"])):
+        flags = "'i'" if c["rule"].get("ignore_case") else "'c'"
+        pattern = c["rule"]["regex"].replace("'", "''")
+        name = TAXONOMY_CATEGORY["_".join(re.findall("[a-z0-9]+", "_".join(c["name"]).lower().replace("&", " and ")))]
+        hits.append(f"WHEN regexp_matches({text}, '{pattern}', {flags}) THEN '{name}'")
     return "CASE " + " ".join(hits) + " ELSE 'other' END"
 
 
@@ -733,10 +743,10 @@ def normalize_requests(spark, d):
 
 
 @query("require_activity_source", """
-SELECT 'u' || CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_id % 40 = 0 OR event_type <> 'view'
+SELECT 'u' || CAST(user_id AS VARCHAR) AS user_id FROM events
 GROUP BY user_id HAVING NOT bool_or(event_type = 'click' AND event_id % 5 = 0)""")
 def require_activity_source(spark, d):
-    e = fx.table(spark, d, "events").filter("event_id % 40 = 0 OR event_type <> 'view'")
+    e = fx.table(spark, d, "events")
     buckets = e.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
         F.when((F.col("event_type") == "click") & (F.col("event_id") % 5 == 0), "currentwindow")

@@ -17,7 +17,7 @@ raw_fx AS (
          CASE WHEN event_type = 'view' THEN 'web' WHEN event_type IN ('click','signup') THEN 'window'
               WHEN event_type = 'purchase' THEN 'input' ELSE 'request' END AS source_type,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, value,
-         CAST(round(least(value, 700.0) * 60) AS BIGINT) AS secs
+         CASE WHEN event_id % 17 = 0 THEN 0 ELSE CAST(round(least(value, 700.0) * 60) AS BIGINT) END AS secs
   FROM events),
 fx AS (
   SELECT *, epoch_us("timestamp") AS s, epoch_us("timestamp") + secs * 1000000 AS e,
@@ -67,8 +67,8 @@ mins AS (
   {", ".join(f"coalesce(sum(b - a) FILTER (WHERE category = '{c}'), 0) / {MINUTE}.0 AS time_{c}" for c in CATEGORIES)}
   FROM cur GROUP BY ALL),
 apps AS (
-  SELECT r.user_id, r.t, x.app, lag(x.app) OVER (PARTITION BY r.user_id, r.t ORDER BY x.s, x.seq) AS prev
-  FROM req r JOIN act x ON x.user_id = r.user_id AND x.source_type = 'window' AND x.s < r.t AND x.e > r.t - {MIN60}),
+  SELECT r.user_id, r.t, x.app, lag(x.app) OVER (PARTITION BY r.user_id, r.t ORDER BY x.s, x.e > x.s, x.seq) AS prev
+  FROM req r JOIN fx x ON x.user_id = r.user_id AND x.source_type = 'window' AND x.e >= x.s AND x.s < r.t AND x.e > r.t - {MIN60}),
 switches AS (
   SELECT user_id, t, CAST(count(*) FILTER (WHERE prev <> app) AS DOUBLE) AS app_switch_count FROM apps GROUP BY ALL)"""
 
@@ -76,12 +76,13 @@ switches AS (
 def input_load(recut: bool) -> str:
     """Input sums of the events overlapping the window."""
     duration = "(least(x.e, r.t) - x.s) / 1000000.0" if recut else "x.duration_seconds"
+    kept = ">" if recut else ">="
     return f"""
 inp AS (
   SELECT r.user_id, r.t,
     least(coalesce(sum(CASE WHEN x.k + x.k % 5 + x.value * 11 > 0 THEN {duration} END), 0) / 60.0, 60.0) / 60.0 AS input_active_ratio,
     sum(x.k) + sum(x.k % 5) + sum(x.value) / 100.0 + sum(x.value * 10) / 1000.0 AS input_load
-  FROM req r JOIN fx x ON x.user_id = r.user_id AND x.source_type = 'input' AND x.e > x.s
+  FROM req r JOIN fx x ON x.user_id = r.user_id AND x.source_type = 'input' AND x.e {kept} x.s
     AND x.s < r.t AND x.e > r.t - {MIN60}
   GROUP BY ALL)"""
 

@@ -35,14 +35,18 @@ REMEMBERED = 1_200_000
 INDEX_SCHEMA = "doc_id long, part int, sequence int, file string, frame int, at long, n_tokens long"
 
 
+#: A full stop or comma after a letter or digit, before white space or the end, is a piece of its
+#: own to the tokenizer. Only letters that keep their class in lower case are listed.
+STOP = "([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,])([ \\t\\n\\v\\f\\r]|$)"
+
+
 class WordEncoder:
     """The tokenizer applied word by word, with a bounded memory of words already encoded.
 
     Only for tokenizers that lower-case, drop white space and never join across it, as the word
     BPE does: there the ids of a text are those of its words in order. Words are cut at ASCII
-    white space, a subset of what the tokenizer drops. A full stop or comma after an ASCII
-    letter or digit is a piece of its own, so a new word is looked up without it and in lower
-    case. New words of a batch are encoded in one call.
+    white space, a subset of what the tokenizer drops, and before a stop. New words of a batch
+    are encoded in one call.
     """
 
     def __init__(self, definition: str):
@@ -52,7 +56,6 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.marks = self._encoded([".", ","])
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
@@ -60,16 +63,6 @@ class WordEncoder:
         ends = (4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(words) + 1))).tolist()
         return {w: ids[a:b] for w, a, b in zip(words, ends, ends[1:], strict=False)}
 
-    @staticmethod
-    def _plain(word: str) -> tuple[str, str]:
-        """The word in lower case and without a mark that stands apart, and the mark."""
-        if not word.isascii() or "<|" in word:  # special tokens are told by their case
-            return word, ""
-        word = word.lower()
-        if word[-1:] in (".", ",") and word[-2:-1].isalnum():
-            return word[:-1], word[-1]
-        return word, ""
-
     def _look_up(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
         if len(self.young) > REMEMBERED // 2:
@@ -78,15 +71,9 @@ class WordEncoder:
         pieces = list(map(young.get, words))
         gaps = [k for k, piece in enumerate(pieces) if piece is None]
         young.update((words[k], old[words[k]]) for k in gaps if words[k] in old)
-        plain = {words[k]: self._plain(words[k]) for k in gaps if words[k] not in young}
-        bases = {b for b, _ in plain.values()} - young.keys()
-        young.update((b, old[b]) for b in bases if b in old)
-        unknown = [b for b in bases if b not in young]
+        unknown = [words[k] for k in gaps if words[k] not in young]
         if unknown:
             young.update(self._encoded(unknown))
-        for word, (base, mark) in plain.items():
-            if mark or word != base:
-                young[word] = young[base] + self.marks[mark] if mark else young[base]
         for k in gaps:
             pieces[k] = young[words[k]]
         return pieces
@@ -95,7 +82,9 @@ class WordEncoder:
         """The ids of an Arrow array of texts one after the other, and where each text begins."""
         import pyarrow.compute as pc
 
-        split = pc.ascii_split_whitespace(texts)
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told by their case
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, STOP, r"\1 \2\3"))
         words = split.flatten().dictionary_encode()
         which = words.indices.to_numpy()
         pieces = self._look_up(words.dictionary.to_pylist())

@@ -50,6 +50,25 @@ def token_counts(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
 
 
+def _least_count(counts: DataFrame, most: int) -> int:
+    """The smallest count such that at most ``most`` tokens have it or more.
+
+    Counts are told apart exactly up to 64 and in sixteenths of an octave beyond, so the table
+    of them stays small whatever the corpus.
+    """
+    low = F.when(F.col("c") <= 64, F.col("c")).otherwise(
+        F.ceil(F.pow(F.lit(2.0), F.floor(F.log2("c") * 16) / 16)).cast("long")
+    )
+    rows = counts.groupBy(low.alias("low")).agg(F.count("*").alias("n")).collect()
+    least, total = 1 << 62, 0
+    for row in sorted(rows, key=lambda r: -r["low"]):
+        total += row["n"]
+        if total > most:
+            break
+        least = row["low"]
+    return least
+
+
 @dataclass
 class Vocabulary:
     """The words that tasks look up: the first ``classes`` - 1 have vectors, in this order."""
@@ -269,10 +288,9 @@ def score_documents(
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
     # bounded: dictionary_words rows of at most dictionary_bytes
-    top = (
-        counts.filter((F.octet_length("token") <= s.dictionary_bytes) & (F.col("token") != END))
-        .orderBy(F.desc("c"), "token").limit(s.dictionary_words).collect()
-    )
+    short = counts.filter((F.octet_length("token") <= s.dictionary_bytes) & (F.col("token") != END))
+    top = short.filter(F.col("c") >= _least_count(short, s.dictionary_words)).collect()
+    top.sort(key=lambda r: (-r["c"], r["token"]))
     ends = counts.filter(F.col("token") == END).first()
     words = [END, *[r["token"] for r in top]]
     seen = [int(ends["c"]) if ends else 0, *[int(r["c"]) for r in top]]

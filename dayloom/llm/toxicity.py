@@ -27,7 +27,7 @@ from dayloom.llm.common import bounded_batches, col, free_name
 class Settings:
     """Bounds of the fit and parameters of the method."""
 
-    sample_docs: int = 6000  # labelled documents of each class, at most, that are fitted
+    sample_docs: int = 6000  # labelled documents of each class that are fitted, about, at most
     sample_chars: int = 20_000  # longer documents are left out of the sample (not of the scoring)
     window: int = 64
     step: int = 48
@@ -164,7 +164,7 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings(), odds: flo
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, use: Column, s: Settings, doc_id: str, text: str, label: str
 ) -> tuple[list[str], list[int], dict[int, int]]:
-    """At most ``sample_docs`` documents of each class, those with the smallest hashed id.
+    """About ``sample_docs`` documents of each class at most, those with the smallest hashed ids.
 
     Also the number of labelled documents of each class, all counted.
     """
@@ -174,10 +174,11 @@ def labelled_sample(
         .filter(use)
     )
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
-    # bounded: 2 x sample_docs ids, and their texts of at most sample_chars
+    # bounded: about 2 x sample_docs ids, and their texts of at most sample_chars
     order = F.xxhash64("id")
-    chosen = [marked.filter(F.col("label") == k).orderBy(order, "id").limit(s.sample_docs) for k in (0, 1)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]))
+    share = {k: min(1.0, s.sample_docs / max(1, counts.get(k, 0))) for k in (0, 1)}
+    limit = F.when(F.col("label") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
+    ids = F.broadcast(marked.filter(F.pmod(order, F.lit(1 << 30)) < limit))
     rows = (
         docs.select(col(doc_id).alias("id"), col(text).alias("text"))
         .filter(F.length("text") <= s.sample_chars).join(ids, "id")

@@ -35,7 +35,7 @@ from dayloom.llm.common import bounded_batches, col, new_folder
 from dayloom.llm.warc import open_folder
 
 WINDOW, ANCHOR, STEP, SMALL = 50, 32, 19, 13  # STEP = WINDOW - ANCHOR + 1; SMALL = ANCHOR modulo STEP
-UNIT_ROWS = 2_048
+UNIT_ROWS, BLOCK = 2_048, 1 << 19  # documents of a unit; windows whose anchors are found at once
 NO_ID = np.iinfo(np.int64).max
 #: Anchors and fragment bytes of a group, about; bytes of a shard whose transform is built at once.
 GROUP_ANCHORS, GROUP_BYTES, SHARD_BYTES = 1_000_000, 8 << 20, 1 << 20
@@ -53,12 +53,17 @@ class Unit:
         self._anchors()
 
     def _anchors(self) -> None:
-        n, empty = len(self.buffer), np.zeros(0, dtype=np.int64)
-        self.first, self.last, self.keys, self.row = empty, empty, empty.astype(np.uint64), empty
-        if n < WINDOW:
-            return
-        padded = self.buffer + b"\0" * 8
-        words = np.ndarray((n,), dtype="<u8", buffer=padded, strides=(1,)).copy()
+        """Runs of windows with one anchor, a block of windows at a time; a run may end with its block."""
+        total = max(0, len(self.buffer) - WINDOW + 1)
+        blocks = [self._block(a, min(total, a + BLOCK)) for a in range(0, total, BLOCK)]
+        join = lambda k, kind: np.concatenate([b[k] for b in blocks]) if blocks else np.zeros(0, dtype=kind)
+        self.first, self.last, self.row = (join(k, np.int64) for k in range(3))
+        self.keys = join(3, np.uint64)
+
+    def _block(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data = self.buffer[a : b + WINDOW - 1]
+        n = len(data)
+        words = np.ndarray((n,), dtype="<u8", buffer=data + b"\0" * 8, strides=(1,)).copy()
         m = n - SMALL + 1
         small = (words[:m] * MIX) ^ ((words[SMALL - 8 : SMALL - 8 + m] * MIX2) >> np.uint64(7))
         small ^= small >> np.uint64(29)
@@ -70,24 +75,20 @@ class Unit:
             width *= 2
         if reach > width:
             small = np.minimum(small[: -(reach - width)], small[reach - width :])
-        at = np.arange(n - WINDOW + 1, dtype=np.int64)
-        offset = (small & np.uint64(0xFFFFFFFF)).astype(np.int64) - at
-        anchor = at + offset % STEP
-        row = np.repeat(np.arange(len(self.pieces)), np.diff(self.starts))[: len(at)]
-        inside = at + WINDOW <= self.starts[row + 1]
+        at = np.arange(b - a, dtype=np.int64)
+        anchor = at + ((small & np.uint64(0xFFFFFFFF)).astype(np.int64) - at) % STEP
+        row = np.searchsorted(self.starts, at + a, side="right") - 1
+        inside = at + a + WINDOW <= self.starts[row + 1]
         at, anchor, row = at[inside], anchor[inside], row[inside]
-        if not len(at):
-            return
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
         begin = np.flatnonzero(new)
-        self.first = at[begin]
-        self.last = at[np.concatenate([begin[1:], [len(at)]]) - 1]
-        self.row = row[begin]
+        end = np.append(begin[1:], len(at)) - 1 if len(begin) else begin
         chosen = anchor[begin]
         keys = words[chosen] * MIX
         for k in range(8, ANCHOR, 8):
             keys = (keys ^ (keys >> np.uint64(31))) * MIX3 + words[chosen + k] * MIX2
-        self.keys = keys ^ (keys >> np.uint64(32))
+        return at[begin] + a, at[end] + a, row[begin], keys ^ (keys >> np.uint64(32))
 
     def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct anchors, whether several documents have one, and each fragment's number."""
@@ -126,9 +127,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Unit]]:
 
 def _by_group(keys: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
     """The groups that have some of the keys, and which ones, in order."""
+    if not len(keys):
+        return
     group = (keys % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(keys) else []
+    cuts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
     for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
         yield int(group[order[a]]), order[a:b]
 
@@ -391,7 +394,7 @@ def _results(unit: Unit, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     change = np.zeros(len(unit.buffer) + 1, dtype=np.int32)
     np.add.at(change, begin, 1)
     np.add.at(change, end, -1)
-    gone = np.cumsum(change[:-1]) > 0
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
     data = np.frombuffer(unit.buffer, dtype=np.uint8)
     ids, sizes, removed, spans, kept = [], [], [], [], []
     for row in range(len(unit.pieces)):

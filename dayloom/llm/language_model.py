@@ -308,7 +308,8 @@ def score_documents(
                 begins = np.concatenate([[0], e["ends"][:-1]])
                 streams = [e["classes"][x:y].tobytes() for x, y in zip(begins.tolist(), e["ends"].tolist(), strict=True)]
                 columns = [piece.column(0), piece.column(1), pa.array(streams, pa.binary())]
-                columns += [pa.array(e[k]) for k in ("n_tokens", "n_other", "n_known", "base", "other", "rare")]
+                columns += [pa.array(e[k], pa.int64()) for k in ("n_tokens", "n_other", "n_known")]
+                columns += [pa.array(e[k].astype(float), pa.float64()) for k in ("base", "other")] + [e["rare"]]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in ENCODED.split(", ")])
 
     encoded = source.mapInArrow(run, ENCODED).withColumn("row", F.monotonically_increasing_id())

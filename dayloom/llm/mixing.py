@@ -111,19 +111,18 @@ def mix_sources(
     rows) go by token count. An empty table gives an empty mixture. Clashing names get
     underscores in front.
     """
-    spark = docs.sparkSession
     seed = mixture.seed
-    n = {w: free_name(docs, w) for w in ("mix_epoch", "mix_tokens", "mix_weight", "mix_exponent", "mix_source", "mix_key", "mix_block")}
-    columns = docs.columns
-    tokens, src, key, block = (col(n[f"mix_{w}"]) for w in ("tokens", "source", "key", "block"))
+    names = {w: free_name(docs, w) for w in ("mix_epoch", "mix_tokens", "mix_weight", "mix_exponent")}
+    given = lambda c: F.col("doc")[c]
 
-    # the source of a row without one must differ from every name
+    # the row travels as one struct, so its columns meet no other; a missing source is one of its own
     named = F.when(col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), col(source).cast("string")))
-    base = docs.withColumns(
-        {n["mix_tokens"]: token_count(col(text)), n["mix_source"]: named, n["mix_key"]: row_key(seed, doc_id, text)}
+    base = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias("doc"), token_count(col(text)).alias("n"),
+        named.alias("s"), row_key(seed, doc_id, text).alias("key"),
     )
     sizes = materialise(
-        base.groupBy(src.alias("s")).agg(F.sum(tokens).alias("tokens")).withColumn(
+        base.groupBy("s").agg(F.sum("n").alias("tokens")).withColumn(
             "blocks", F.ceil(F.col("tokens") / F.lit(mixture.block_tokens)).cast("long")
         ),
         "mix-sizes",
@@ -144,9 +143,9 @@ def mix_sources(
     )
 
     # a document's block follows from its key; blocks have about block_tokens tokens each
-    of_block = F.pmod(F.conv(F.substring(key, 1, 12), 16, 10).cast("long"), F.col("blocks"))
-    placed = base.join(plan, src == F.col("s")).withColumn(n["mix_block"], of_block).drop("s")
-    blocks = placed.groupBy(src.alias("s"), block.alias("b")).agg(F.sum(tokens).alias("size"), F.first("rest").alias("rest"))
+    of_block = F.pmod(F.conv(F.substring("key", 1, 12), 16, 10).cast("long"), F.col("blocks"))
+    placed = base.join(plan, "s").withColumn("b", of_block)
+    blocks = placed.groupBy("s", "b").agg(F.sum("n").alias("size"), F.first("rest").alias("rest"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("s"), F.lit(":"), F.col("b").cast("string")).cast("binary"))
     run = Window.partitionBy("s").orderBy(order, "b").rowsBetween(Window.unboundedPreceding, 0)
     # 'left': what the rest of the quota still has when the block begins
@@ -157,21 +156,19 @@ def mix_sources(
         "mix-blocks",
     )
     at_edge = permuted.filter("edge").select("s", "b", "left")
-    whole = permuted.filter("NOT edge").select("s", "b")
+    whole = permuted.filter("NOT edge").select("s", "b", F.lit(1).alias("more"))
 
     def taken(frame: DataFrame, epochs: Column) -> DataFrame:
         return frame.select(
-            *[col(c) for c in columns],
-            F.explode(epochs).alias(n["mix_epoch"]),
-            tokens.alias(n["mix_tokens"]),
-            F.col("weight").alias(n["mix_weight"]),
-            F.lit(exponent).alias(n["mix_exponent"]),
+            *[given(c).alias(c) for c in docs.columns],
+            F.explode(epochs).alias(names["mix_epoch"]),
+            F.col("n").alias(names["mix_tokens"]),
+            F.col("weight").alias(names["mix_weight"]),
+            F.lit(exponent).alias(names["mix_exponent"]),
         )
 
-    on = lambda other: (src == other["s"]) & (block == other["b"])
-    flagged = placed.join(whole.withColumn("more", F.lit(1)), on(whole), "left").drop("s", "b")
-    upto = F.coalesce(F.col("epochs") + F.coalesce(F.col("more"), F.lit(0)), F.lit(0)).cast("int")
-    main = taken(flagged.filter(upto > 0), F.sequence(F.lit(0), upto - 1))
-    inside = Window.partitionBy(src, block).orderBy(key, tokens).rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.join(at_edge, on(at_edge)).withColumn("upto", F.sum(tokens).over(inside)).filter("upto <= left")
-    return main.unionByName(taken(edge, F.array(F.col("epochs").cast("int"))))
+    upto = (F.col("epochs") + F.coalesce("more", F.lit(0))).cast("int")
+    main = placed.join(whole, ["s", "b"], "left").filter(upto > 0)
+    inside = Window.partitionBy("s", "b").orderBy("key", "n").rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.join(at_edge, ["s", "b"]).withColumn("upto", F.sum("n").over(inside)).filter("upto <= left")
+    return taken(main, F.sequence(F.lit(0), upto - 1)).unionByName(taken(edge, F.array(F.col("epochs").cast("int"))))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from dayloom.functions.history_columns import HISTORY_COLUMNS, history_name
 from dayloom.vocab import (
     EVENT_DERIVED_FEATURES,
-    HISTORY_COLUMNS,
     PRODUCTION_FEATURES,
     SCORE_RANGE,
-    history_column,
 )
 
 
@@ -227,7 +226,7 @@ def check_specs(specs: tuple[TargetSpec, ...]) -> None:
         unknown = sorted(set(spec.features) - allowed)
         if unknown:
             raise ValueError(f"{spec.target}: unknown features {unknown}")
-        if history_column(spec.target, "mean") not in spec.features:
+        if history_name(spec.target, "mean") not in spec.features:
             raise ValueError(f"{spec.target}: its own history mean is needed")
         if not set(spec.features) & set(EVENT_DERIVED_FEATURES):
             raise ValueError(f"{spec.target}: an event-derived feature is needed")

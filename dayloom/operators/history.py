@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from dayloom.functions.numbers import finite_or_null, finite_or_zero
 from dayloom.functions.times import DAY_US, MINUTE_US, floor_div, from_us, to_us
+from dayloom.functions.history_columns import HISTORY_COLUMNS, history_name
 from dayloom.vocab import (
     CALENDAR_COLUMNS,
-    HISTORY_COLUMNS,
     HISTORY_SOURCE,
     ROLLING_COLUMNS,
     TARGETS,
-    history_column,
 )
 
 
@@ -266,7 +265,7 @@ def self_report_history(
     )
     return table.join(wide, ["user_id", "timestamp"], "left").select(
         *table.columns,
-        *[F.expr(f"_stats[{i}].{n}").alias(history_column(t, n)) for i, t in enumerate(names) for n in stats],
+        *[F.expr(f"_stats[{i}].{n}").alias(history_name(t, n)) for i, t in enumerate(names) for n in stats],
         *calendar_cycle(),
     )
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from dayloom.functions.numbers import finite_or_null, is_finite
 from dayloom.functions.target_specs import TargetSpec
-from dayloom.vocab import HIGH_THRESHOLD, TARGET_TITLES, WINDOW_MINUTES, history_column
+from dayloom.functions.history_columns import history_name
+from dayloom.vocab import HIGH_THRESHOLD, TARGET_TITLES, WINDOW_MINUTES
 
 # A scorer turns named feature columns into one raw prediction column.
 ColumnScorer = Callable[[Mapping[str, Column]], Column]
@@ -132,7 +133,7 @@ def score_target(
     The estimator sees standardised features; the personal baseline is the raw
     history mean.
     """
-    history = history_column(spec.target, "mean")
+    history = history_name(spec.target, "mean")
     needs_base = spec.prediction_frame == "personal_residual" or spec.gamma < 1.0
     work = table.withColumn("_base", F.col(history)) if needs_base else table
     if standardize is not None:

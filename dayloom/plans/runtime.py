@@ -20,7 +20,8 @@ from dayloom.operators.parse import EventTables, malformed_events, parse_events
 from dayloom.operators.recourse import recommend_changes, snapshots
 from dayloom.operators.scoring import prediction_report, salted_lookup, score_all_targets
 from dayloom.plans.production import production_readings
-from dayloom.vocab import HISTORY_COLUMNS, HISTORY_SOURCE, RUNTIME_COLUMNS, TARGETS
+from dayloom.functions.history_columns import HISTORY_COLUMNS, RUNTIME_COLUMNS
+from dayloom.vocab import HISTORY_SOURCE, TARGETS
 
 
 class RuntimeRows(NamedTuple):

@@ -252,7 +252,8 @@ def add_behavior_states(spark, d):
 
 from dayloom.operators import history as hs  # noqa: E402
 from dayloom.operators import questionnaires as qs  # noqa: E402
-from dayloom.vocab import ANSWER_RANGES, CALENDAR_COLUMNS, HISTORY_STATS, TARGETS, history_column  # noqa: E402
+from dayloom.functions.history_columns import history_name  # noqa: E402
+from dayloom.vocab import ANSWER_RANGES, CALENDAR_COLUMNS, HISTORY_STATS, TARGETS  # noqa: E402
 
 # rolling features over self-report rows: two values with gaps, many rows per user
 _ROLL = """
@@ -347,7 +348,7 @@ h_{t} AS (
             "log_gap_hours": f"ln(1.0 + (epoch_us(r.\"timestamp\") - epoch_us(h_{t}.last_ts)) / 3600000000.0)",
             "last_minus_mean": f"h_{t}.last - h_{t}.mean",
         }
-        cols += [q_rnd(value[s], history_column(t, s)) for s in HISTORY_STATS]
+        cols += [q_rnd(value[s], history_name(t, s)) for s in HISTORY_STATS]
     joins = " ".join(f'JOIN h_{t} ON h_{t}.user_id = r.user_id AND h_{t}."timestamp" = r."timestamp"' for t in targets)
     return ctes, cols, joins
 
@@ -369,7 +370,7 @@ def self_report_history(spark, d):
     table = fx.self_reports(spark, d).drop("seq")
     out = hs.self_report_history(table)
     return out.select(
-        "user_id", "timestamp", *[rnd(history_column(t, s)) for t in TARGETS for s in HISTORY_STATS],
+        "user_id", "timestamp", *[rnd(history_name(t, s)) for t in TARGETS for s in HISTORY_STATS],
         *[rnd(c) for c in CALENDAR_COLUMNS],
     )
 
@@ -852,7 +853,8 @@ from dayloom.operators import constraints as cs  # noqa: E402
 from dayloom.operators import recourse as rc  # noqa: E402
 from dayloom.operators import scoring as sc  # noqa: E402
 from dayloom.plans import runtime as rt  # noqa: E402
-from dayloom.vocab import ACTION_COLUMNS, ACTION_NAMES, ACTION_SOURCES, ACTIONABLE_COLUMNS, HISTORY_COLUMNS, RUNTIME_COLUMNS  # noqa: E402
+from dayloom.functions.history_columns import HISTORY_COLUMNS, RUNTIME_COLUMNS  # noqa: E402
+from dayloom.vocab import ACTION_COLUMNS, ACTION_NAMES, ACTION_SOURCES, ACTIONABLE_COLUMNS  # noqa: E402
 
 # order-keyed allocations: 14 minute columns that stay within the hour, in whole quarters
 _MINUTES = {t: f"(o_orderkey * {i + 3} + o_custkey * {7 * i + 1}) % 17 / 4.0" for i, t in enumerate(TIME_COLUMNS)}
@@ -1102,7 +1104,7 @@ def _score_sql(spec, weights, column) -> str:
     """One target's score as SQL over a row of runtime features."""
     value = "(" + ("0.0" if spec.prediction_frame == "personal_residual" else "3.0") + "".join(
         f" + coalesce({column(f)}, 0.0) * ({w!r})" for f, w in weights.items()) + ")"
-    base = f"coalesce({column(history_column(spec.target, 'mean'))}, 3.0)"
+    base = f"coalesce({column(history_name(spec.target, 'mean'))}, 3.0)"
     if spec.prediction_frame == "personal_residual":
         value = f"({value} + {base})"
     if spec.gamma < 1:
@@ -1177,12 +1179,12 @@ h_{x} AS (
         FROM asked a JOIN reports y ON y.user_id = a.user_id AND y.t < a.t AND y.{x} IS NOT NULL)
   GROUP BY ALL)""")
         values |= {
-            history_column(x, "last"): f"h_{x}.last", history_column(x, "mean"): f"h_{x}.mean",
-            history_column(x, "mean_3"): f"h_{x}.mean_3",
-            history_column(x, "std"): f"CASE WHEN h_{x}.n > 1 THEN h_{x}.std ELSE 0 END",
-            history_column(x, "log_count"): f"ln(1.0 + coalesce(h_{x}.n, 0))",
-            history_column(x, "log_gap_hours"): f"ln(1.0 + (r.t - h_{x}.last_ts) / 3600000000.0)",
-            history_column(x, "last_minus_mean"): f"h_{x}.last - h_{x}.mean",
+            history_name(x, "last"): f"h_{x}.last", history_name(x, "mean"): f"h_{x}.mean",
+            history_name(x, "mean_3"): f"h_{x}.mean_3",
+            history_name(x, "std"): f"CASE WHEN h_{x}.n > 1 THEN h_{x}.std ELSE 0 END",
+            history_name(x, "log_count"): f"ln(1.0 + coalesce(h_{x}.n, 0))",
+            history_name(x, "log_gap_hours"): f"ln(1.0 + (r.t - h_{x}.last_ts) / 3600000000.0)",
+            history_name(x, "last_minus_mean"): f"h_{x}.last - h_{x}.mean",
         }
     values |= _CALENDAR_SQL
     joins = " ".join(f"LEFT JOIN h_{x} ON h_{x}.user_id = r.user_id AND h_{x}.t = r.t" for x in TARGETS)
@@ -1257,7 +1259,7 @@ def content_hash(spark, d):
 
 # --- the same operators under their own names, and single columns of wider ones ---------------
 
-from dayloom.vocab import feature_sets as _feature_sets  # noqa: E402
+from dayloom.functions.history_columns import columns_of_set  # noqa: E402
 
 for _alias, _same in {
     "nearest_state": "assign_state", "context_ratios": "context_features",
@@ -1289,7 +1291,7 @@ def hourly_counts_join(spark, d):
     return st.hourly_behavior(w, web).select("user_id", "hour", "event_count")
 
 
-_SET = _feature_sets("arousal")["history_vector_aw25"]
+_SET = columns_of_set("history_vector_aw25", "arousal")
 
 
 @query("feature_sets", f"""{_HROWS} SELECT user_id, "timestamp", {', '.join(q_rnd(c, c) for c in _SET)} FROM hist""")

@@ -16,8 +16,12 @@ from dayloom.operators.history import self_report_history
 from dayloom.operators.parse import EventTables
 from dayloom.operators.questionnaires import composite_targets, validate_answers
 from dayloom.plans import runtime as rt
+from dayloom.functions.history_columns import HISTORY_COLUMNS, RUNTIME_COLUMNS, SETS, columns_of_set
 from dayloom.vocab import (
-    ACTION_COLUMNS, ACTION_NAMES, ANSWER_RANGES, HISTORY_COLUMNS, RUNTIME_COLUMNS, TARGETS, feature_sets,
+    ACTION_COLUMNS,
+    ACTION_NAMES,
+    ANSWER_RANGES,
+    TARGETS,
 )
 from tests.helpers import REQUEST, at, golden
 
@@ -57,7 +61,7 @@ def test_report_history_against_plain_python(spark):
 
 
 def test_feature_sets_have_contract_sizes():
-    sizes = {n: len(c) for n, c in feature_sets("arousal").items()}
+    sizes = {n: len(columns_of_set(n, "arousal")) for n in SETS}
     assert sizes == {"history_core_aw25": 36, "history_vector_aw25": 54, "history_core_direct16": 27}
     assert len(RUNTIME_COLUMNS) == 93 and len(HISTORY_COLUMNS) == 53
     check_specs(COMPACT_TARGETS)

@@ -110,6 +110,7 @@ def base_rows(snapshots: DataFrame) -> DataFrame:
         )
         .withColumn("date", F.date_format("timestamp", "yyyy-MM-dd"))
         .withColumn("m", F.from_json("data_key", "map<string,string>"))
+        .withColumn("v", F.try_parse_json("data_key"))
     )
 
 
@@ -118,9 +119,14 @@ def _value(name: str) -> Column:
 
 
 def _text(name: str, default: str = "") -> Column:
-    """The text of a field; absent, null, empty, zero and false fall to the default."""
+    """The text of a field; absent, null, empty, zero and false fall to the default.
+
+    Only JSON values count as zero or false: the strings ``"0"`` and ``"false"`` are texts.
+    """
     value = _value(name)
-    return F.when(value.isNull() | value.isin("", "0", "0.0", "false"), F.lit(default)).otherwise(value)
+    is_text = F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")) == "STRING"
+    falsy = value.isin("0", "0.0", "-0.0", "false") & ~F.coalesce(is_text, F.lit(False))
+    return F.when(value.isNull() | (value == "") | falsy, F.lit(default)).otherwise(value)
 
 
 def window_rows(base: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,16 @@ from dayloom.vocab import HIGH_THRESHOLD, TARGET_TITLES, WINDOW_MINUTES
 
 # A scorer turns named feature columns into one raw prediction column.
 ColumnScorer = Callable[[Mapping[str, Column]], Column]
-# A table scorer adds the raw prediction as a column of that name (pyspark.ml models).
-TableScorer = Callable[[DataFrame, str], DataFrame]
+
+
+@dataclass(frozen=True)
+class TableScorer:
+    """Adds the raw prediction as a column of a given name (pyspark.ml models)."""
+
+    add: Callable[[DataFrame, str], DataFrame]
+
+    def __call__(self, table: DataFrame, name: str) -> DataFrame:
+        return self.add(table, name)
 
 
 def linear_scorer(weights: Mapping[str, float], intercept: float = 0.0) -> ColumnScorer:
@@ -48,12 +57,12 @@ def ml_scorer(model, features: list[str], output: str = "prediction") -> TableSc
             value = vector_to_array(value)[1]
         return out.select(*table.columns, value.alias(name))
 
-    return score
+    return TableScorer(score)
 
 
 def add_score(table: DataFrame, scorer, name: str, features: list[str] | None = None) -> DataFrame:
     """Add the raw output of either kind of scorer as ``name``."""
-    if getattr(scorer, "__code__", None) is not None and scorer.__code__.co_argcount == 2:
+    if isinstance(scorer, TableScorer):
         return scorer(table, name)
     return table.withColumn(name, scorer({c: F.col(c) for c in (features or table.columns)}))
 

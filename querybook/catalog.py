@@ -1298,3 +1298,83 @@ _SET = columns_of_set("history_vector_aw25", "arousal")
 def feature_sets(spark, d):
     table = contract.project_contract(_history_rows(spark, d), ["user_id", "timestamp", *_SET])
     return table.select("user_id", "timestamp", *[rnd(c) for c in _SET])
+
+
+# --- sources and sinks ---------------------------------------------------------------------------
+
+from dayloom.sources import buckets as bk, configs, sinks  # noqa: E402
+
+
+@query("explode_buckets", """
+SELECT 'u' || CAST(user_id AS VARCHAR) AS user_id, 'b-' || event_type AS bucket, 'currentwindow' AS type, event_id,
+  CAST(c.copy AS BIGINT) AS seq, CAST(event_id % 100 + c.copy AS VARCHAR) AS duration
+FROM events, (SELECT unnest([0, 1, 2]) AS copy) c""")
+def explode_buckets(spark, d):
+    def event(k):
+        return F.struct(
+            F.lit("2024-01-01T00:00:00").alias("timestamp"),
+            (F.col("event_id") % 100 + k).cast("string").alias("duration"),
+            F.col("event_id").cast("string").alias("data"),
+        )
+
+    exports = fx.table(spark, d, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
+        F.create_map(
+            F.concat(F.lit("b-"), F.col("event_type")),
+            F.struct(
+                F.lit("currentwindow").alias("type"), F.lit("h").alias("hostname"), F.lit(None).cast("string").alias("data"),
+                F.array(*[event(k) for k in range(3)]).alias("events"),
+            ),
+        ).alias("buckets"),
+    )
+    return bk.raw_events(exports).select(
+        "user_id", "bucket", "type", F.col("data").cast("bigint").alias("event_id"), "seq", "duration"
+    )
+
+
+@query("rules_source", f"""
+SELECT {_duck_category("(regexp_extract(html, '<title>(.*?)</title>', 1) || chr(10) || url)")} AS category, count(*) AS pages
+FROM pages GROUP BY ALL""")
+def rules_source(spark, d):
+    """The rule file read as an installation's own, and the named categories it gives."""
+    import dayloom.functions
+
+    rules = configs.load_rules(f"{dayloom.functions.__path__[0]}/category_rules.json")
+    return (
+        fx.pages(spark, d).select(categorize_web(F.col("url"), F.col("title"), rules).alias("category"))
+        .groupBy("category").agg(F.count("*").alias("pages"))
+    )
+
+
+QUERIES["category_slug"], ORACLES["category_slug"] = QUERIES["rules_source"], ORACLES["rules_source"]
+
+
+@query("feature_sink", f"""
+WITH {sp.FX} SELECT user_id, "timestamp", CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS date FROM fx WHERE source_type = 'request'""")
+def feature_sink(spark, d):
+    """Written by date to the shared folder and read back."""
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared.rstrip('/')}/features-{uuid.uuid4().hex}"
+    sinks.write_features(fx.requests(spark, d), path, writers=2)
+    return spark.read.parquet(path).select("user_id", "timestamp", F.col("date").cast("string").alias("date"))
+
+
+@query("runtime_rejected", f"""{_RUNTIME_SQL},
+bad AS (SELECT DISTINCT user_id FROM fx WHERE source_type = 'input' AND k % 97 = 5)
+SELECT user_id, "timestamp", reason, count(*) AS n FROM (
+  SELECT user_id, "timestamp", CASE WHEN user_id IN (SELECT user_id FROM bad) THEN 'input: negative: presses'
+    ELSE 'no window or web activity in the current 60-minute window' END AS reason
+  FROM production WHERE total_active_minutes IS NULL OR total_active_minutes <= 0 OR user_id IN (SELECT user_id FROM bad)
+  UNION ALL SELECT DISTINCT user_id, CAST(NULL AS TIMESTAMP), 'invalid timestamp' FROM fx WHERE source_type = 'request' AND k % 5 = 0
+) GROUP BY ALL""")
+def runtime_rejected(spark, d):
+    """Requests without activity, of users with an invalid event, or without a time."""
+    e = fx.interval_events(spark, d)
+    i = fx.input_events(spark, d)
+    bad = i.withColumn("presses", F.when(F.col("presses") % 97 == 5, -1.0).otherwise(F.col("presses")))
+    tables = parse.EventTables(fx.window_events(spark, d), fx.web_events(spark, d), bad)
+    unread = e.filter("source_type = 'request' AND k % 5 = 0").select("user_id", F.lit(None).cast("timestamp_ntz").alias("timestamp"))
+    asked = fx.requests(spark, d).unionByName(unread).withColumn("user_id", F.concat(F.lit(" "), F.col("user_id")))
+    return rt.runtime_features(tables, asked).rejected.groupBy("user_id", "timestamp", "reason").agg(F.count("*").alias("n"))

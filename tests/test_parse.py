@@ -161,3 +161,21 @@ def test_sink_partitions_by_date(spark, tmp_path):
     write_features(table, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 2 and "date" in back.columns
+
+
+def test_strings_of_zero_and_false_are_texts(spark):
+    import json
+
+    from dayloom.sources.buckets import RAW_SCHEMA
+
+    titles = [{"title": "0"}, {"title": 0}, {"title": False}, {"title": "false"}, {}, {"title": None}, {"title": 1.5}]
+    rows = [("u", "b", "currentwindow", "h", None, i, "2024-01-01T00:00:00+00:00", "60", json.dumps({"app": f"a{i}", **t})) for i, t in enumerate(titles)]
+    out = parse_events(spark.createDataFrame(rows, RAW_SCHEMA)).window.orderBy("app").collect()
+    assert [r["title"] for r in out] == ["0", "", "", "false", "", "", "1.5"]
+
+
+def test_default_rules_are_the_whole_table():
+    from dayloom.functions.categories import DEFAULT_RULES
+
+    assert len(DEFAULT_RULES) == 24 and ("Work", "Programming", "ActivityWatch") in {r.path for r in DEFAULT_RULES}
+    assert all(len(r.pattern) > 2 for r in DEFAULT_RULES if r.pattern)

@@ -57,7 +57,7 @@ def activity_union(window: DataFrame | None, web: DataFrame | None) -> DataFrame
 
 
 def _sweep(merge: str):
-    """Paint events in rising precedence over the elementary slices of each bin."""
+    """Give each elementary slice of a bin to its strongest event; linear in events and slices."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         n = len(p)
@@ -76,8 +76,17 @@ def _sweep(merge: str):
         rank = np.lexsort(
             (-code, -p["seq"].to_numpy(), p["s_us"].to_numpy(), p["priority"].to_numpy())
         )
-        for i, a, b in zip(rank.tolist(), first[rank].tolist(), last[rank].tolist()):
-            winner[a:b] = i
+        # strongest first: a slice is written once, `free` leads past those already taken
+        free = list(range(len(edges) + 1))
+        for i, a, b in zip(rank[::-1].tolist(), first[rank[::-1]].tolist(), last[rank[::-1]].tolist()):
+            while True:
+                while free[a] != a:
+                    free[a] = free[free[a]]
+                    a = free[a]
+                if a >= b:
+                    break
+                winner[a] = i
+                free[a] = a + 1
         cells = np.flatnonzero(winner >= 0)
         won = winner[cells]
         if merge == "category":

@@ -1251,7 +1251,14 @@ def snapshot(spark, d):
     return out.select("user_id", "timestamp", "snapshot_id", *[rnd(f"p_{t}") for t in TARGETS], *[f"state_{t}" for t in TARGETS])
 
 
-@query("content_hash")
+_HASHED = " || ".join(
+    f"""',"{t}":' || coalesce(CAST({t} AS VARCHAR), 'null')""" for t in TARGETS
+)
+
+
+@query("content_hash", f"""
+WITH {sp.REPORTS} SELECT seq, sha256('demo' || chr(10) || '{{"user_id":"' || user_id || '","timestamp":"' ||
+  strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%g') || '"' || {_HASHED} || '}}') AS content_hash FROM reports""")
 def content_hash(spark, d):
     table = fx.self_reports(spark, d)
     return table.select("seq", sc.content_hash(table, "demo", ["user_id", "timestamp", *TARGETS]).alias("content_hash"))

@@ -75,11 +75,16 @@ class Unit:
             width *= 2
         if reach > width:
             small = np.minimum(small[: -(reach - width)], small[reach - width :])
-        at = np.arange(b - a, dtype=np.int64)
-        anchor = at + ((small & np.uint64(0xFFFFFFFF)).astype(np.int64) - at) % STEP
-        row = np.searchsorted(self.starts, at + a, side="right") - 1
-        inside = at + a + WINDOW <= self.starts[row + 1]
-        at, anchor, row = at[inside], anchor[inside], row[inside]
+        at = np.arange(b - a, dtype=np.uint32)
+        anchor = at + (small.astype(np.uint32) - at) % np.uint32(STEP)
+        # the documents of the block, and how many of its windows begin and how many end in each
+        docs = np.arange(np.searchsorted(self.starts, a, side="right") - 1, np.searchsorted(self.starts, b))
+        begins = np.maximum(self.starts[docs], a)
+        ends = np.minimum(self.starts[docs + 1], b)
+        row = np.repeat(docs.astype(np.int32), ends - begins)
+        last = np.repeat((self.starts[docs + 1] - a - WINDOW).astype(np.int32), ends - begins)
+        inside = at.view(np.int32) <= last
+        at, anchor, row = at[inside].astype(np.int64), anchor[inside].astype(np.int64), row[inside].astype(np.int64)
         new = np.ones(len(at), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
         begin = np.flatnonzero(new)
@@ -92,14 +97,16 @@ class Unit:
 
     def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct anchors, whether several documents have one, and each fragment's number."""
-        order = np.lexsort((self.row, self.keys))
+        order = np.argsort(self.keys)
         keys, rows = self.keys[order], self.row[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=bool)
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
         begin = np.flatnonzero(new)
-        end = np.concatenate([begin[1:], [len(keys)]]) - 1 if len(begin) else begin
         number = np.empty(len(keys), dtype=np.int64)
         number[order] = np.cumsum(new) - 1
-        return keys[begin], rows[begin] != rows[end], number
+        if not len(begin):
+            return keys, new, number
+        return keys[begin], np.minimum.reduceat(rows, begin) != np.maximum.reduceat(rows, begin), number
 
     def fragments(self, kept: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct fragments (sorted), their keys and smallest ids, and the fragment of each kept run."""

@@ -9,6 +9,7 @@ from dayloom.functions.numbers import finite_or_zero
 from dayloom.functions.state_model import DEFAULT_STATE_MODEL, StateModel
 from dayloom.functions.times import MINUTE_US, from_us, to_us
 from dayloom.operators.allocations import action_columns
+from dayloom.session import cut_lineage
 from dayloom.operators.history import prior_requests
 from dayloom.operators.states import state_readings
 from dayloom.operators.timeline import activity_union
@@ -45,6 +46,8 @@ def production_readings(
             F.concat(F.array("timestamp"), F.reverse("prior_times"))
         ).alias("rank", "at"),
     ).select("user_id", "for_us", "rank", to_us("at").alias("req_us"))
+    # every family of features probes at these instants: written once, not derived by each
+    wanted = cut_lineage(wanted)
     instants = wanted.select(*KEY).distinct()
     table = feature_readings(
         window, web, inputs, instants, WINDOW_MINUTES, context=True, recut=recut,

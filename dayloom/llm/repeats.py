@@ -38,7 +38,7 @@ WINDOW, ANCHOR, STEP, SMALL = 50, 32, 19, 13  # STEP = WINDOW - ANCHOR + 1; SMAL
 UNIT_ROWS, BLOCK = 2_048, 1 << 19  # documents of a unit; windows whose anchors are found at once
 NO_ID = np.iinfo(np.int64).max
 #: Anchors and fragment bytes of a group, about; bytes of a shard whose transform is built at once.
-GROUP_ANCHORS, GROUP_BYTES, SHARD_BYTES = 1_000_000, 8 << 20, 1 << 20
+GROUP_ANCHORS, GROUP_BYTES, SHARD_BYTES = 1_000_000, 1 << 20, 256 << 10
 MIX, MIX2, MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 
 
@@ -233,18 +233,19 @@ def merge(shards: list[Transform], depth: int = WINDOW) -> tuple[np.ndarray, np.
     symbols = np.empty(n, dtype=np.uint8)
     rows = [np.flatnonzero(shard == k) for k in range(len(shards))]
     starts = np.concatenate([[0], np.cumsum(np.sum([t.counts for t in shards], axis=0))])
-    heads = np.zeros(n, dtype=np.uint8)  # the first symbol of the row at each place
-    heads[:] = np.repeat(np.arange(256), np.diff(starts))
+    first = np.zeros(n, dtype=bool)  # where rows of another first symbol begin
+    first[starts[:-1][np.diff(starts) > 0]] = True
     for h in range(1, depth + 1):
         for t, at in zip(shards, rows, strict=True):
             symbols[at] = t.symbols
         order = np.argsort(symbols, kind="stable")
         shard, block = shard[order], block[order]
-        new = np.concatenate([[True], (heads[1:] != heads[:-1]) | (block[1:] != block[:-1])])
+        new = first.copy()
+        new[1:] |= block[1:] != block[:-1]
         new[: starts[1]] = False  # ends of strings are alike, whatever follows
         new[0] = True
         common[new & (common == depth)] = h - 1
-        block = np.cumsum(new).astype(np.int32)
+        block = np.cumsum(new, dtype=np.int32)
         rows = [np.flatnonzero(shard == k) for k in range(len(shards))]
     string, offset = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     for t, at in zip(shards, rows, strict=True):

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from dayloom.llm import decontamination, mixing, quality, simhash, tokens
 from dayloom.llm.common import col, materialise, table
 
-#: Near duplicates: SimHash of 5-word shingles; 12 of 64 bits is where texts of similarity 0.8 lie.
-NEAR = {"words": 5, "radius": 12, "keys": 8}
+#: Near duplicates: sets of 5-word shingles with a similarity of 0.8; of such pairs about one in
+#: 100,000 or fewer lies beyond 26 of 64 bits, and three in a million share none of eight min-hashes.
+NEAR = {"words": 5, "share": 0.8, "radius": 26, "keys": 8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ to the shard's query blocks; a query follows only edges within the radius of its
 node. The trees travel in the shuffle, since the rules let no driver see all fingerprints.
 
 Shards come from the fingerprint's own bits (exact for small radii: a pair that differs in r bits
-agrees on one of r + 1 bands) or from keys of the caller (min-hashes, for larger radii).
+agrees on one of r + 1 bands) or from keys of the caller (min-hashes, for larger radii). For
+removal (``keep_one``) the trees only find candidates; sets of shingles decide.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.llm.common import bounded_batches, col, free_name, materialise, words_of
@@ -25,6 +26,8 @@ from dayloom.llm.common import bounded_batches, col, free_name, materialise, wor
 SHARD, BLOCK = 8_192, 16_384
 #: Queries that walk a tree together.
 WALK = 1_024
+#: Pairs that such a walk meets at most, and shingles of a block whose sets are compared, about.
+WALKED, LOAD = 1 << 18, 500_000
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -260,21 +263,154 @@ def simhash_groups(
     return marked.select("doc_id", "fp").join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def signatures(docs: DataFrame, words: int, keys: int, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, ``node`` (a hash of its set of shingles), ``fp``, ``size`` and ``keys`` of that set."""
+    import xxhash
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text_ in batch.text:
+                h = np.unique(shingle_hashes(text_, words))
+                rows.append((xxhash.xxh64_intdigest(h.tobytes(), 42), fingerprint(h), len(h), min_hashes(h, keys).view(np.int64)))
+            out = pd.DataFrame({"doc_id": batch.doc_id})
+            for k, name in enumerate(("node", "fp")):
+                out[name] = np.array([r[k] for r in rows], dtype=np.uint64).view(np.int64)
+            yield out.assign(size=[r[2] for r in rows], keys=[r[3] for r in rows])
+
+    bounded_batches(docs.sparkSession)
+    source = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
+    return source.mapInPandas(run, "doc_id long, node long, fp long, size long, keys array<long>")
+
+
+def _block_pairs(members: DataFrame, load: Column, block: int) -> DataFrame:
+    """Members of shards of two or more, once for each pair (i, j) of blocks that their own block is in."""
+    sizes = members.groupBy("shard").agg(F.count("*").alias("n"), F.sum(load).alias("load")).filter("n > 1")
+    sizes = sizes.select("shard", F.ceil(F.col("load") / F.lit(block)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def _candidates(rows: pd.DataFrame, radius: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers of a pair of blocks that may have ``share`` of their shingles in common.
+
+    Their fingerprints are within the radius and their sizes allow it. A pair that meets in several
+    shards is a candidate in the first of them only.
+    """
+    i, j = rows.i.iloc[0], rows.j.iloc[0]
+    values = rows.fp.to_numpy(dtype=np.int64).view(np.uint64)
+    size = rows["size"].to_numpy(dtype=np.int64)
+    keys = np.stack(rows["keys"].to_numpy())
+    before = keys[:, : int(np.argmax(keys[0] == rows.shard.iloc[0]))]
+    in_tree = rows.own.to_numpy() == i
+    tree_at = np.flatnonzero(in_tree)
+    query_at = tree_at if i == j else np.flatnonzero(~in_tree)
+    if not len(tree_at) or not len(query_at):
+        return
+    tree_at = tree_at[np.argsort(values[tree_at], kind="stable")]
+    distinct, first, count = np.unique(values[tree_at], return_index=True, return_counts=True)
+    tree = BKTree(distinct)
+    walk = max(1, min(WALK, WALKED // len(tree_at)))
+    for a in range(0, len(query_at), walk):
+        asked = query_at[a : a + walk]
+        for q, v in tree.search(values[asked], radius):
+            n = count[v]
+            skip = np.cumsum(n) - n
+            x = np.repeat(asked[q], n)
+            y = tree_at[np.repeat(first[v] - skip, n) + np.arange(len(x))]
+            fits = np.minimum(size[x], size[y]) >= share * np.maximum(size[x], size[y])
+            if i == j:
+                fits &= x < y
+            x, y = x[fits], y[fits]
+            new = ~(before[x] == before[y]).any(1)
+            if new.any():
+                yield x[new], y[new]
+
+
+def similar_pairs(nodes: DataFrame, sets, radius: int, share: float, block: int = BLOCK, load: int = LOAD) -> DataFrame:
+    """Links (a > b) that connect the nodes with ``share`` or more of their shingles in common.
+
+    Nodes with a candidate in a shard meet there again with their sets of shingles, which
+    ``sets(nodes)`` gives, in blocks of about ``load`` shingles. The similarity of every candidate
+    is counted, but for pairs already connected in their group; a spanning set of the links that
+    hold is returned.
+    """
+    members = nodes.select("node", "fp", "size", "keys", F.explode("keys").alias("shard"))
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        has = np.zeros(len(rows), dtype=bool)
+        for x, y in _candidates(rows, radius, share):
+            has[x] = has[y] = True
+        return rows.loc[has, ["node", "fp", "size", "keys", "shard"]]
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        pieces = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"]]
+        size = np.array([len(x) for x in pieces])
+        ends = np.cumsum(size)
+        code = np.unique(np.concatenate(pieces), return_inverse=True)[1].reshape(-1)
+        codes = [code[e - n : e] for n, e in zip(size.tolist(), ends.tolist(), strict=True)]
+        inside = np.zeros(int(code.max()) + 1, dtype=bool)
+        labels = np.arange(len(rows))
+        for x, y in _candidates(rows, radius, share):
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            asked, begins = np.unique(x, return_index=True)
+            for q, other in zip(asked.tolist(), np.split(y, begins[1:]), strict=True):
+                other = other[labels[other] != labels[q]]
+                if not len(other):
+                    continue
+                inside[codes[q]] = True
+                common = np.array([np.count_nonzero(inside[codes[v]]) for v in other.tolist()])
+                inside[codes[q]] = False
+                alike = other[common / (size[q] + size[other] - common) >= share]
+                _unite(labels, np.full(len(alike), q), alike)
+        linked = np.flatnonzero(labels != np.arange(len(labels)))
+        node = rows.node.to_numpy(dtype=np.int64)
+        return pd.DataFrame({"a": np.maximum(node[linked], node[labels[linked]]), "b": np.minimum(node[linked], node[labels[linked]])})
+
+    schema = "node long, fp long, size long, keys array<long>, shard long"
+    found = _block_pairs(members, F.lit(1), block).groupBy("shard", "i", "j").applyInPandas(search, schema)
+    found = materialise(found.dropDuplicates(["shard", "node"]), "candidates")
+    again = _block_pairs(found, F.col("size"), load).join(sets(found.select("node").distinct()), "node")
+    return again.groupBy("shard", "i", "j").applyInPandas(verify, "a long, b long").distinct()
+
+
 def keep_one(
-    docs: DataFrame, words: int = 5, radius: int = 12, keys: int = 8,
+    docs: DataFrame, words: int = 5, share: float = 0.8, radius: int = 26, keys: int = 8,
     doc_id: str = "doc_id", text: str = "text", **sizes: int,
 ) -> DataFrame:
     """The rows that stay: one of each group of near duplicates, the one with the smallest id.
 
-    Texts without words are nobody's copies and stay. Rows without an id are the last of their
-    group; of rows with equal ids the first in the scan stays. ``docs`` has to be a scan of
-    files, as its rows are told apart by their place in it.
+    Two texts are near duplicates if their sets of runs of ``words`` words have a Jaccard
+    similarity of ``share`` or more, counted on the sets; groups are what such pairs connect.
+    Pairs are looked for among those that share one of ``keys`` min-hashes and whose SimHash
+    fingerprints are within ``radius``. Texts without words are nobody's copies and stay. Rows
+    without an id are the last of their group; of rows with equal ids the first in the scan
+    stays. ``docs`` has to be a scan of files, as its rows are told apart by their place in it.
     """
     row = free_name(docs, "row")
     placed = docs.withColumn(row, F.monotonically_increasing_id())
     worded = placed.filter(F.size(words_of(col(text))) > 0)
-    groups = simhash_groups(worded, words, radius, keys, row, text, **sizes).select(
-        F.col("doc_id").alias("row"), F.col("component_id").alias("grp")
+    marked = materialise(signatures(worded, words, keys, row, text), "signatures")
+    nodes = materialise(
+        marked.groupBy("node").agg(F.min("doc_id").alias("first_row"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")]),
+        "nodes",
+    )
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                made = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.text]
+                yield pd.DataFrame({"node": batch.node, "set": made})
+
+        rows = materialise(nodes.join(wanted, "node").select("node", "first_row"), "wanted")
+        texts = placed.select(col(row).alias("first_row"), col(text).alias("text")).join(rows, "first_row")
+        return texts.select("node", "text").mapInPandas(run, "node long, set binary")
+
+    roots = components(similar_pairs(nodes, sets, radius, share, **sizes), "links")
+    groups = marked.select(F.col("doc_id").alias("row"), "node").join(roots, "node", "left").select(
+        "row", F.coalesce("root", "node").alias("grp")
     )
     ids = placed.select(col(row).alias("row"), col(doc_id).cast("long").alias("id"))
     members = materialise(groups.join(ids, "row"), "members")

@@ -136,6 +136,31 @@ def test_one_of_each_group_stays(spark, tmp_path):
     assert simhash.keep_one(on_disk(table.filter("false"), tmp_path / "e")).count() == 0
 
 
+def test_near_copies_are_those_of_the_exact_similarity(spark, tmp_path):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):  # from close copies to texts that share half
+        text = words(3000 + i, rng.choice((9, 30, 120)), 5000).split()
+        rows.append((3 * i, " ".join(text)))
+        for k in (1, 2):
+            w = list(text)
+            cut = rng.randrange(1, max(2, len(w) // 3))
+            w[:cut] = words(4000 + 3 * i + k, cut, 5000).split()
+            rows.append((3 * i + k, " ".join(w)))
+    shingles = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    group = list(range(len(rows)))
+    find = lambda x: x if group[x] == x else find(group[x])
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) >= 0.8:
+                group[max(find(i), find(j))] = min(find(i), find(j))
+    expected = [i for i in range(len(rows)) if find(i) == i]
+    assert 60 < len(expected) < len(rows)
+    table = on_disk(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tmp_path / "n")
+    for sizes in ({}, {"block": 2, "load": 100}):
+        assert sorted(r[0] for r in simhash.keep_one(table, **sizes).collect()) == expected
+
+
 def test_overlaps_tolerate_substitutions(spark):
     items = {1: words(50, 40, 5000), 2: words(51, 15, 5000), 3: "two words", 4: None, 5: words(52, 7, 5000)}
     inner = items[1].split()

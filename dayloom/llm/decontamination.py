@@ -3,8 +3,8 @@
 A mask selects some of the tokens at its span and ignores the others, so a substituted word in
 an ignored position does not spoil a hit. The selected tokens of every position are hashed, for
 benchmark items and for documents alike, and equal hashes are hits. Around each hit the item and
-the document are compared token by token along the hit's diagonal; the stretch that scores best
-with a price on substitutions is the overlap.
+the document are compared token by token along the hit's diagonal; the longest stretch of which
+enough is equal is the overlap.
 
 The benchmark is the query set: its hashes go to the tasks in blocks of a fixed size, and each
 block meets every document.
@@ -15,6 +15,8 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,6 @@ class Settings:
     masks: tuple[str, ...] = MASKS
     min_tokens: int = 13
     min_share: float = 0.8  # of an overlap's tokens that are equal
-    substitution: int = 3  # what a substituted token costs, an equal one gains 1
     min_item_tokens: int = 5
     block_items: int = 20_000  # benchmark items that go to the tasks at once
     block_chars: int = 50_000_000
@@ -59,13 +60,15 @@ class SeedIndex:
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in split for w in ws), 1)}
         self.ids = [i for i, _ in split]
         self.tokens = [np.array([self.vocabulary[w] for w in ws], dtype=np.int64) for _, ws in split]
-        # an item shorter than every span is found by all of its tokens
-        shortest = min(map(len, s.masks))
-        lengths = sorted({len(t) for t in self.tokens if len(t) < shortest})
-        self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in s.masks]
-        self.spans = [len(m) for m in s.masks]
-        self.masks += [np.arange(n) for n in lengths]
-        self.spans += lengths
+        self.share = Fraction(s.min_share).limit_denominator(1000)
+        masks = [(np.flatnonzero(np.array(list(m)) == "1"), len(m)) for m in s.masks]
+        # short items of which some allowed substitutions spoil every seed have seeds of all that is left
+        for n in sorted({len(t) for t in self.tokens if len(t) < s.min_tokens}):
+            placed = [set((m + p).tolist()) for m, span in masks[: len(s.masks)] for p in range(n - span + 1)]
+            for gone in combinations(range(n), int(n * (1 - self.share))):
+                if all(x & set(gone) for x in placed):
+                    masks.append((np.setdiff1d(np.arange(n), gone), n))
+        self.masks, self.spans = [m for m, _ in masks], [span for _, span in masks]
         self.factors = [
             np.random.default_rng([11, k]).integers(1, 2**63, len(m), dtype=np.uint64) | np.uint64(1)
             for k, m in enumerate(self.masks)
@@ -102,18 +105,32 @@ class SeedIndex:
         return h * np.uint64(0x9E3779B97F4A7C15), at
 
     def overlap(self, tokens: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
-        """The best stretch on a diagonal: start in the document, length, equal tokens."""
+        """The longest stretch on a diagonal: start in the document, length, equal tokens.
+
+        At least ``min_share`` of it is equal. It begins and ends on equal tokens; only if no such
+        stretch is long enough may it also reach to the item's own ends.
+        """
         wanted = self.tokens[item]
         a, b = max(0, -shift), min(len(wanted), len(tokens) - shift)
         equal = tokens[a + shift : b + shift] == wanted[a:b]
-        total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -self.s.substitution))])
-        lowest = np.minimum.accumulate(total)
-        end = int(np.argmax(total - lowest))
-        begin = int(np.argmin(total[: end + 1]))
-        length, matched = end - begin, int(equal[begin:end].sum())
-        if length < min(self.s.min_tokens, len(wanted)) or matched < self.s.min_share * length:
+        least = min(self.s.min_tokens, len(wanted))
+        if len(equal) < least:
             return None
-        return a + begin + shift, length, matched
+        share = self.share
+        # a stretch has the share if the total does not fall from its begin to its end
+        total = np.concatenate([[0], np.cumsum(share.denominator * equal.astype(np.int64) - share.numerator)])
+        may_begin, may_end = equal.copy(), equal.copy()
+        for _ in range(2):
+            low = np.minimum.accumulate(np.where(may_begin, total[:-1], np.iinfo(np.int64).max))
+            ends = np.flatnonzero(may_end) + 1
+            begins = np.searchsorted(-low, -total[ends], "left")
+            if len(ends) and (ends - begins).max() >= least:
+                best = int(np.argmax(ends - begins))
+                begin, end = int(begins[best]), int(ends[best])
+                return a + begin + shift, end - begin, int(equal[begin:end].sum())
+            may_begin[0] |= a == 0
+            may_end[-1] |= b == len(wanted)
+        return None
 
     def search(self, texts) -> list[list[dict]]:
         """The overlaps of each text of an Arrow array: the longest of each item."""

@@ -193,3 +193,41 @@ def test_masks_survive_three_substitutions():
             not set(gone) & {p + o for o in span}
             for span, m in zip(spans, decontamination.MASKS, strict=True) for p in range(13 - len(m) + 1)
         )
+
+
+def test_items_are_found_under_all_allowed_substitutions():
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    for n in (*range(5, 21), 25):
+        item = [f"t{k}" for k in range(n)]
+        index = decontamination.SeedIndex([(1, " ".join(item))], decontamination.Settings())
+        texts = []
+        for gone in combinations(range(n), n // 5):
+            w = ["pre", *item, "post"]
+            for k in gone:
+                w[1 + k] = "other"
+            texts.append(" ".join(w))
+        found = index.search(pa.array(texts))
+        assert all(len(f) == 1 and f[0]["length"] >= min(n, 13) and 5 * f[0]["matched"] >= 4 * f[0]["length"] for f in found)
+
+
+def test_overlap_is_the_longest_stretch():
+    rng = random.Random(4)
+    item = [f"t{k}" for k in range(30)]
+    index = decontamination.SeedIndex([(1, " ".join(item))], decontamination.Settings())
+    lengths = set()
+    for _ in range(400):
+        equal = [rng.random() < 0.75 for _ in item]
+        tokens = np.array([7, *[k + 1 if e else 0 for k, e in enumerate(equal)], 9])
+        best = None
+        for edges in (False, True):
+            stretches = [
+                (b - a, -a, sum(equal[a:b])) for a in range(30) for b in range(a + 13, 31)
+                if (equal[a] or (edges and a == 0)) and (equal[b - 1] or (edges and b == 30)) and 5 * sum(equal[a:b]) >= 4 * (b - a)
+            ]
+            best = best or max(stretches, default=None)
+        assert index.overlap(tokens, 0, 1) == (best and (1 - best[1], best[0], best[2]))
+        lengths.add(best and best[0])
+    assert None in lengths and len(lengths) > 10

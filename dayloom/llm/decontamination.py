@@ -32,15 +32,11 @@ OVERLAP = "array<struct<item_id:bigint,start:int,length:int,matched:int>>"
 
 @dataclass(frozen=True)
 class Settings:
-    """``min_tokens``: overlaps are at least that long, or as long as a shorter item.
-
-    Items of fewer than ``min_item_tokens`` tokens are not searched for: they are common phrases.
-    """
+    """``min_tokens``: overlaps are at least that long, or as long as a shorter item."""
 
     masks: tuple[str, ...] = MASKS
     min_tokens: int = 13
     min_share: float = 0.8  # of an overlap's tokens that are equal
-    min_item_tokens: int = 5
     block_items: int = 20_000  # benchmark items that go to the tasks at once
     block_chars: int = 50_000_000
 
@@ -50,13 +46,23 @@ def normal(word: str) -> str:
     return word.lower().strip(string.punctuation)
 
 
+def split_words(texts):
+    """The pieces of each text of an Arrow array between white space, of Unicode too."""
+    import pyarrow.compute as pc
+
+    return pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+
+
 class SeedIndex:
     """Hashed seeds of a block of items: sorted hashes, with the item and position of each."""
 
     def __init__(self, items: Sequence[tuple[int | None, str | None]], s: Settings):
         self.s = s
-        split = [(i, [w for w in map(normal, (t or "").encode().decode().split()) if w]) for i, t in items]
-        split = [(i, w) for i, w in split if len(w) >= s.min_item_tokens]
+        import pyarrow as pa
+
+        pieces = split_words(pa.array([t for _, t in items], pa.string())).to_pylist()
+        split = [(i, [w for w in map(normal, ws) if w]) for (i, _), ws in zip(items, pieces, strict=True)]
+        split = [(i, w) for i, w in split if w]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in split for w in ws), 1)}
         self.ids = [i for i, _ in split]
         self.tokens = [np.array([self.vocabulary[w] for w in ws], dtype=np.int64) for _, ws in split]
@@ -134,9 +140,7 @@ class SeedIndex:
 
     def search(self, texts) -> list[list[dict]]:
         """The overlaps of each text of an Arrow array: the longest of each item."""
-        import pyarrow.compute as pc
-
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        split = split_words(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         look = self.vocabulary.get

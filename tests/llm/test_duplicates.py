@@ -231,3 +231,13 @@ def test_overlap_is_the_longest_stretch():
         assert index.overlap(tokens, 0, 1) == (best and (1 - best[1], best[0], best[2]))
         lengths.add(best and best[0])
     assert None in lengths and len(lengths) > 10
+
+
+def test_items_and_documents_are_split_alike():
+    import pyarrow as pa
+
+    item = " ".join(f"t{k}" for k in range(15))
+    for one, other in ((item, item.replace(" ", "\u00a0")), (item.replace(" ", "\u3000"), item)):
+        index = decontamination.SeedIndex([(1, one), (2, "two words"), (3, None), (4, "...")], decontamination.Settings())
+        found = index.search(pa.array([f"pre {other} post", "Two words!", "two other words", None, ""]))
+        assert [[(o["item_id"], o["length"], o["matched"]) for o in f] for f in found] == [[(1, 15, 15)], [(2, 2, 2)], [], [], []]

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import decontamination, language_model, mixing, quality, repeats, simhash, tokens, toxicity, urls, warc
+from dayloom.llm import (
+    alignment, conversations, decontamination, language_model, mixing, prefix_join, quality, repeats, simhash, tokens, toxicity, urls, warc,
+)
 from dayloom.llm.common import table
 
 QUERIES = {}
@@ -214,3 +216,24 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 50-byte passages of documents before it."""
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_prefix_join")
+def op11_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document by links of 80 % Jaccard similarity."""
+    return prefix_join.jaccard_groups(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie over each other in every document."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = alignment.align_tokens(table(spark, sf_dir, "documents"), *paths, spell="sha256")
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op13_conversations")
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired turns of every damaged conversation."""
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.conversation_report(conversations.repair_conversations(damaged))

@@ -21,13 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.llm.common import bounded_batches, col, materialise, worker_memo
 
 #: Ends that a piece of the merge takes; pairs that a unit holds, about; links expanded at a time.
-PIECE, UNIT, LINKS = 1 << 16, 1 << 20, 1 << 21
+PIECE, UNIT, LINKS = 1 << 16, 1 << 20, 1 << 20
+#: Bytes of text encoded together, about: tokens of a text take some forty times its size while they are lists.
+TEXT = 1 << 19
 #: Characters whose classes (letter, number, space) no version of the Unicode tables disputes.
 SETTLED = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧]*")
 # --- fixed value: how byte-level tokenizers cut a text before they merge bytes ---
@@ -88,6 +91,9 @@ class ByteLevel:
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
+NONE = np.zeros(0, dtype=np.int64)
+
+
 class Pieces:
     """A sentence-piece model; it puts a space before the text by itself."""
 
@@ -111,17 +117,19 @@ class Aligner:
         self.texts = [list(map(str, range(len(t.bytes_of)))) for t in (self.a, self.b)]
         self.width = len(self.b.bytes_of)
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both; none where the text is null or empty or the tokens' bytes are not its bytes."""
         if not text:
-            return [], []
+            return NONE, NONE
         whole = " " + text
         wanted = whole.encode()
-        out = self.a.encode(whole), self.b.encode(text)
-        for ids, t in zip(out, (self.a, self.b), strict=True):
+        out = []
+        for t, asked in ((self.a, whole), (self.b, text)):
+            ids = t.encode(asked)
             if b"".join(map(t.bytes_of.__getitem__, ids)) != wanted:
-                return [], []
-        return out
+                return NONE, NONE
+            out.append(np.array(ids, dtype=np.int64))
+        return tuple(out)
 
 
 # ---- merge path -----------------------------------------------------------
@@ -199,7 +207,7 @@ def align_batch(aligner: Aligner, texts: list[str | None], spell: str) -> dict:
     """Counts, groups and distinct linked pairs of texts, as arrays over the texts."""
     ids = [aligner.tokens(t) for t in texts]
     n_a, n_b = (np.array([len(x[k]) for x in ids], dtype=np.int64) for k in range(2))
-    a, b = (np.array([n for x in ids for n in x[k]], dtype=np.int64) for k in range(2))
+    a, b = (np.concatenate([x[k] for x in ids]) for k in range(2))
     # the two token lists of a document cover the same bytes, so ends of all texts rise in step
     end_a, end_b = common_ends(np.cumsum(aligner.sizes[0][a]), np.cumsum(aligner.sizes[1][b]))
     doc = np.searchsorted(np.cumsum(n_a), end_a, side="right")
@@ -212,7 +220,7 @@ def align_batch(aligner: Aligner, texts: list[str | None], spell: str) -> dict:
     first_group = np.cumsum(n_groups) - n_groups
     for k, (x, y) in enumerate(ids):
         at = slice(first_group[k], first_group[k] + n_groups[k])
-        groups.append(_spelt(x, y, sizes_a[at].tolist(), sizes_b[at].tolist(), spelt_a, spelt_b, spell))
+        groups.append(_spelt(x.tolist(), y.tolist(), sizes_a[at].tolist(), sizes_b[at].tolist(), spelt_a, spelt_b, spell))
     return {
         "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups": groups,
         "n_pairs": np.bincount(where, minlength=len(texts)).astype(np.int64), "pairs": pairs, "times": times,
@@ -239,6 +247,15 @@ def _spelt(a: list[int], b: list[int], n_a: list[int], n_b: list[int], spelt_a:
 # ---- units ----------------------------------------------------------------
 
 
+def bounded_parts(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of a text column, one row at least."""
+    if batch.num_rows:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        part = upto // size
+        for begin, end in zip(*(lambda c: (np.r_[0, c], np.r_[c, len(part)]))(np.flatnonzero(np.diff(part)) + 1), strict=True):
+            yield batch.slice(begin, end - begin)
+
+
 def units_of(docs: DataFrame, a_path: str, b_path: str, spell: str, unit: int) -> DataFrame:
     """Documents (doc_id, text) encoded, aligned and packed into units of about ``unit`` pairs."""
     schema = pa.schema(list(UNIT_COLUMNS.items()))
@@ -249,9 +266,7 @@ def units_of(docs: DataFrame, a_path: str, b_path: str, spell: str, unit: int) -
         aligner = worker_memo(f"aligner:{a_path}:{b_path}", lambda: Aligner(a_path, b_path))
         number = TaskContext.get().partitionId() << 32
         held, load = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in bounded_parts(whole, 1, TEXT)):
             ids = batch.column(0)
             done = align_batch(aligner, batch.column(1).to_pylist(), spell)
             done["named"] = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)

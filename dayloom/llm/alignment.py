@@ -263,7 +263,7 @@ def units_of(docs: DataFrame, a_path: str, b_path: str, spell: str, unit: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner = worker_memo(f"aligner:{a_path}:{b_path}", lambda: Aligner(a_path, b_path))
+        aligner = worker_memo(f"aligner {a_path} {b_path}", lambda: Aligner(a_path, b_path))
         number = TaskContext.get().partitionId() << 32
         held, load = [], 0
         for batch in (part for whole in batches for part in bounded_parts(whole, 1, TEXT)):

@@ -69,12 +69,12 @@ def words_of(text: Column) -> Column:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let batches that go to Python hold 16 MB at most, unless the session sets a size itself.
+    """Let batches that go to Python hold 4 MB at most, unless the session sets a size itself.
 
     The default counts rows only: 10,000 long texts would be a batch of gigabytes.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def tasks_for(spark: SparkSession) -> int:
@@ -83,6 +83,25 @@ def tasks_for(spark: SparkSession) -> int:
 
 
 def worker_memo(key: str, make: Callable):
-    """A value that a Python worker keeps from task to task; it must not affect results."""
+    """A value that a Python worker keeps from task to task; it must not affect results.
+
+    A worker keeps one value: another key takes the place of the one before, so that neither a
+    long session nor the stages of a pipeline fill their workers.
+    """
+    kept = sys.modules.setdefault("_task_memo", types.ModuleType("_task_memo")).__dict__
+    if kept.get("key") != key:
+        release()
+        kept["value"], kept["key"] = make(), key
+    return kept["value"]
+
+
+def release() -> None:
+    """Drop what this worker keeps, and give back memory that nothing uses."""
+    import gc
+
+    import pyarrow as pa
+
     kept = sys.modules.setdefault("_task_memo", types.ModuleType("_task_memo")).__dict__
-    return kept[key] if key in kept else kept.setdefault(key, make())
+    kept["key"] = kept["value"] = None
+    gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -73,16 +73,15 @@ def _least_count(counts: DataFrame, most: int) -> int:
 class Vocabulary:
     """The words that tasks look up: the first ``classes`` - 1 have vectors, in this order."""
 
-    words: list[str]
-    counts: list[int]
+    words: str  # joined by spaces, which no word has
+    counts: np.ndarray
     classes: int  # one more than the words with vectors: the class of all others
 
-    def table(self) -> dict[str, tuple[int, int]]:
-        other = self.classes - 1
-        return {w: (min(k, other), c) for k, (w, c) in enumerate(zip(self.words, self.counts, strict=True))}
+    def table(self) -> dict[str, int]:
+        return {w: k for k, w in enumerate(self.words.split(" "))}
 
 
-def encode(batch_text: pa.Array, known: dict[str, tuple[int, int]], classes: int) -> dict[str, object]:
+def encode(batch_text: pa.Array, known: dict[str, int], counts: np.ndarray, classes: int) -> dict[str, object]:
     """Classes of a batch's tokens and sums per document; words not known stay as words."""
     import pyarrow.compute as pc
 
@@ -96,13 +95,13 @@ def encode(batch_text: pa.Array, known: dict[str, tuple[int, int]], classes: int
         flat, of = flat.filter(pa.array(keep)), of[keep]
     coded = flat.dictionary_encode()
     which = coded.indices.to_numpy()
-    found = [known.get(w, (-1, 0)) for w in coded.dictionary.to_pylist()]
-    cls = np.array([f[0] for f in found], dtype=np.int64).reshape(-1)
-    log_c = np.log10(np.array([f[1] for f in found], dtype=np.float64).reshape(-1) + 1)
+    found = np.array([known.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64).reshape(-1)
+    cls = np.minimum(found, classes - 1)
+    log_c = np.where(found < 0, 0.0, np.log10(counts[found] + 1.0))
     token_cls, token_log = cls[which], log_c[which]
     rare = token_cls < 0
     other = rare | (token_cls == classes - 1)
-    end_cls, end_count = known[END]
+    end_cls, end_count = min(known[END], classes - 1), int(counts[known[END]])
     n_words = np.bincount(of, minlength=rows)
     n_rare = np.bincount(of[rare], minlength=rows)
     end_known = int(end_count > 0)
@@ -295,16 +294,16 @@ def score_documents(
     words = [END, *[r["token"] for r in top]]
     seen = [int(ends["c"]) if ends else 0, *[int(r["c"]) for r in top]]
     classes = min(len(words), s.model_words) + 1
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(words, seen, classes))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(" ".join(words), np.array(seen, dtype=np.int64), classes))
     share = np.array([*[c + 1 for c in seen[: classes - 1]], n - sum(seen[: classes - 1]) + 1], dtype=float)
     share /= share.sum()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value.table()
+        known, often = vocabulary.value.table(), vocabulary.value.counts
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 piece = batch.slice(a, 1024)
-                e = encode(piece.column(2), known, classes)
+                e = encode(piece.column(2), known, often, classes)
                 begins = np.concatenate([[0], e["ends"][:-1]])
                 streams = [e["classes"][x:y].tobytes() for x, y in zip(begins.tolist(), e["ends"].tolist(), strict=True)]
                 columns = [piece.column(0), piece.column(1), pa.array(streams, pa.binary())]

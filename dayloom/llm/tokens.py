@@ -29,8 +29,10 @@ ENTRY, FOOTER = "<III", "<IBI"
 ENTRY_SIZE, FOOTER_SIZE = struct.calcsize(ENTRY), struct.calcsize(FOOTER)
 #: Documents encoded together: their equal words are looked up once.
 BATCH_DOCS = 4096
-#: Words a worker remembers with their ids; beyond it the older half is forgotten.
-REMEMBERED = 1_200_000
+#: Bytes of the words and ids a worker remembers, about; beyond it the older half is forgotten.
+REMEMBERED = 60_000_000
+#: What an entry takes beside the letters and the ids: two objects and its place in the table.
+ENTRY_BYTES = 180
 
 INDEX_SCHEMA = "doc_id long, part int, sequence int, file string, frame int, at long, n_tokens long"
 
@@ -56,6 +58,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.weight = 0  # of the young ones
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
@@ -65,8 +68,8 @@ class WordEncoder:
 
     def _look_up(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
-        if len(self.young) > REMEMBERED // 2:
-            self.old, self.young = self.young, {}
+        if self.weight > REMEMBERED // 2:
+            self.old, self.young, self.weight = self.young, {}, 0
         young, old = self.young, self.old
         pieces = list(map(young.get, words))
         gaps = [k for k, piece in enumerate(pieces) if piece is None]
@@ -76,6 +79,7 @@ class WordEncoder:
             young.update(self._encoded(unknown))
         for k in gaps:
             pieces[k] = young[words[k]]
+            self.weight += ENTRY_BYTES + len(words[k]) + len(pieces[k])
         return pieces
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:

@@ -73,7 +73,12 @@ def hourly_totals(activity: DataFrame) -> DataFrame:
 
 def hourly_behavior(window: DataFrame | None, web: DataFrame | None) -> DataFrame:
     """The hourly behaviour table of all users."""
-    table = hour_vector(hourly_totals(activity_union(window, web)), ["user_id", "hour_no"])
+    return behavior_of_totals(hourly_totals(activity_union(window, web)))
+
+
+def behavior_of_totals(totals: DataFrame) -> DataFrame:
+    """D8 from :func:`hourly_totals`, which a store may keep."""
+    table = hour_vector(totals, ["user_id", "hour_no"])
     return table.select(
         "user_id", from_us(F.col("hour_no") * HOUR_US).alias("hour"),
         *[F.expr(f"us[{i}] / {MINUTE_US}D").alias(c) for i, c in enumerate(STATE_CATEGORIES)],
@@ -229,10 +234,13 @@ def state_readings(
     keys: DataFrame,
     model: StateModel = DEFAULT_STATE_MODEL,
     window_minutes: float = WINDOW_MINUTES,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """I4 keyed by (user_id, req_us): three ranges of state features.
 
-    Range starts are floored to the hour and range ends are not.
+    Range starts are floored to the hour and range ends are not. With ``totals`` (those of
+    :func:`hourly_totals`), ``activity`` is only read for the running hour of the keys and for
+    what runs into it.
     """
     width = int(window_minutes * 60_000_000)
     back = 7 * 24 + math.ceil(window_minutes / 60)
@@ -245,7 +253,7 @@ def state_readings(
     )
     hours = asked.select("user_id", "hs").distinct()
 
-    full = _labelled(hourly_totals(activity), ["user_id", "hour_no"], model)
+    full = _labelled(hourly_totals(activity) if totals is None else totals, ["user_id", "hour_no"], model)
     look_back = Window.partitionBy("user_id").orderBy("hour_no").rangeBetween(-back, -1)
     full_rows = (
         full.select("user_id", "hour_no", _entry(0).alias("row"))

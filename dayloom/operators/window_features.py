@@ -442,14 +442,17 @@ def feature_readings(
     context: bool = False,
     recut: bool = False,
     collapse_copies: bool = True,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """Current (and optional context) features keyed by (user_id, req_us).
 
     All parts end in an aggregate on the request key, so they join without
-    another shuffle.
+    another shuffle. ``runs`` is the resolved timeline by category where it is
+    already known; the events are then read for switches and inputs alone.
     """
     width = bin_width(window_minutes)
-    runs = resolve_bins(activity_union(window, web), width, "category", collapse_copies)
+    if runs is None:
+        runs = resolve_bins(activity_union(window, web), width, "category", collapse_copies)
     table = segment_readings(runs, keys, width, context)
     table = table.select(
         *KEY, *activity_columns(window_minutes), *(context_columns() if context else [])

@@ -23,40 +23,27 @@ from dayloom.operators.window_features import (
 from dayloom.vocab import ACTIVITY_FEATURES, ROLLING_COLUMNS, WINDOW_MINUTES
 
 
-def production_readings(
-    window: DataFrame,
-    web: DataFrame | None,
-    inputs: DataFrame | None,
-    requests: DataFrame,
-    prior: DataFrame,
-    model: StateModel = DEFAULT_STATE_MODEL,
-    recut: bool = False,
-    collapse_copies: bool = True,
-) -> DataFrame:
-    """All activity features plus ``total_active_minutes``, keyed by (user_id, req_us).
-
-    Features are computed once per distinct instant of requests and prior times.
-    Each request then takes its own row and those of its (at most three) prior
-    times, so nothing is computed twice and nothing is windowed per user.
-    """
+def wanted_instants(requests: DataFrame, prior: DataFrame) -> DataFrame:
+    """(user_id, for_us, rank, req_us): the request itself (rank 0) and its last three prior times."""
     looked = prior_requests(requests, prior)
-    wanted = looked.select(
+    return looked.select(
         "user_id", to_us("timestamp").alias("for_us"),
         F.posexplode(
             F.concat(F.array("timestamp"), F.reverse("prior_times"))
         ).alias("rank", "at"),
     ).select("user_id", "for_us", "rank", to_us("at").alias("req_us"))
-    # every family of features probes at these instants: written once, not derived by each
-    wanted = cut_lineage(wanted)
-    instants = wanted.select(*KEY).distinct()
-    table = feature_readings(
-        window, web, inputs, instants, WINDOW_MINUTES, context=True, recut=recut,
-        collapse_copies=collapse_copies,
-    )
+
+
+def rows_of_readings(table: DataFrame, wanted: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Readings of single instants put together into request rows.
+
+    ``carry`` names further columns of the request's own reading.
+    """
     own = [*CURRENT_COLUMNS, *CONTEXT_COLUMNS]
+    more = carry or []
     at = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
     rows = table.join(wanted, KEY).groupBy("user_id", "for_us").agg(
-        *[at(0, c).alias(c) for c in own],
+        *[at(0, c).alias(c) for c in [*own, *more]],
         at(1, "req_us").alias("_previous_us"),
         *[at(k, c).alias(f"_{k}_{c}") for c in ROLLING_COLUMNS for k in (1, 2, 3)],
     ).withColumnRenamed("for_us", "req_us")
@@ -72,7 +59,33 @@ def production_readings(
         mean = F.when(count > 0, total / F.nullif(count, F.lit(0))).otherwise(0.0)
         extra[f"rolling_mean_3_{c}"] = mean
         extra[f"current_minus_rolling_mean_3_{c}"] = finite_or_zero(F.col(c)) - mean
-    rows = rows.select(*KEY, *own, *[v.alias(n) for n, v in extra.items()], *action_columns())
+    return rows.select(*KEY, *own, *more, *[v.alias(n) for n, v in extra.items()], *action_columns())
+
+
+def production_readings(
+    window: DataFrame,
+    web: DataFrame | None,
+    inputs: DataFrame | None,
+    requests: DataFrame,
+    prior: DataFrame,
+    model: StateModel = DEFAULT_STATE_MODEL,
+    recut: bool = False,
+    collapse_copies: bool = True,
+) -> DataFrame:
+    """All activity features plus ``total_active_minutes``, keyed by (user_id, req_us).
+
+    Features are computed once per distinct instant of requests and prior times.
+    Each request then takes its own row and those of its (at most three) prior
+    times, so nothing is computed twice and nothing is windowed per user.
+    """
+    # every family of features probes at these instants: written once, not derived by each
+    wanted = cut_lineage(wanted_instants(requests, prior))
+    instants = wanted.select(*KEY).distinct()
+    table = feature_readings(
+        window, web, inputs, instants, WINDOW_MINUTES, context=True, recut=recut,
+        collapse_copies=collapse_copies,
+    )
+    rows = rows_of_readings(table, wanted)
     states = state_readings(activity_union(window, web), request_keys(requests), model)
     return rows.join(states, KEY)
 

@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.functions.categories import DEFAULT_RULES, Rule
 from dayloom.functions.numbers import finite_or_null
 from dayloom.functions.state_model import DEFAULT_STATE_MODEL, StateModel
-from dayloom.functions.target_specs import COMPACT_NORMALIZATION, COMPACT_VERSION
+from dayloom.functions.target_specs import COMPACT_NORMALIZATION, COMPACT_VERSION, check_specs
 from dayloom.functions.times import from_us
 from dayloom.functions.text import strip
-from dayloom.operators.contract import check_events, normalize_requests, request_problem
+from dayloom.operators.contract import check_events, feature_problem, normalize_requests, request_problem
 from dayloom.operators.history import duplicate_reports, self_report_history
 from dayloom.operators.parse import EventTables, malformed_events, parse_events
 from dayloom.operators.recourse import recommend_changes, snapshots
@@ -141,6 +141,19 @@ def runtime_features_from_raw(
     )
 
 
+def _bad_feature(features: DataFrame, models: Mapping[str, tuple]) -> Column:
+    """B8 over the features of all targets: missing values pass, an infinite one has its name."""
+    check_specs([spec for spec, _ in models.values()])
+    used = sorted({f for spec, _ in models.values() for f in spec.features})
+    return feature_problem(features, used, allow_missing=True)
+
+
+def unscorable(features: DataFrame, models: Mapping[str, tuple]) -> DataFrame:
+    """The rows that no model is given, as (user_id, timestamp, reason)."""
+    bad = features.select("user_id", "timestamp", _bad_feature(features, models).alias("reason")).filter("reason IS NOT NULL")
+    return bad.withColumn("reason", F.concat(F.lit("infinite feature: "), "reason"))
+
+
 def score_requests(
     features: DataFrame,
     models: Mapping[str, tuple],
@@ -148,8 +161,12 @@ def score_requests(
     normalization: str = COMPACT_NORMALIZATION,
     standardize=None,
 ) -> DataFrame:
-    """One prediction report per runtime row; ``models``: target -> (spec, scorer)."""
-    scored = score_all_targets(features, models, standardize)
+    """One prediction report per runtime row; ``models``: target -> (spec, scorer).
+
+    Rows with an infinite feature have no report: they are those of :func:`unscorable`.
+    """
+    usable = features.filter(_bad_feature(features, models).isNull())
+    scored = score_all_targets(usable, models, standardize)
     return prediction_report(scored, [spec for spec, _ in models.values()], model_version, normalization)
 
 

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_features(table: DataFrame, path: str, mode: str = "overwrite", writers: int | None = None) -> None:
-    """Write rows partitioned by the date of ``timestamp`` for later pruning.
+def write_features(
+    table: DataFrame, path: str, mode: str = "overwrite", writers: int | None = None, replace_all: bool = False,
+) -> None:
+    """Write rows partitioned by the date of ``timestamp``, clustered by user.
 
-    Rows of a date are spread by a hash of user and time, so a busy date or user
-    is written by up to ``writers`` tasks (default: the session's shuffle partitions).
+    Overwriting replaces the dates that ``table`` has and leaves all others, unless ``replace_all``.
+    Users of a date are dealt to up to ``writers`` files by a hash and sorted in them, so reading one
+    user prunes files by their statistics
+    (default: as many writers as the session's shuffle partitions).
     """
     writers = writers or int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dated = table.withColumn("date", F.to_date("timestamp"))
-    spread = F.pmod(F.xxhash64("user_id", "timestamp"), F.lit(writers))
-    dated.repartition("date", spread).write.mode(mode).partitionBy("date").parquet(path)
+    spread = F.pmod(F.xxhash64("user_id"), F.lit(writers))
+    kept = "static" if replace_all else "dynamic"
+    laid = dated.repartition("date", spread).sortWithinPartitions("date", "user_id", "timestamp")
+    laid.write.mode(mode).option("partitionOverwriteMode", kept).partitionBy("date").parquet(path)

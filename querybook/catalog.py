@@ -1234,23 +1234,6 @@ def score_requests(spark, d):
 _HIGH = {**{a: w / 2 for a, w in _WEIGHTS.items()}, "history__productivity__mean": 0.02}
 
 
-@query("recommend")
-def recommend(spark, d):
-    models = {t: (sc.linear_scorer(_HIGH, 0.38 + 0.01 * i), list(_HIGH)) for i, t in enumerate(TARGETS)}
-    out = rt.recommend(_runtime(spark, d).features, models, "productivity", "demo")
-    return out.select(
-        "user_id", "timestamp", "snapshot_id", "target", rnd("baseline_probability_high"),
-        rnd("projected_probability_high"), "strength", *[rnd(f"delta_{n}", _delta_of(n)) for n in ACTION_NAMES],
-    )
-
-
-@query("snapshot")
-def snapshot(spark, d):
-    models = {t: (sc.linear_scorer(_HIGH, 0.38 + 0.01 * i), list(_HIGH)) for i, t in enumerate(TARGETS)}
-    out = rc.snapshots(_history_rows(spark, d).fillna(0.0), models, "demo")
-    return out.select("user_id", "timestamp", "snapshot_id", *[rnd(f"p_{t}") for t in TARGETS], *[f"state_{t}" for t in TARGETS])
-
-
 _HASHED = " || ".join(
     f"""',"{t}":' || coalesce(CAST({t} AS VARCHAR), 'null')""" for t in TARGETS
 )

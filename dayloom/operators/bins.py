@@ -74,11 +74,12 @@ def map_sorted_bins(
     sweep: Callable[[pd.DataFrame], pd.DataFrame],
     schema: str,
 ) -> DataFrame:
-    """Run a vectorised sweep over whole (user, bin) groups.
+    """Run a sweep over whole (user, bin) groups.
 
     Spark shuffles by (user, bin) and sorts inside each partition (spilling when
     needed); the sweep sees Arrow batches cut at group edges, so many small
     groups share one call and nothing larger than a batch plus one group is held.
+    A group is bounded where its caller cuts crowded bins (:func:`crowded_bins`).
     """
     keys = ["user_id", "bin"]
 
@@ -115,6 +116,30 @@ def map_sorted_bins(
     )
 
 
+def crowded_bins(rows: DataFrame, limit: int) -> DataFrame:
+    """(user_id, bin, parts) of bins with over ``limit`` rows; at most one for each ``limit`` rows."""
+    sizes = rows.groupBy("user_id", "bin").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    return sizes.select("user_id", "bin", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("parts"))
+
+
+#: Quantiles that a bin is cut at, at most.
+QUANTILES = 1024
+
+
+def quantile_cuts(rows: DataFrame, crowded: DataFrame, at: list[str]) -> DataFrame:
+    """``cuts``: for each crowded bin the sorted instants that share out its rows' edges ``at`` evenly.
+
+    Quantiles come from sketches that are merged, so no task sees a bin's rows together. Any
+    instants would be right; these make the parts even, down to a thousandth of the bin.
+    """
+    share = F.percentile_approx("_at", F.array(*[F.lit(k / QUANTILES) for k in range(1, QUANTILES)]), F.lit(5_000))
+    edges = rows.join(F.broadcast(crowded), ["user_id", "bin"]).withColumn("_at", F.explode(F.array(*at)))
+    sketched = edges.groupBy("user_id", "bin").agg(F.max("parts").alias("parts"), share.alias("q"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES) / (F.col("parts") * len(at))).cast("int"))
+    picked = F.filter("q", lambda x, i: F.pmod(i + 1, step) == 0)
+    return sketched.select("user_id", "bin", F.array_sort(F.array_distinct(picked)).alias("cuts"))
+
+
 def pick(role: str, value: Column) -> Column:
     """The value carried by the probe row of one role."""
     return F.max(F.when(F.col("role") == role, value))

@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.times import from_us, to_us
-from dayloom.operators.bins import bin_width, explode_bins, map_sorted_bins
+from dayloom.operators.bins import bin_width, crowded_bins, explode_bins, map_sorted_bins, quantile_cuts
 from dayloom.vocab import SOURCE_PRIORITY, WINDOW_MINUTES
 
+#: Rows of a (user, bin) that one sweep takes; bins with more are cut at quantiles of their rows.
+CROWDED = 50_000
+
 _SLICE_SCHEMA = (
     "user_id string, bin bigint, start_us bigint, end_us bigint, "
     "ts_us bigint, priority int, category string"
@@ -109,6 +112,7 @@ def _sweep(merge: str):
                 "ts_us": p["s_us"].to_numpy()[row],
                 "priority": p["priority"].to_numpy()[row].astype(np.int32),
                 "category": p["category"].to_numpy()[row],
+                **({"seq": p["seq"].to_numpy()[row], "part": p["part"].to_numpy()[row]} if "part" in p else {}),
             }
         )
 
@@ -120,19 +124,91 @@ def resolve_bins(
     width_us: int,
     merge: str = "winner",
     collapse_copies: bool = True,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """E1 inside bins: (user, bin) runs of one winner (or of one category).
 
     Copies of an event collapse in a map-side combined aggregate before the sweep,
-    so a group of copies never travels to one task as rows.
+    so a group of copies never travels to one task as rows. Bins with over ``crowded``
+    rows are cut into parts, each swept by itself; whether there are any is counted first,
+    one combined aggregate over three columns, so that ordinary data pays for no more.
     """
+    dense = crowded_bins(explode_bins(activity.select("user_id", "s_us", "e_us"), "s_us", "e_us", width_us), crowded)
     pieces = explode_bins(activity, "s_us", "e_us", width_us)
     keys = ["user_id", "bin", "p_start", "p_end", "s_us", "priority", "category"]
     if collapse_copies:
         pieces = pieces.groupBy(*keys).agg(F.min("seq").alias("seq"))
-    return map_sorted_bins(
-        pieces.select(*keys, "seq"), [], _sweep(merge), _SLICE_SCHEMA
+    pieces = pieces.select(*keys, "seq")
+    if dense.isEmpty():
+        return map_sorted_bins(pieces, [], _sweep(merge), _SLICE_SCHEMA)
+    plain = pieces.join(F.broadcast(dense), ["user_id", "bin"], "left_anti")
+    runs = map_sorted_bins(plain, [], _sweep(merge), _SLICE_SCHEMA)
+    parts = _parts(pieces, quantile_cuts(pieces, dense, ["p_start", "p_end"]))
+    # a part takes the place of a bin in the sweep
+    swept = map_sorted_bins(
+        parts.withColumn("bin", F.struct("bin", "part").cast("string")), [], _sweep(merge), _PART_SCHEMA
+    )
+    return runs.unionByName(_stitched(swept, merge))
+
+
+_PART_SCHEMA = _SLICE_SCHEMA.replace("bin bigint", "bin string") + ", seq bigint, part int"
+
+
+def _parts(pieces: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Pieces of crowded bins by the part between two cuts.
+
+    A piece has rows in the parts where it begins and ends. Of the pieces that cover a part from end
+    to end only the strongest can win there: it is found by a combined aggregate, so a part holds its
+    own edges and one row for all that runs through it.
+    """
+    placed = pieces.join(F.broadcast(cuts), ["user_id", "bin"]).withColumns({
+        "first": F.size(F.filter("cuts", lambda c: c <= F.col("p_start"))),
+        "last": F.size(F.filter("cuts", lambda c: c < F.col("p_end"))),
+    })
+    begin = lambda k: F.greatest(F.col("p_start"), F.coalesce(F.get("cuts", k - 1), F.col("p_start")))
+    end = lambda k: F.least(F.col("p_end"), F.coalesce(F.get("cuts", k), F.col("p_end")))
+    edges = placed.withColumn("part", F.explode(F.array_distinct(F.array("first", "last"))))
+    columns = ["user_id", "bin", "part", "p_start", "p_end", "s_us", "priority", "category", "seq"]
+    edges = edges.withColumns({"p_start": begin(F.col("part")), "p_end": end(F.col("part"))}).select(columns)
+    strength = F.struct((-F.col("priority")).alias("p"), (-F.col("s_us")).alias("s"), "seq", "category")
+    through = (
+        placed.filter("last > first + 1")
+        .withColumn("part", F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1)))
+        .groupBy("user_id", "bin", "part", "cuts").agg(F.min(strength).alias("top"))
+        .select(
+            "user_id", "bin", "part", F.get("cuts", F.col("part") - 1).alias("p_start"), F.get("cuts", F.col("part")).alias("p_end"),
+            (-F.col("top.s")).alias("s_us"), (-F.col("top.p")).alias("priority"), F.col("top.category").alias("category"), F.col("top.seq").alias("seq"),
+        )
+    )
+    return edges.unionByName(through).filter("p_end > p_start")
+
+
+def _stitched(swept: DataFrame, merge: str) -> DataFrame:
+    """Runs of parts as runs of their bin: those that a cut parted become one again.
+
+    Only the first and the last run of a part can be parted, so what is windowed for each bin is
+    bounded by the number of its parts.
+    """
+    swept = swept.withColumn("bin", F.regexp_extract("bin", r"^\{(-?[0-9]+),", 1).cast("bigint"))
+    part = Window.partitionBy("user_id", "bin", "part")
+    edged = swept.withColumns({"lo": F.min("start_us").over(part), "hi": F.max("end_us").over(part)})
+    edged = edged.withColumn("edge", (F.col("start_us") == F.col("lo")) | (F.col("end_us") == F.col("hi")))
+    order = Window.partitionBy("user_id", "bin").orderBy("start_us")
+    alike = ["category"] if merge == "category" else ["ts_us", "priority", "category", "seq"]
+    joined = F.lag("end_us").over(order) == F.col("start_us")
+    joined &= F.lag("part").over(order) != F.col("part")
+    for c in alike:
+        joined &= F.lag(c).over(order) == F.col(c)
+    islands = (
+        edged.filter("edge").withColumn("fresh", F.coalesce(~joined, F.lit(True)).cast("int"))
+        .withColumn("island", F.sum("fresh").over(order))
+        .groupBy("user_id", "bin", "island").agg(
+            F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
+            *[F.min_by(c, "start_us").alias(c) for c in ("ts_us", "priority", "category")],
+        )
     )
+    columns = [f.split()[0] for f in _SLICE_SCHEMA.split(", ")]
+    return edged.filter("NOT edge").select(columns).unionByName(islands.select(columns))
 
 
 def resolve_overlaps(

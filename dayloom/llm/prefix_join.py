@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import bounded_batches, col, materialise
+from dayloom.llm.common import bounded_batches, col, materialise, thinned
 from dayloom.llm.simhash import components
 
 #: Shingles of a block, about: what one trie holds.
@@ -33,8 +33,6 @@ LOAD = 2_000_000
 SEGMENT = 32
 #: Words whose hashes a task remembers, and the longest such word in bytes.
 KNOWN_WORDS, KNOWN_BYTES = 100_000, 32
-#: Bits of the filter in front of a look-up: so many for each key, and at most (a word of 64 is a row).
-KEY_BITS, MOST_BITS = 32, 1 << 26
 #: A node with over this share of all rows is looked up by broadcast: there are 500 of them at most.
 HOT = 0.002
 
@@ -199,20 +197,6 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, k])) for k in range(2)], names=["a", "b"])
 
 
-def thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is not in ``wanted``; none of the others goes.
-
-    A bit map of the wanted keys, of ``MOST_BITS`` at most, is broadcast in words of 64 bits, so that a
-    join that follows shuffles few rows in vain.
-    """
-    bits = min(MOST_BITS, 1 << (KEY_BITS * wanted.count()).bit_length())
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    mask = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(`{key}`), 64) AS INT))")
-    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(mask).alias("held"))
-    known = rows.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words), "word")
-    return known.filter(F.col("held").bitwiseAND(mask) != 0).drop("word", "held")
-
-
 def families(marked: DataFrame, percent: int) -> DataFrame:
     """``short`` and ``family`` of the nodes that may have a partner."""
     rows = marked.filter(F.col("pairs").isNotNull()).select(F.explode("pairs").alias("pair"), "short")

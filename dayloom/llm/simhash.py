@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import bounded_batches, col, free_name, materialise, words_of
+from dayloom.llm.common import bounded_batches, col, free_name, materialise, thinned, words_of
 
 #: Fingerprints of a shard, about; and the most that one tree or query block holds.
 SHARD, BLOCK = 8_192, 16_384
@@ -405,7 +405,7 @@ def keep_one(
                 yield pd.DataFrame({"node": batch.node, "set": made})
 
         rows = materialise(nodes.join(wanted, "node").select("node", "first_row"), "wanted")
-        texts = placed.select(col(row).alias("first_row"), col(text).alias("text")).join(rows, "first_row")
+        texts = thinned(placed.select(col(row).alias("first_row"), col(text).alias("text")), rows, "first_row").join(rows, "first_row")
         return texts.select("node", "text").mapInPandas(run, "node long, set binary")
 
     roots = components(similar_pairs(nodes, sets, radius, share, **sizes), "links")

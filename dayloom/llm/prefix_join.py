@@ -463,7 +463,8 @@ def jaccard_groups(
     nodes = materialise(one.select("node", "family", "n", "x.tid", "x.doc_id"), "family-nodes")
     texts, asked = thinned(plain, nodes, "tid"), nodes.select(F.col("tid").alias("asked_tid"), F.col("doc_id").alias("asked_id"))
     same = F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("tid") == F.col("asked_tid"))
-    sets = sets_of(texts.join(asked, same, "left_semi").select("text"), words)
+    # an inner join, as a semi join would be moved in front of the bit map; a text and id are asked for once
+    sets = sets_of(texts.join(asked, same).select("text"), words)
     loads = nodes.groupBy("family").agg(_blocks(F.sum("n"), load).alias("blocks"))
     members = nodes.select("node", "family", "n").join(loads, "family").join(sets, "node")
     members = materialise(members.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "family-sets")

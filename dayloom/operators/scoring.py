@@ -15,6 +15,8 @@ from dayloom.vocab import HIGH_THRESHOLD, TARGET_TITLES, WINDOW_MINUTES
 
 # A scorer turns named feature columns into one raw prediction column.
 ColumnScorer = Callable[[Mapping[str, Column]], Column]
+#: A key with more rows than this is spread over tasks; at most so many keys are.
+HOT_ROWS, MOST_HOT = 100_000, 1024
 
 
 @dataclass(frozen=True)
@@ -76,19 +78,42 @@ def global_standardize(
     )
 
 
+def hot_keys(counted: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with too many rows for one task, as (key, _salts): the tasks each is spread over.
+
+    A key is hot above ``rows`` rows and above the total divided by ``MOST_HOT``, so there are
+    fewer than ``MOST_HOT`` of them, with fewer than twice as many salts, at any size. Counts are
+    combined before the shuffle; nothing is collected.
+    """
+    counts = counted.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.greatest(F.lit(float(rows)), counts.agg(F.sum("_n")).scalar() / F.lit(float(MOST_HOT)))
+    return counts.withColumn("_share", share).filter("_n > _share").select(
+        key, F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_salts")
+    )
+
+
 def salted_lookup(
-    table: DataFrame, lookup: DataFrame, key: str, spread_by: list[str], salts: int | None = None
+    table: DataFrame, lookup: DataFrame, key: str, spread_by: list[str],
+    counted: DataFrame | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Left join with a one-row-per-key table; a hot key is spread over ``salts`` tasks.
+    """Left join with a one-row-per-key table; hot keys alone are spread over several tasks.
 
-    Spark still broadcasts the lookup by itself when its measured size is below the
-    threshold; the salt matters only when it has to shuffle. By default there are as many
-    salts as shuffle partitions.
+    ``counted`` is any table whose rows are dealt over the keys as those of ``table`` are (a
+    cheaper one than ``table``, which is the default). The lookup's row of a hot key is copied
+    once per salt, every other row stays single, and null keys, which match nothing, are spread.
+    The hot keys are broadcast, being fewer than ``MOST_HOT``. Spark still broadcasts the lookup
+    by itself when its measured size is below the threshold.
     """
-    salts = salts or int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = table.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    hot = F.broadcast(hot_keys(table if counted is None else counted, key, hot_rows))
+    place = F.xxhash64(*spread_by)
+    salts = F.when(F.col(key).isNull(), MOST_HOT).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = table.join(hot, key, "left").withColumn("_salt", F.pmod(place, salts).cast("int")).drop("_salts")
+    return left.join(_copied(lookup, hot, key), [key, "_salt"], "left").drop("_salt")
+
+
+def _copied(lookup: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    salts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    return lookup.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_salts")
 
 
 def per_user_standardize(
@@ -97,16 +122,18 @@ def per_user_standardize(
     user_stats: DataFrame,
     global_mean: Mapping[str, float],
     global_std: Mapping[str, float],
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Per-user statistics, else the global ones.
 
-    ``user_stats``: user_id, mean_<f>, std_<f>; one row per known user.
+    ``user_stats``: user_id, mean_<f>, std_<f>; one row per known user. ``counted`` as in
+    :func:`salted_lookup`.
     """
     stats = user_stats.select(
         "user_id", F.lit(True).alias("_known"),
         *[F.col(f"{s}_{c}").alias(f"_{s}_{c}") for s in ("mean", "std") for c in features],
     )
-    joined = salted_lookup(table, stats, "user_id", ["timestamp"])
+    joined = salted_lookup(table, stats, "user_id", ["timestamp"], counted)
     pick = lambda s, c, g: F.when(F.col("_known"), F.col(f"_{s}_{c}")).otherwise(F.lit(float(g[c])))
     scaled = {
         c: (F.col(c).cast("double") - pick("mean", c, global_mean)) / pick("std", c, global_std)

@@ -104,7 +104,7 @@ def runtime_features(
     )
     rows = rows.join(_report_history(requests, reports), ["user_id", "timestamp"], "left")
     wrong = problems.groupBy("user_id").agg(F.min(F.concat("source", F.lit(": "), "problem")).alias("_wrong"))
-    rows = salted_lookup(rows, wrong, "user_id", ["timestamp"])
+    rows = salted_lookup(rows, wrong, "user_id", ["timestamp"], requests)
     reason = F.coalesce(
         F.col("_wrong"),
         F.when(
@@ -114,7 +114,7 @@ def runtime_features(
     )
     if reports is not None:
         twice = duplicate_reports(reports).groupBy("user_id").agg(F.min("timestamp").alias("_twice"))
-        rows = salted_lookup(rows, twice, "user_id", ["timestamp"])
+        rows = salted_lookup(rows, twice, "user_id", ["timestamp"], requests)
         reason = F.coalesce(
             reason, F.when(F.col("_twice") < F.col("timestamp"), F.lit("self-reports need unique times"))
         )

@@ -183,6 +183,24 @@ def test_per_user_statistics_fall_back(spark):
     assert out == {"known": 1.0, "new": 1.0}
 
 
+def test_lookups_copy_rows_of_hot_keys_alone(spark):
+    # a third of the rows has one key, a tenth has none; user 7 is not in the lookup
+    key = F.expr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 10 = 1 THEN NULL ELSE concat('u', id % 50) END")
+    table = spark.range(6000).select(key.alias("user_id"), F.col("id").alias("at"), (F.col("id") * 2).alias("x"))
+    lookup = spark.createDataFrame([("hot", 1.0)] + [(f"u{i}", float(i)) for i in range(50) if i != 7], "user_id string, v double")
+    hot = sc.hot_keys(table, "user_id", rows=300)
+    assert [tuple(r) for r in hot.collect()] == [("hot", 7)]
+    assert sc._copied(lookup, hot, "user_id").count() == lookup.count() + 6
+    out = sc.salted_lookup(table, lookup, "user_id", ["at"], hot_rows=300)
+    plain = table.join(lookup, "user_id", "left")
+    assert out.columns == plain.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+    # the bound on hot keys holds however low the threshold is, and without rows there are none
+    assert sc.hot_keys(spark.range(5000).select((F.col("id") % 2500).alias("k")), "k", rows=1).count() < sc.MOST_HOT
+    assert sc.hot_keys(table.filter("false"), "user_id").count() == 0
+    assert sc.salted_lookup(table.filter("false"), lookup, "user_id", ["at"]).count() == 0
+
+
 def test_runtime_rows_equal_one_request_at_a_time(spark):
     window, web, inputs, _ = golden(spark)
     times = [at("08:20"), at("09:00"), at("09:40"), at("10:00"), at("12:00")]

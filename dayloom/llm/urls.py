@@ -3,22 +3,28 @@
 A pattern rule names the literal tokens (runs of letters and digits of the URL) that any match
 must contain. The index keeps each rule under the one of its tokens that the fewest URLs have.
 A URL's tokens fetch the candidate rules; no other regular expression runs on it.
+
+Rule sets of any size are cut into blocks of bounded size. A block travels to the tasks as look-up
+tables (host suffix and path length for host rules, rarest token for patterns), every URL meets
+every block, and the blocks' answers are combined in the row.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayloom.llm.common import bounded_batches, col, free_name
 
-#: Largest rule set that may travel to every task (one closure of a few dozen MB).
-MAX_RULES = 200_000
+#: Rules and characters that travel to a task in one block, and compiled patterns a task keeps.
+BLOCK_RULES, BLOCK_CHARS, COMPILED = 50_000, 8_000_000, 4096
 
 
 @dataclass(frozen=True)
@@ -81,22 +87,74 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.split(F.lower(url), "[^a-z0-9]+"))
 
 
-def _longest_rule(rules: Sequence[HostRule], host: Column, path: Column, value: str) -> Column:
-    out = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.name)):  # the longest is tested first
-        fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
-        out = F.when(fits, F.lit(getattr(rule, value))).otherwise(out)
-    return out
+def read_rules(spark: SparkSession, path: str) -> tuple[list[HostRule], list[PatternRule]]:
+    """Both rule tables of a JSON file: ``{"hosts": [[host, path, verdict], ...], "patterns":
+    [[pattern, [literal, ...]], ...]}``; a table that is not there is empty."""
+    tables = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    patterns = [PatternRule(p, tuple(literals)) for p, literals in tables.get("patterns", [])]
+    return [HostRule(*r) for r in tables.get("hosts", [])], patterns
+
+
+def rule_blocks(rules: Sequence, size) -> Iterator[tuple[int, Sequence]]:
+    """Consecutive rules in blocks of bounded number and characters, each with its first number."""
+    begin, chars = 0, 0
+    for number, rule in enumerate(rules):
+        if number > begin and (number - begin >= BLOCK_RULES or chars + size(rule) > BLOCK_CHARS):
+            yield begin, rules[begin:number]
+            begin, chars = number, 0
+        chars += size(rule)
+    if begin < len(rules):
+        yield begin, rules[begin:]
+
+
+class HostTable:
+    """Host to its rules by path, and the path lengths that occur, so a URL costs a few look-ups."""
+
+    def __init__(self, first: int, rules: Sequence[HostRule]):
+        self.longest = max(len(r.host) for r in rules)
+        self.hosts: dict[str, tuple[list[int], dict[str, tuple[int, str, str]]]] = {}
+        for number, r in enumerate(rules, first):
+            self.hosts.setdefault(r.host, ([], {}))[1][r.path] = (number, r.name, r.verdict)
+        for lengths, paths in self.hosts.values():
+            lengths.extend(sorted({len(p) for p in paths}, reverse=True))
+
+    def best(self, host: str, path: str) -> tuple[int, int, str | None, str | None]:
+        """Length, number, name and verdict of the longest rule that fits, of equal ones the last."""
+        best: tuple[int, int, str | None, str | None] = (-1, -1, None, None)
+        tail = host[-self.longest - 1 :]
+        suffixes = [tail[m.end() :] for m in re.finditer(r"\.", tail)]
+        if len(host) <= self.longest:
+            suffixes.append(host)
+        for suffix in suffixes:
+            lengths, paths = self.hosts.get(suffix, ((), {}))
+            fits = next((paths[path[:n]] for n in lengths if path[:n] in paths), None)
+            if fits and (len(fits[1]), fits[0]) > best[:2]:
+                best = (len(fits[1]), *fits)
+        return best
+
+
+def longest_rule(first: int, rules: Sequence[HostRule]):
+    """A pandas UDF over host and path: the answer of one block of host rules."""
+
+    @F.pandas_udf("length int, number int, name string, verdict string")
+    def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        known = HostTable(first, rules)
+        for hosts, paths in batches:
+            found = [known.best(h, p) for h, p in zip(hosts, paths, strict=True)]
+            yield pd.DataFrame(found, columns=["length", "number", "name", "verdict"])
+
+    return match
 
 
 def rarest_literals(urls: DataFrame, url: str, rules: Sequence[PatternRule]) -> dict[str, list[int]]:
     """Token to rule numbers: each rule under the literal that the fewest of all URLs have.
 
     Counts come from a grouping that keeps only tokens of the rule set, so at most one row per
-    literal reaches the driver.
+    literal reaches the driver, which holds the rules anyway.
     """
     literals = sorted({t for r in rules for t in r.literals})
-    tokens = urls.select(F.explode(F.filter(url_tokens(col(url)), lambda t: t.isin(literals))).alias("token"))
+    wanted = urls.sparkSession.createDataFrame(pd.DataFrame({"token": literals}, dtype=object), "token string")
+    tokens = urls.select(F.explode(url_tokens(col(url))).alias("token")).join(wanted, "token", "left_semi")
     seen = {r["token"]: r["count"] for r in tokens.groupBy("token").count().collect()}
     index: dict[str, list[int]] = {}
     for number, rule in enumerate(rules):
@@ -105,13 +163,18 @@ def rarest_literals(urls: DataFrame, url: str, rules: Sequence[PatternRule]) ->
     return index
 
 
-def first_pattern(index: dict[str, list[int]], rules: Sequence[PatternRule]):
-    """A pandas UDF: the first rule in table order whose pattern a URL matches, else null."""
+def first_pattern(index: dict[str, list[int]], rules: Sequence[PatternRule], first: int = 0):
+    """A pandas UDF: the first of a block's rules whose pattern a URL matches, else null.
+
+    ``index`` numbers the rules of the whole table, of which the block begins at ``first``.
+    """
     patterns = [r.pattern for r in rules]
+    block = range(first, first + len(rules))
+    index = {t: own for t, numbers in index.items() if (own := [n - first for n in numbers if n in block])}
 
     @F.pandas_udf("string")
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled: dict[int, re.Pattern] = {}
+        compiled = lru_cache(COMPILED)(lambda number: re.compile(patterns[number]))
         split = re.compile("[^a-z0-9]+").split
 
         def one(url: str | None) -> str | None:
@@ -119,8 +182,7 @@ def first_pattern(index: dict[str, list[int]], rules: Sequence[PatternRule]):
                 return None
             url = url.lower()
             for number in sorted({n for t in set(split(url)) if t in index for n in index[t]}):
-                rule = compiled.get(number) or compiled.setdefault(number, re.compile(patterns[number]))
-                if rule.search(url):
+                if compiled(number).search(url):
                     return patterns[number]
             return None
 
@@ -138,30 +200,38 @@ def filter_urls(
 ) -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``pattern`` and ``verdict`` to every row.
 
-    A host rule decides where one fits (the longest wins); else a matching pattern blocks and
-    anything else is allowed. A null URL, or one without ``://``, has empty host and path, fits
-    no host rule and may still match a pattern if not null. Rows are neither dropped nor merged;
-    where the table has a column of one of these names, the new one gets underscores in front.
+    A host rule decides where one fits (the longest wins, of equally long ones the last); else a
+    matching pattern blocks and anything else is allowed. A null URL, or one without ``://``, has
+    empty host and path, so only a rule without host can fit it, and may match a pattern if not
+    null. Rows are neither dropped nor merged; where the table has a column of one of these names,
+    the new one gets underscores in front. Either rule table may be empty, and of any size.
     """
-    if len(host_rules) + len(pattern_rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules do not fit in a task")
     if any(not r.literals for r in pattern_rules):
         raise ValueError("every pattern rule needs a literal token")
     bounded_batches(pages.sparkSession)
-    index = rarest_literals(pages, url, pattern_rules)
     source = col(url)
     names = {}
     for wanted in ("host", "path", "rule", "pattern", "verdict"):
         names[wanted] = free_name(pages, wanted)
     out = pages.withColumns({names["host"]: url_host(source), names["path"]: url_path(source)})
     host, path = col(names["host"]), col(names["path"])
-    out = out.withColumns(
-        {
-            names["rule"]: _longest_rule(host_rules, host, path, "name"),
-            names["pattern"]: first_pattern(index, pattern_rules)(source),
-        }
+    none = F.lit(None).cast("string")
+    fits = F.struct(F.lit(-1).alias("length"), F.lit(-1).alias("number"), none.alias("name"), none.alias("verdict"))
+    fits = reduce(
+        F.greatest,
+        [longest_rule(k, rules)(host, path) for k, rules in rule_blocks(host_rules, lambda r: len(r.name))],
+        fits,
     )
+    index = rarest_literals(pages, url, pattern_rules) if pattern_rules else {}
+    found = [
+        first_pattern(index, rules, k)(source)
+        for k, rules in rule_blocks(pattern_rules, lambda r: len(r.pattern) + sum(map(len, r.literals)))
+    ]
+    fit = free_name(out, "fit")
+    out = out.withColumns({fit: fits, names["pattern"]: F.coalesce(none, *found)})
     method = F.when(col(names["pattern"]).isNotNull(), "block").otherwise("allow")
-    return out.withColumn(
-        names["verdict"], F.coalesce(_longest_rule(host_rules, host, path, "verdict"), method)
+    return out.select(
+        *[col(c) for c in (*pages.columns, names["host"], names["path"])],
+        col(fit)["name"].alias(names["rule"]), col(names["pattern"]),
+        F.coalesce(col(fit)["verdict"], method).alias(names["verdict"]),
     )

@@ -1,3 +1,4 @@
+import json
 import math
 import re
 from collections import Counter
@@ -43,6 +44,49 @@ def test_quality_keeps_rows_and_columns(spark):
     assert set(range(10)) <= kept and not kept & {10, 11, 12, 15}
 
 
+def fitting(rules, host, path):
+    """Brute force: the longest rule that fits, of equal ones the last."""
+    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(enumerate(fits), key=lambda x: (len(x[1].name), x[0]))[1] if fits else None
+
+
+def test_host_rules_agree_with_brute_force():
+    part = ["a", "b", "co", "a.b", "b.a", "a.b.co", ""]
+    paths = ["", "/", "/a", "/a/", "/a/b", "/ab"]
+    rules = [urls.HostRule(h, p, v) for v in ("allow", "block") for h in part for p in paths if len(h + p) % 2 or v == "block"]
+    whole = urls.HostTable(0, rules)
+    halves = [urls.HostTable(k, r) for k, r in ((0, rules[:20]), (20, rules[20:]))]
+    for rest in (rules, rules[:9], rules[30:35]):
+        table = urls.HostTable(0, rest)
+        for host in [*part, "x.a", "xa", "x.a.b.co", "a.", ".a", "..", "x" * 99 + ".co"]:
+            for path in [*paths, "/a/b/c", "/ab/", "x"]:
+                want = fitting(rest, host, path)
+                got = table.best(host, path)
+                assert got[2:] == ((want.name, want.verdict) if want else (None, None)), (host, path)
+                assert max(h.best(host, path)[:2] for h in halves) == whole.best(host, path)[:2]
+
+
+def test_large_rule_tables(spark, tmp_path):
+    hosts = [[f"h{i}.net", "/p" * (i % 3), "block" if i % 2 else "allow"] for i in range(100_000)]
+    patterns = [[rf"/item{i}(x|y)?/", [f"item{i}" if i % 2 else "page"]] for i in range(1, 100_000, 2)]
+    patterns += [[rf"/page/n{i}$", ["page", f"n{i}"]] for i in range(50_000)]
+    (tmp_path / "rules.json").write_text(json.dumps({"hosts": hosts, "patterns": patterns}))
+    read_hosts, read_patterns = urls.read_rules(spark, str(tmp_path / "rules.json"))
+    assert len(read_hosts) == len(read_patterns) == 100_000
+    assert [k for k, _ in urls.rule_blocks(read_hosts, lambda r: 1)] == [0, 50_000]
+    rows = [
+        ("http://w.h7.net/p/q", "h7.net/p", "block"), ("http://h99998.net/", None, "allow"),
+        ("http://h99998.net/p/p/", "h99998.net/p/p", "allow"), ("http://h99999.net/", "h99999.net", "block"),
+        ("http://x.org/item99999/", None, "block"), ("http://x.org/item99998/", None, "allow"),
+        ("http://x.org/page/n49999", None, "block"), ("http://x.org/page/n50000", None, "allow"), (None, None, "allow"),
+    ]
+    table = spark.createDataFrame([(u,) for u, _, _ in rows], "url string")
+    out = urls.filter_urls(table, host_rules=read_hosts, pattern_rules=read_patterns).collect()
+    assert sorted(map(str, ((r["url"], r["rule"], r["verdict"]) for r in out))) == sorted(map(str, rows))
+    none = urls.filter_urls(table, host_rules=[], pattern_rules=[]).collect()
+    assert {(r["rule"], r["pattern"], r["verdict"]) for r in none} == {(None, None, "allow")}
+
+
 def test_url_verdicts(spark):
     cases = {
         "https://x.example.org/en/12": ("x.example.org", "/en/12", "example.org/en/1", "block"),

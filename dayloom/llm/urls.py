@@ -152,10 +152,13 @@ def rarest_literals(urls: DataFrame, url: str, rules: Sequence[PatternRule]) ->
     Counts come from a grouping that keeps only tokens of the rule set, so at most one row per
     literal reaches the driver, which holds the rules anyway.
     """
-    literals = sorted({t for r in rules for t in r.literals})
-    wanted = urls.sparkSession.createDataFrame(pd.DataFrame({"token": literals}, dtype=object), "token string")
-    tokens = urls.select(F.explode(url_tokens(col(url))).alias("token")).join(wanted, "token", "left_semi")
-    seen = {r["token"]: r["count"] for r in tokens.groupBy("token").count().collect()}
+    tokens = urls.select(F.explode(url_tokens(col(url))).alias("token"))
+    seen: dict[str, int] = {}
+    for _, some in rule_blocks(sorted({t for r in rules for t in r.literals}), len):
+        # a block is bounded in rows and characters, so it is broadcast and no token is shuffled uncounted
+        wanted = F.broadcast(urls.sparkSession.createDataFrame(pd.DataFrame({"token": some}, dtype=object), "token string"))
+        counts = tokens.join(wanted, "token", "left_semi").groupBy("token").count()
+        seen.update({r["token"]: r["count"] for r in counts.collect()})
     index: dict[str, list[int]] = {}
     for number, rule in enumerate(rules):
         rarest = min(rule.literals, key=lambda t: (seen.get(t, 0), t))

@@ -169,105 +169,101 @@ def self_report_history(
 ) -> DataFrame:
     """E7 + E8: statistics over earlier reports only, per target.
 
-    Rows of other sources get features but never feed them. Works on one narrow row
-    per (report, target), grouped by (user, target, period); earlier periods arrive as
-    one summary row each. Moments are shifted sums that merge over periods, so a
-    constant history has a deviation of exactly zero.
+    Rows of other sources get features but never feed them. All targets go side by side through
+    one sort by (user, period); earlier periods arrive as one summary row each. Moments are shifted sums that merge over periods, so a constant history has
+    a deviation of exactly zero.
     (user_id, timestamp) must be unique, see :func:`duplicate_reports`.
     """
     names = targets or TARGETS
-    # the target number, not its name, travels through the shuffles
-    values = ", ".join(f"{i}, double({t})" for i, t in enumerate(names))
-    long = table.select(
-        "user_id", "timestamp", to_us("timestamp").alias("us"),
-        F.expr(f"{source_column} <=> '{history_source}'").alias("fed"),
-        F.expr(f"stack({len(names)}, {values}) AS (target, given)"),
-    ).select(
-        "user_id", "timestamp", "us", "target",
-        floor_div(F.col("us"), period_us).alias("period"),
-        F.expr("CASE WHEN fed AND NOT isnan(given) THEN given END").alias("v"),
-    ).withColumn("item", F.expr("CASE WHEN v IS NOT NULL THEN struct(us AS t, v AS v) END"))
-
-    group = "PARTITION BY user_id, target, period ORDER BY us"
+    each = range(len(names))
+    fed = f"{source_column} <=> '{history_source}'"
+    rows = table.withColumn("_us", to_us("timestamp")).withColumns(
+        {
+            "_period": floor_div(F.col("_us"), period_us),
+            **{f"_v{i}": F.expr(f"CASE WHEN {fed} AND NOT isnan(double({t})) THEN double({t}) END") for i, t in enumerate(names)},
+        }
+    )
+    group = "PARTITION BY user_id, _period ORDER BY _us"
     past = f"OVER ({group} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     every = f"OVER ({group} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     # squared sums are taken around the first value of the period, so they stay small
-    rows = long.withColumn("k", F.expr(f"first(v) IGNORE NULLS {every}"))
+    rows = rows.select(
+        "*", *[F.expr(f"first(_v{i}) IGNORE NULLS {every}").alias(f"_k{i}") for i in each],
+        *[F.expr(f"CASE WHEN _v{i} IS NOT NULL THEN struct(_us AS t, _v{i} AS v) END").alias(f"_item{i}") for i in each],
+    )
+    # how many values of the period follow a row: the last three have fewer than three
+    upto = f"OVER ({group} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    left = [F.expr(f"count(_v{i}) {every} - count(_v{i}) {upto}").alias(f"_left{i}") for i in each]
     read = rows.select(
-        "user_id", "timestamp", "us", "target", "period", "k",
-        F.expr(f"count(v) {past}").alias("n"),
-        F.expr(f"coalesce(sum(v - k) {past}, 0D)").alias("s"),
-        F.expr(f"coalesce(sum((v - k) * (v - k)) {past}, 0D)").alias("q"),
-        F.expr(
-            "filter(array(" + ", ".join(f"lag(item, {i}) IGNORE NULLS OVER ({group})" for i in (3, 2, 1))
-            + "), x -> x IS NOT NULL)"
-        ).alias("recent"),
+        "*",
+        *[F.expr(f"count(_v{i}) {past}").alias(f"_n{i}") for i in each],
+        *[F.expr(f"coalesce(sum(_v{i} - _k{i}) {past}, 0D)").alias(f"_s{i}") for i in each],
+        *[F.expr(f"coalesce(sum((_v{i} - _k{i}) * (_v{i} - _k{i})) {past}, 0D)").alias(f"_q{i}") for i in each],
+        *[
+            F.expr(
+                "filter(array(" + ", ".join(f"lag(_item{i}, {b}) IGNORE NULLS OVER ({group})" for b in (3, 2, 1))
+                + "), x -> x IS NOT NULL)"
+            ).alias(f"_recent{i}")
+            for i in each
+        ],
     )
-    newest = "OVER (PARTITION BY user_id, target, period ORDER BY us DESC)"
-    periods = (
-        rows.select("user_id", "target", "period", "k", "v", "item", F.expr(f"count(v) {newest}").alias("rank"))
-        .groupBy("user_id", "target", "period")
-        .agg(
-            F.first("k", ignorenulls=True).alias("k"),
-            F.count("v").alias("n"),
-            F.expr("coalesce(sum(v - k), 0D)").alias("s"),
-            F.expr("coalesce(sum((v - k) * (v - k)), 0D)").alias("q"),
-            F.expr("sort_array(collect_list(CASE WHEN rank <= 3 THEN item END))").alias("last3"),
-        )
+    periods = rows.select("*", *left).groupBy("user_id", "_period").agg(
+        *[F.first(f"_k{i}").alias(f"k{i}") for i in each],
+        *[F.count(f"_v{i}").alias(f"n{i}") for i in each],
+        *[F.expr(f"coalesce(sum(_v{i} - _k{i}), 0D)").alias(f"s{i}") for i in each],
+        *[F.expr(f"coalesce(sum((_v{i} - _k{i}) * (_v{i} - _k{i})), 0D)").alias(f"q{i}") for i in each],
+        *[F.expr(f"sort_array(collect_list(CASE WHEN _left{i} < 3 THEN _item{i} END))").alias(f"last{i}") for i in each],
     )
-    by_user = "PARTITION BY user_id, target ORDER BY period"
+
+    by_user = "PARTITION BY user_id ORDER BY _period"
     whole = f"OVER ({by_user} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     earlier = f"OVER ({by_user} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    shift = "coalesce(k - g, 0D)"
-    moved_s, moved_q = f"s + n * {shift}", f"q + 2D * {shift} * s + n * {shift} * {shift}"
-    lags = ", ".join(
-        f"coalesce(lag(has, {i}) IGNORE NULLS OVER ({by_user}), array())" for i in (3, 2, 1)
-    )
-    carried = (
-        periods.select(
-            "*", F.expr(f"first(k) IGNORE NULLS {whole}").alias("g"),
-            F.expr("CASE WHEN size(last3) > 0 THEN last3 END").alias("has"),
-        )
-        .select("user_id", "target", "period", "g", "n", "has", F.expr(moved_s).alias("s"), F.expr(moved_q).alias("q"))
-        .select(
-            "user_id", "target", "period", "g",
-            *[F.expr(f"coalesce(sum({m}) {earlier}, {z})").alias(f"c{m}") for m, z in (("n", "0L"), ("s", "0D"), ("q", "0D"))],
-            F.expr(f"concat({lags})").alias("before"),
-        )
-    )
-    full = (
-        read.join(carried, ["user_id", "target", "period"], "left")
-        .select(
-            "user_id", "timestamp", "us", "target", "g",
-            F.expr("n + cn").alias("n"),
-            F.expr(f"{moved_s} + cs").alias("s"),
-            F.expr(f"{moved_q} + cq").alias("q"),
-            F.expr("slice(reverse(concat(before, recent)), 1, 3)").alias("recent"),
-        )
-        .select(
-            "*", F.expr("get(recent, 0)").alias("newest"),
-            F.expr("g + s / nullif(n, 0)").alias("mean"), F.expr("nullif(n, 0)").alias("c"),
-        )
-    )
-    stats = {
-        "last": "newest.v",
-        "mean": "mean",
-        "mean_3": "aggregate(reverse(recent), 0D, (a, x) -> a + x.v) / nullif(size(recent), 0)",
-        "std": "CASE WHEN n > 1 THEN sqrt(greatest((q - s * s / c) / c, 0D)) ELSE 0D END",
-        "log_count": "log1p(double(n))",
-        "log_gap_hours": f"CASE WHEN n > 0 THEN log1p(greatest((us - newest.t) / {60.0 * MINUTE_US!r}D, 0D)) END",
-        "last_minus_mean": "newest.v - mean",
-    }
-    stat = full.select("user_id", "timestamp", "target", *[F.expr(e).alias(n) for n, e in stats.items()])
-    # every report has exactly one row per target, so the list is indexed by target number
-    wide = stat.groupBy("user_id", "timestamp").agg(
-        F.expr(f"array_sort(collect_list(struct(target, {', '.join(stats)})))").alias("_stats")
+    # sums around k, moved to the first value of the user, g
+    shift = lambda k, g: f"coalesce({k} - {g}, 0D)"
+    moved_s = lambda s, n, d: f"({s} + {n} * {d})"
+    moved_q = lambda q, s, n, d: f"({q} + 2D * {d} * {s} + {n} * {d} * {d})"
+    before = lambda i: "concat(" + ", ".join(
+        f"coalesce(lag(has{i}, {b}) IGNORE NULLS OVER ({by_user}), array())" for b in (3, 2, 1)
+    ) + ")"
+    carried = periods.select(
+        "*", *[F.expr(f"first(k{i}) IGNORE NULLS {whole}").alias(f"g{i}") for i in each],
+        *[F.expr(f"CASE WHEN size(last{i}) > 0 THEN last{i} END").alias(f"has{i}") for i in each],
+    ).select(
+        "user_id", "_period", *[f"g{i}" for i in each], *[f"has{i}" for i in each], *[f"n{i}" for i in each],
+        *[F.expr(moved_s(f"s{i}", f"n{i}", shift(f"k{i}", f"g{i}"))).alias(f"s{i}") for i in each],
+        *[F.expr(moved_q(f"q{i}", f"s{i}", f"n{i}", shift(f"k{i}", f"g{i}"))).alias(f"q{i}") for i in each],
+    ).select(
+        "user_id", "_period", *[F.col(f"g{i}").alias(f"_g{i}") for i in each],
+        *[
+            F.expr(f"coalesce(sum({m}{i}) {earlier}, {z})").alias(f"_c{m}{i}")
+            for i in each for m, z in (("n", "0L"), ("s", "0D"), ("q", "0D"))
+        ],
+        *[F.expr(before(i)).alias(f"_before{i}") for i in each],
     )
-    return table.join(wide, ["user_id", "timestamp"], "left").select(
-        *table.columns,
-        *[F.expr(f"_stats[{i}].{n}").alias(history_name(t, n)) for i, t in enumerate(names) for n in stats],
-        *calendar_cycle(),
+    d = [shift(f"_k{i}", f"_g{i}") for i in each]
+    full = read.join(carried, ["user_id", "_period"], "left").select(
+        *[F.col(f"`{c}`") for c in table.columns], "_us",
+        *[F.col(f"_g{i}").alias(f"g{i}_") for i in each],
+        *[F.expr(f"_n{i} + _cn{i}").alias(f"n{i}_") for i in each],
+        *[F.expr(f"{moved_s(f'_s{i}', f'_n{i}', d[i])} + _cs{i}").alias(f"s{i}_") for i in each],
+        *[F.expr(f"{moved_q(f'_q{i}', f'_s{i}', f'_n{i}', d[i])} + _cq{i}").alias(f"q{i}_") for i in each],
+        *[F.expr(f"slice(reverse(concat(_before{i}, _recent{i})), 1, 3)").alias(f"recent{i}_") for i in each],
     )
+    out = []
+    for i, target in enumerate(names):
+        n, s, q, recent = f"n{i}_", f"s{i}_", f"q{i}_", f"recent{i}_"
+        newest, mean, c = f"get({recent}, 0)", f"g{i}_ + {s} / nullif({n}, 0)", f"nullif({n}, 0)"
+        stats = {
+            "last": f"{newest}.v",
+            "mean": mean,
+            "mean_3": f"aggregate(reverse({recent}), 0D, (a, x) -> a + x.v) / nullif(size({recent}), 0)",
+            "std": f"CASE WHEN {n} > 1 THEN sqrt(greatest(({q} - {s} * {s} / {c}) / {c}, 0D)) ELSE 0D END",
+            "log_count": f"log1p(double({n}))",
+            "log_gap_hours": f"CASE WHEN {n} > 0 THEN log1p(greatest((_us - {newest}.t) / {60.0 * MINUTE_US!r}D, 0D)) END",
+            "last_minus_mean": f"{newest}.v - ({mean})",
+        }
+        out += [F.expr(e).alias(history_name(target, stat)) for stat, e in stats.items()]
+    return full.select(*[F.col(f"`{c}`") for c in table.columns], *out, *calendar_cycle())
 
 
 def history_only(history: DataFrame, targets: list[str] | None = None) -> DataFrame:

@@ -3,8 +3,8 @@
 A mask selects some of the tokens at its span and ignores the others, so a substituted word in
 an ignored position does not spoil a hit. The selected tokens of every position are hashed, for
 benchmark items and for documents alike, and equal hashes are hits. Around each hit the item and
-the document are compared token by token along the hit's diagonal; the longest stretch of which
-enough is equal is the overlap.
+the document are compared token by token along the hit's diagonal; every maximal stretch of which
+enough is equal is an overlap.
 
 The benchmark is the query set: its hashes go to the tasks in blocks of a fixed size, and each
 block meets every document.
@@ -53,6 +53,16 @@ def split_words(texts):
     return pc.utf8_split_whitespace(pc.fill_null(texts, ""))
 
 
+def outermost(stretches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those stretches (start, length, equal tokens) that lie in no other; of equal places the best."""
+    kept, reach = [], -1
+    for a, n, m in sorted(stretches, key=lambda x: (x[0], -x[1], -x[2])):
+        if a + n > reach:
+            kept.append((a, n, m))
+            reach = a + n
+    return kept
+
+
 class SeedIndex:
     """Hashed seeds of a block of items: sorted hashes, with the item and position of each."""
 
@@ -110,36 +120,41 @@ class SeedIndex:
         h ^= h >> np.uint64(32)
         return h * np.uint64(0x9E3779B97F4A7C15), at
 
-    def overlap(self, tokens: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
-        """The longest stretch on a diagonal: start in the document, length, equal tokens.
+    def stretches(self, tokens: np.ndarray, item: int, shift: int) -> list[tuple[int, int, int]]:
+        """The maximal stretches on a diagonal: start in the document, length, equal tokens.
 
-        At least ``min_share`` of it is equal. It begins and ends on equal tokens; only if no such
-        stretch is long enough may it also reach to the item's own ends.
+        At least ``min_share`` of a stretch is equal, and no longer one holds it. It begins and ends
+        on equal tokens; only if no such stretch is long enough may one also reach to the item's own ends.
         """
         wanted = self.tokens[item]
         a, b = max(0, -shift), min(len(wanted), len(tokens) - shift)
         equal = tokens[a + shift : b + shift] == wanted[a:b]
         least = min(self.s.min_tokens, len(wanted))
         if len(equal) < least:
-            return None
+            return []
         share = self.share
         # a stretch has the share if the total does not fall from its begin to its end
         total = np.concatenate([[0], np.cumsum(share.denominator * equal.astype(np.int64) - share.numerator)])
+        equals = np.concatenate([[0], np.cumsum(equal)])
         may_begin, may_end = equal.copy(), equal.copy()
         for _ in range(2):
             low = np.minimum.accumulate(np.where(may_begin, total[:-1], np.iinfo(np.int64).max))
             ends = np.flatnonzero(may_end) + 1
             begins = np.searchsorted(-low, -total[ends], "left")
-            if len(ends) and (ends - begins).max() >= least:
-                best = int(np.argmax(ends - begins))
-                begin, end = int(begins[best]), int(ends[best])
-                return a + begin + shift, end - begin, int(equal[begin:end].sum())
+            # a later end with the same begin or an earlier one holds the stretch
+            later = np.minimum.accumulate(np.append(begins[1:], len(equal) + 1)[::-1])[::-1][: len(begins)]
+            kept = (ends - begins >= least) & (begins < later)
+            if kept.any():
+                return [
+                    (a + x + shift, y - x, int(equals[y] - equals[x]))
+                    for x, y in zip(begins[kept].tolist(), ends[kept].tolist(), strict=True)
+                ]
             may_begin[0] |= a == 0
             may_end[-1] |= b == len(wanted)
-        return None
+        return []
 
     def search(self, texts) -> list[list[dict]]:
-        """The overlaps of each text of an Arrow array: the longest of each item."""
+        """The overlaps of each text of an Arrow array, by item and place."""
         split = split_words(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -164,14 +179,17 @@ class SeedIndex:
                 row = int(of[at[k]])
                 place = int(at[k] - begins[row])
                 found.update(dict.fromkeys((row, int(i), place - int(q)) for i, q in zip(self.items[x:y], self.places[x:y], strict=True)))
-        best: list[dict[int, tuple]] = [{} for _ in range(len(texts))]
+        seen: list[dict[int, list]] = [{} for _ in range(len(texts))]
         for row, item, shift in found:
-            seen = self.overlap(tokens[begins[row] : begins[row + 1]], item, shift)
-            if seen and (item not in best[row] or (seen[1], -seen[0]) > (best[row][item][1], -best[row][item][0])):
-                best[row][item] = seen
+            stretches = self.stretches(tokens[begins[row] : begins[row + 1]], item, shift)
+            if stretches:
+                seen[row].setdefault(item, []).extend(stretches)
         return [
-            [{"item_id": self.ids[i], "start": a, "length": n, "matched": m} for i, (a, n, m) in sorted(b.items())]
-            for b in best
+            [
+                {"item_id": self.ids[i], "start": a, "length": n, "matched": m}
+                for i, stretches in sorted(s.items()) for a, n, m in outermost(stretches)
+            ]
+            for s in seen
         ]
 
 
@@ -210,8 +228,9 @@ def find_overlaps(
 ) -> DataFrame:
     """Add an array of overlaps with benchmark items to every document (empty: a clean one).
 
-    ``start``, ``length`` and ``matched`` count tokens: words in lower case without punctuation
-    around them. Null and empty texts overlap nothing, and nothing does with an empty benchmark;
+    An overlap is a stretch of the document that matches an item along some diagonal and lies in no
+    other stretch for that item, so an item that a text holds twice has two. ``start``, ``length`` and
+    ``matched`` count tokens: words in lower case without punctuation around them. Null and empty texts overlap nothing, and nothing does with an empty benchmark;
     items of equal text are all reported. Repeated rows keep their own arrays. A clashing name
     gets underscores in front.
     """

@@ -213,24 +213,56 @@ def test_items_are_found_under_all_allowed_substitutions():
         assert all(len(f) == 1 and f[0]["length"] >= min(n, 13) and 5 * f[0]["matched"] >= 4 * f[0]["length"] for f in found)
 
 
-def test_overlap_is_the_longest_stretch():
+def _maximal(equal, least=13):
+    """Brute force: the stretches [a, b) of enough equal tokens that no other such stretch holds."""
+    n = len(equal)
+    for edges in (False, True):
+        all_ = [
+            (a, b) for a in range(n) for b in range(a + least, n + 1)
+            if (equal[a] or (edges and a == 0)) and (equal[b - 1] or (edges and b == n)) and 5 * sum(equal[a:b]) >= 4 * (b - a)
+        ]
+        if all_:
+            return [(a, b) for a, b in all_ if not any((x, y) != (a, b) and x <= a and b <= y for x, y in all_)]
+    return []
+
+
+def test_all_maximal_stretches_of_a_diagonal_are_found():
     rng = random.Random(4)
-    item = [f"t{k}" for k in range(30)]
+    item = [f"t{k}" for k in range(60)]
     index = decontamination.SeedIndex([(1, " ".join(item))], decontamination.Settings())
-    lengths = set()
-    for _ in range(400):
-        equal = [rng.random() < 0.75 for _ in item]
+    numbers = set()
+    for k in range(300):
+        share = (0.6, 0.75, 0.9)[k % 3]
+        equal = [rng.random() < share for _ in item]
         tokens = np.array([7, *[k + 1 if e else 0 for k, e in enumerate(equal)], 9])
-        best = None
-        for edges in (False, True):
-            stretches = [
-                (b - a, -a, sum(equal[a:b])) for a in range(30) for b in range(a + 13, 31)
-                if (equal[a] or (edges and a == 0)) and (equal[b - 1] or (edges and b == 30)) and 5 * sum(equal[a:b]) >= 4 * (b - a)
-            ]
-            best = best or max(stretches, default=None)
-        assert index.overlap(tokens, 0, 1) == (best and (1 - best[1], best[0], best[2]))
-        lengths.add(best and best[0])
-    assert None in lengths and len(lengths) > 10
+        expected = [(1 + a, b - a, sum(equal[a:b])) for a, b in _maximal(equal)]
+        assert index.stretches(tokens, 0, 1) == expected
+        numbers.add(len(expected))
+    assert {0, 1, 2, 3} <= numbers
+
+
+def test_every_place_of_a_repeated_passage_is_found():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    item = words(70, 30, 5000).split()
+    index = decontamination.SeedIndex([(1, " ".join(item)), (2, " ".join(item[:20]))], decontamination.Settings())
+    text, expected = [], {1: [], 2: []}
+    for k in range(5):
+        text += words(80 + k, rng.randrange(1, 40), 5000).split()
+        piece = list(item[: (30, 16)[k % 2]])
+        piece[7] = "swapped"
+        for i, n in ((1, 30), (2, 20)):
+            expected[i].append((len(text), min(len(piece), n), min(len(piece), n) - 1))
+        text += piece
+    # two far parts of the item, the middle another text
+    text += ["gap"] * 5
+    far = [(len(text), 13, 13), (len(text) + 33, 13, 13)]
+    text += item[:13] + ["gap"] * 20 + item[17:]
+    found = index.search(pa.array([" ".join(text), None, ""]))
+    assert found[1:] == [[], []]
+    assert [(o["start"], o["length"], o["matched"]) for o in found[0] if o["item_id"] == 1] == expected[1] + far
+    assert [(o["start"], o["length"], o["matched"]) for o in found[0] if o["item_id"] == 2] == expected[2] + far[:1]
 
 
 def test_items_and_documents_are_split_alike():

@@ -186,7 +186,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of three of the four folds are learnt."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), _fold(F.col("id"), 4) != 2)
-    return scored.select("doc_id", (_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(_fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query("op9_simhash")

@@ -84,6 +84,20 @@ def test_toxic_words_raise_the_score(spark):
     assert right > 0.9 * len(out) and all(0 <= r["_score"] <= 1 for r in out)
 
 
+def test_labels_that_may_not_be_used_change_no_score(spark):
+    rng = random.Random(5)
+    texts = [(i, words(i, 60) + (" vile scum rotten" if i % 4 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame([*texts, (None, None)], "doc_id long, text string")
+    used = [(i, int(i % 4 == 0)) for i in range(400) if i % 3 != 2]
+    scores = []
+    for held in (0, 1, None):
+        rest = [(i, rng.randrange(2) if held is None else held) for i in range(400) if i % 3 == 2]
+        labels = spark.createDataFrame(used + rest, "doc_id long, toxic int")
+        out = toxicity.score_toxicity(docs, labels, F.col("id") % 3 != 2).collect()
+        scores.append(sorted((r["doc_id"] or -1, r["score"]) for r in out))
+    assert scores[0] == scores[1] == scores[2] and len(set(s for _, s in scores[0])) > 10
+
+
 def test_toxicity_of_awkward_rows(spark):
     table = awkward(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")

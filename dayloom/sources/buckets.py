@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_EVENT = "struct<timestamp:string,duration:string,data:string>"
-_BUCKET = f"struct<type:string,hostname:string,data:string,events:array<{_EVENT}>>"
+EVENT = "struct<timestamp:string,duration:string,data:string>"
+_BUCKET = f"struct<type:string,hostname:string,data:string,events:array<{EVENT}>>"
 BUCKET_SCHEMA = f"user_id string, buckets map<string,{_BUCKET}>"
 RAW_SCHEMA = (
     "user_id string, bucket string, type string, hostname string, bucket_data string, "

@@ -7,6 +7,8 @@ themselves. Both sides are cut into time bins, so the join is an equi-join on
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,24 @@ def overlap_join(
     )
 
 
+def stream_pairs(
+    requests: DataFrame, streams: Mapping[str, DataFrame], from_minutes: float, to_minutes: float = 0.0,
+    bin_minutes: float = 15.0,
+) -> DataFrame:
+    """C1 / C2 over several event streams: the pairs of all, with the stream's name as ``source``.
+
+    Columns that a stream lacks are null. Long ranges want wide bins: a request is copied once a bin.
+    """
+    parts = [
+        overlap_join(requests, t, from_minutes, to_minutes, bin_minutes).withColumn("source", F.lit(n))
+        for n, t in streams.items()
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def state_range_join(
     requests: DataFrame, hourly: DataFrame, from_minutes: float, to_minutes: float
 ) -> DataFrame:

@@ -74,9 +74,11 @@ def malformed_events(raw: DataFrame) -> DataFrame:
     return kept.withColumn("problem", problem).filter(F.col("problem").isNotNull())
 
 
-def dedupe_heartbeats(raw: DataFrame) -> DataFrame:
+def dedupe_heartbeats(raw: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """A3 + A5: valid events, one per (bucket, timestamp text, data), the longest kept.
 
+    ``carried`` are columns that depend on those three alone and are kept.
+
     A plain aggregate: copies combine before the shuffle, and the shuffle key is the
     event itself, so neither a hot bucket nor a group of copies meets in one task.
     """
@@ -89,7 +91,7 @@ def dedupe_heartbeats(raw: DataFrame) -> DataFrame:
         .filter(F.col("source_type").isNotNull() & valid_duration(F.col("duration_seconds")))
         .filter((F.col("timestamp") != "") & (F.col("user_id") != ""))
         .filter(F.col("data").isNull() | F.ltrim("data").startswith("{"))
-        .groupBy("user_id", "bucket", "hostname", "source_type", "timestamp", "data_key")
+        .groupBy("user_id", "bucket", "hostname", "source_type", "timestamp", "data_key", *carried)
         .agg(
             F.max("duration_seconds").alias("duration_seconds"), F.min("seq").alias("seq"),
             F.count("data_key").alias("_parsed"),
@@ -181,7 +183,12 @@ def finalize(rows: DataFrame, stream: str) -> DataFrame:
 
 def parse_events(raw: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> EventTables:
     """A1: the three event tables of every user in ``raw``."""
-    base = base_rows(dedupe_heartbeats(raw))
+    return tables_of(dedupe_heartbeats(raw), rules)
+
+
+def tables_of(snapshots: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> EventTables:
+    """The three event tables of events whose heartbeats are joined (:func:`dedupe_heartbeats`)."""
+    base = base_rows(snapshots)
     return EventTables(
         finalize(window_rows(base, rules), "window"),
         finalize(web_rows(base, rules), "web"),

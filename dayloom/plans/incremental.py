@@ -99,14 +99,17 @@ class ActivityStore:
 
     def extend(
         self, window: DataFrame | None = None, web: DataFrame | None = None, inputs: DataFrame | None = None,
-        requests: DataFrame | None = None, prior: DataFrame | None = None,
+        requests: DataFrame | None = None, prior: DataFrame | None = None, batch: str | None = None,
     ) -> Extension:
         """Add events, requests and prior times (``prior`` None: the requests themselves) and commit.
 
         Rows may be of any day: days before the mark are late, and what they change is derived anew.
+        ``batch`` names the run: one of a name that was committed before changes nothing.
         """
         mark, store = self.mark, self.store
         run = store.begin()
+        if batch is not None and store.holds(batch):
+            return Extension(run - 1, [], [], [])
         given = {"window": window, "web": web, "input": inputs}
         touched = {name: self._written(run, name, rows) for name, rows in given.items() if rows is not None}
         began = {d for name in touched for d in store.pending[name]}
@@ -127,7 +130,7 @@ class ActivityStore:
         read_days = (store.days("instants") & stale) | store.pending.get("instants", set())
         if read_days:
             self._read(run, read_days)
-        store.commit(run)
+        store.commit(run, batch)
         late = sorted(d for d in began if mark is not None and d <= mark)
         return Extension(run, sorted(began - set(late)), late, sorted(read_days))
 

@@ -809,6 +809,26 @@ def context_join(spark, d):
     )
 
 
+@query("overlap_join_streams", f"""
+WITH {sp.FX} SELECT r.user_id, r."timestamp" AS request_time, x.source_type AS source, x.seq, greatest(x.s, r.t - {sp.MIN60}) AS clip_start_us, least(x.e, r.t) AS clip_end_us
+FROM req r JOIN fx x ON x.user_id = r.user_id AND x.source_type IN ('window', 'web', 'input') AND x.e > x.s AND x.s < r.t AND x.e > r.t - {sp.MIN60}""")
+def overlap_join_streams(spark, d):
+    """C1 over all three streams."""
+    w, web, i, r = _tables(spark, d)
+    pairs = jn.stream_pairs(r, {"window": w, "web": web, "input": i}, 60)
+    return pairs.select("user_id", "request_time", "source", "seq", "clip_start_us", "clip_end_us")
+
+
+@query("context_join_week", f"""
+WITH {sp.FX} SELECT r.user_id, r."timestamp" AS request_time, x.source_type AS source, x.seq, greatest(x.s, r.t - {169 * HOUR_US}) AS clip_start_us, least(x.e, r.t - {HOUR_US}) AS clip_end_us
+FROM req r JOIN act x ON x.user_id = r.user_id AND x.s < r.t - {HOUR_US} AND x.e > r.t - {169 * HOUR_US}""")
+def context_join_week(spark, d):
+    """C2 over both activity streams and seven days."""
+    w, web, _, r = _tables(spark, d)
+    pairs = jn.stream_pairs(r, {"window": w, "web": web}, 169 * 60, 60, bin_minutes=24 * 60)
+    return pairs.select("user_id", "request_time", "source", "seq", "clip_start_us", "clip_end_us")
+
+
 @query("state_range_join", f"""
 WITH {sp.FX}, {sp.FULL_HOURS}, {sp.hour_label('hours0', 'user_id, h', 'hours')}
 SELECT r.user_id, r."timestamp" AS request_time, make_timestamp(h * {HOUR_US}) AS hour, CAST(state AS INTEGER) AS state

@@ -207,6 +207,15 @@ def state_of(probability: Column) -> Column:
     return F.when(probability >= HIGH_THRESHOLD, F.lit("high")).otherwise("not_high")
 
 
+def derived_once(value: Column) -> Column:
+    """The value out of a generator, through which Spark pushes no filter.
+
+    A filter that is pushed down names, in place of the value, all that it is derived from, and Spark
+    restates it for each renamed column on the way: over many features the plan outgrows the driver.
+    """
+    return F.explode(F.array(value))
+
+
 def prediction_report(
     scored: DataFrame, specs: list[TargetSpec], model_version: str, normalization: str
 ) -> DataFrame:
@@ -231,7 +240,8 @@ def prediction_report(
         F.lit(WINDOW_MINUTES).alias("window_minutes"),
         F.lit(model_version).alias("model_version"),
         F.lit(normalization).alias("normalization"),
-        predictions.alias("predictions"),
+        # unfolding a column filters by its size
+        derived_once(predictions).alias("predictions"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.functions.categories import DEFAULT_RULES, Rule
@@ -18,7 +18,7 @@ from dayloom.operators.contract import check_events, feature_problem, normalize_
 from dayloom.operators.history import duplicate_reports, self_report_history
 from dayloom.operators.parse import EventTables, malformed_events, parse_events
 from dayloom.operators.recourse import recommend_changes, snapshots
-from dayloom.operators.scoring import prediction_report, salted_lookup, score_all_targets
+from dayloom.operators.scoring import derived_once, prediction_report, salted_lookup, score_all_targets
 from dayloom.plans.production import production_readings
 from dayloom.functions.history_columns import HISTORY_COLUMNS, RUNTIME_COLUMNS
 from dayloom.vocab import HISTORY_SOURCE, TARGETS
@@ -141,17 +141,19 @@ def runtime_features_from_raw(
     )
 
 
-def _bad_feature(features: DataFrame, models: Mapping[str, tuple]) -> Column:
-    """B8 over the features of all targets: missing values pass, an infinite one has its name."""
+def _with_bad_feature(features: DataFrame, models: Mapping[str, tuple]) -> DataFrame:
+    """B8 over the features of all targets as ``_bad``: missing values pass, an infinite one has its name.
+
+    """
     check_specs([spec for spec, _ in models.values()])
     used = sorted({f for spec, _ in models.values() for f in spec.features})
-    return feature_problem(features, used, allow_missing=True)
+    return features.select("*", derived_once(feature_problem(features, used, allow_missing=True)).alias("_bad"))
 
 
 def unscorable(features: DataFrame, models: Mapping[str, tuple]) -> DataFrame:
     """The rows that no model is given, as (user_id, timestamp, reason)."""
-    bad = features.select("user_id", "timestamp", _bad_feature(features, models).alias("reason")).filter("reason IS NOT NULL")
-    return bad.withColumn("reason", F.concat(F.lit("infinite feature: "), "reason"))
+    bad = _with_bad_feature(features, models).filter("_bad IS NOT NULL")
+    return bad.select("user_id", "timestamp", F.concat(F.lit("infinite feature: "), "_bad").alias("reason"))
 
 
 def score_requests(
@@ -165,7 +167,7 @@ def score_requests(
 
     Rows with an infinite feature have no report: they are those of :func:`unscorable`.
     """
-    usable = features.filter(_bad_feature(features, models).isNull())
+    usable = _with_bad_feature(features, models).filter("_bad IS NULL").drop("_bad")
     scored = score_all_targets(usable, models, standardize)
     return prediction_report(scored, [spec for spec, _ in models.values()], model_version, normalization)
 

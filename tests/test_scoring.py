@@ -231,3 +231,19 @@ def test_reports_and_snapshots(spark):
     chance = {t: (sc.linear_scorer({"action_minutes_development": 0.004}, 0.2), ["action_minutes_development"]) for t in TARGETS}
     out = rt.recommend(rows, chance, "arousal", "v1").collect()
     assert len({r["snapshot_id"] for r in out}) == 2 and all(r["target"] == "arousal" for r in out)
+
+
+def test_derived_features_are_not_derived_again_by_filters(spark):
+    derived = {c: F.expr(f"sqrt(seen) + {i}") for i, c in enumerate(RUNTIME_COLUMNS[2:])}
+    rows = spark.range(3).selectExpr(
+        "concat('u', id) AS user_id", "timestamp_ntz'2026-01-01 09:00:00' AS timestamp", "if(id = 2, double('infinity'), double(id)) AS seen"
+    ).select("user_id", "timestamp", *[v.alias(c) for c, v in derived.items()])
+    models = {s.target: (s, sc.linear_scorer({f: 0.01 for f in s.features}, 2.0)) for s in COMPACT_TARGETS}
+    reports = rt.score_requests(rows, models)
+    unfolded = reports.select("participant_id", F.inline("predictions"))
+    for table in (reports, unfolded, rt.unscorable(rows, models)):
+        lines = table._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [line for line in lines if "Filter" in line and "SQRT(" in line]
+    assert {r["participant_id"] for r in reports.collect()} == {"u0", "u1"} and unfolded.count() == 14
+    (bad,) = rt.unscorable(rows, models).collect()
+    assert bad["user_id"] == "u2" and bad["reason"].startswith("infinite feature: ")

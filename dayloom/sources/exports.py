@@ -280,13 +280,14 @@ def read_exports(
         _text(attribute("hostname")).alias("hostname"), _text(attribute("data")).alias("bucket_data"),
         F.collect_list(F.when(F.col("listed"), F.col("at"))).alias("lists"),
     )
-    known = buckets.join(users, ["path", "root_at"], "left").withColumn("list_at", F.explode("lists")).drop("lists")
+    # Spark takes rows found in a range for as small as the range's own row: it would broadcast them all
+    known = buckets.join(users.hint("merge"), ["path", "root_at"], "left").withColumn("list_at", F.explode("lists")).drop("lists")
     # a range meets the list that runs into it and those that begin in it: no key holds more than a range
     met = placed.filter("listed").select("path", "lo", F.col("at").alias("member"), F.col("at").alias("list_at")).unionByName(
         placed.filter("level = -1").select("path", "lo", F.lit(-1).cast("long").alias("member"), F.col("running").alias("list_at"))
     )
-    lists = met.join(known, ["path", "list_at"]).select("path", "lo", "member", "user_id", "bucket", "type", "hostname", "bucket_data")
+    lists = met.join(known.hint("merge"), ["path", "list_at"]).select("path", "lo", "member", "user_id", "bucket", "type", "hostname", "bucket_data")
     events = _scan(ranges, "events", "at long, member long, event string", ahead_bytes)
-    return events.withColumn("e", F.from_json("event", EVENT)).join(lists, ["path", "lo", "member"]).select(
+    return events.withColumn("e", F.from_json("event", EVENT)).join(lists.hint("merge"), ["path", "lo", "member"]).select(
         "user_id", "bucket", "type", "hostname", "bucket_data", F.col("at").alias("seq"), "e.timestamp", "e.duration", "e.data"
     )

@@ -94,3 +94,10 @@ def test_a_large_export_is_read_by_many_tasks_in_little_memory(spark, tmp_path):
     one.depth = int(marks_of((head := path.read_bytes()[: 4 << 20]), quotes_of(head, False), False, 0).depth[-1])
     events = one.whole("events", 1 << 12)
     assert len(one.data) < (2 << 20) + (1 << 14) and all((4 << 20) <= e[0] < (6 << 20) for e in events)
+
+
+def test_events_are_not_broadcast(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"user_id": "u", "buckets": {"b": {"events": [{"timestamp": "t"}]}}}')
+    table = read_exports(spark, str(tmp_path / "a.json"))
+    assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
+    assert table.count() == 1

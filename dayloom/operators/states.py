@@ -20,6 +20,7 @@ from dayloom.operators.timeline import activity_union
 from dayloom.operators.window_features import KEY, probes, request_keys
 from dayloom.vocab import STATE_CATEGORIES, STATE_FEATURES, WINDOW_MINUTES
 
+DAY_HOURS = 24
 _US = [f"us_{c}" for c in STATE_CATEGORIES]
 
 
@@ -39,28 +40,27 @@ def _category_sums(amount: str) -> list[Column]:
 
 
 def hour_vector(table: DataFrame, keep: list[str]) -> DataFrame:
-    """The 18 state features as one array ``x``, from per-hour exact totals.
+    """The 18 state features as columns ``_x0`` to ``_x17``, from per-hour exact totals.
 
     Overlaps count twice here by definition, and ``event_count`` covers every
-    category while minutes cover the eleven state categories only.
+    category while minutes cover the eleven state categories only. Flat arithmetic,
+    so it stays inside generated code.
     """
-    us = ", ".join(_US)
+    shares = [f"_share{i}" for i in range(len(_US))]
+    entropy = "0D"
+    for s in shares:
+        entropy = f"({entropy} - CASE WHEN {s} > 0 THEN {s} * log2({s}) ELSE 0D END)"
+    active = " + ".join(f"CASE WHEN {u} > 0 THEN 1 ELSE 0 END" for u in _US)
+    values = [
+        "least(_total, 60D)", "least(_total, 60D) / 60D", "double(event_count)", f"double({active})", entropy,
+        "sin(_angle)", "cos(_angle)", *shares,
+    ]
     return (
-        table.select(*keep, "hour_no", "event_count", F.expr(f"array({us})").alias("us"))
-        .withColumn("total", F.expr(f"aggregate(us, 0L, (a, u) -> a + u) / {MINUTE_US}D"))
-        .withColumn(
-            "shares", F.expr(f"transform(us, u -> u / {MINUTE_US}D / greatest(total, 1e-9D))")
-        )
-        .withColumn("angle", F.expr(f"pmod(hour_no, 24) * {2 * math.pi!r}D / 24D"))
-        .select(
-            *keep, "us",
-            F.expr(
-                "concat(array(least(total, 60D), least(total, 60D) / 60D, double(event_count), "
-                "double(size(filter(us, u -> u > 0))), "
-                "aggregate(shares, 0D, (a, s) -> a - CASE WHEN s > 0 THEN s * log2(s) ELSE 0D END), "
-                "sin(angle), cos(angle)), shares)"
-            ).alias("x"),
-        )
+        table.select(*keep, "hour_no", "event_count", *_US)
+        .withColumn("_total", F.expr(f"({' + '.join(_US)}) / {MINUTE_US}D"))
+        .withColumns({s: F.expr(f"{u} / {MINUTE_US}D / greatest(_total, 1e-9D)") for s, u in zip(shares, _US)})
+        .withColumn("_angle", F.expr(f"pmod(hour_no, 24) * {2 * math.pi!r}D / 24D"))
+        .select(*keep, *_US, *[F.expr(v).alias(f"_x{i}") for i, v in enumerate(values)])
     )
 
 
@@ -81,8 +81,8 @@ def behavior_of_totals(totals: DataFrame) -> DataFrame:
     table = hour_vector(totals, ["user_id", "hour_no"])
     return table.select(
         "user_id", from_us(F.col("hour_no") * HOUR_US).alias("hour"),
-        *[F.expr(f"us[{i}] / {MINUTE_US}D").alias(c) for i, c in enumerate(STATE_CATEGORIES)],
-        *[F.expr(f"x[{i}]").alias(c) for i, c in enumerate(STATE_FEATURES)],
+        *[F.expr(f"{u} / {MINUTE_US}D").alias(c) for u, c in zip(_US, STATE_CATEGORIES)],
+        *[F.col(f"_x{i}").alias(c) for i, c in enumerate(STATE_FEATURES)],
     )
 
 
@@ -113,8 +113,8 @@ def assign_state(table: DataFrame, model: StateModel = DEFAULT_STATE_MODEL) -> D
 
 def _labelled(totals: DataFrame, keep: list[str], model: StateModel) -> DataFrame:
     """Active hours only, as (keep..., state, state_distance_min)."""
-    table = hour_vector(totals, keep).filter("x[0] > 0")
-    table = _with_nearest(table, [f"x[{i}]" for i in range(len(model.features))], model)
+    table = hour_vector(totals, keep).filter("_x0 > 0")
+    table = _with_nearest(table, [f"_x{i}" for i in range(len(model.features))], model)
     return table.select(*keep, F.col("best.i").alias("state"), F.col("best.d").alias("state_distance_min"))
 
 
@@ -136,11 +136,11 @@ def interval_stats(table: DataFrame, ranges: dict[str, str], n_states: int) -> D
         *[
             F.expr(
                 f"transform(sequence(0, {n_states - 1}), k -> CASE WHEN size({r}) > 0 "
-                f"THEN size(filter({r}, x -> x.s = k)) / size({r}) ELSE 0D END)"
+                f"THEN (size({r}) - size(array_remove({r}.s, k))) / size({r}) ELSE 0D END)"
             ).alias(f"share_{p}")
             for p, r in ranges.items()
         ],
-        *[F.expr(f"array_sort(transform({r}, x -> x.d))").alias(f"sorted_{p}") for p, r in ranges.items()],
+        *[F.expr(f"sort_array({r}.d)").alias(f"sorted_{p}") for p, r in ranges.items()],
     )
     out = []
     for p, r in ranges.items():
@@ -254,16 +254,17 @@ def state_readings(
     hours = asked.select("user_id", "hs").distinct()
 
     full = _labelled(hourly_totals(activity) if totals is None else totals, ["user_id", "hour_no"], model)
-    look_back = Window.partitionBy("user_id").orderBy("hour_no").rangeBetween(-back, -1)
-    full_rows = (
-        full.select("user_id", "hour_no", _entry(0).alias("row"))
-        .unionByName(
-            hours.select("user_id", F.col("hs").alias("hour_no"), F.lit(True).alias("asked")),
-            allowMissingColumns=True,
-        )
-        .withColumn("full_rows", F.collect_list("row").over(look_back))
+    # the hours before an hour lie in its day and a few days before: read once a day, not once an hour
+    day = lambda hour: floor_div(F.col(hour), DAY_HOURS).alias("day")
+    look_back = Window.partitionBy("user_id").orderBy("day").rangeBetween(-math.ceil(back / DAY_HOURS), 0)
+    days = (
+        full.select("user_id", day("hour_no"), _entry(0).alias("row"))
+        .unionByName(hours.select("user_id", day("hs"), F.lit(True).alias("asked")), allowMissingColumns=True)
+        .groupBy("user_id", "day")
+        .agg(F.sort_array(F.collect_list("row")).alias("day_rows"), F.bool_or("asked").alias("asked"))
+        .withColumn("days_rows", F.flatten(F.collect_list("day_rows").over(look_back)))
         .filter("asked")
-        .select("user_id", F.col("hour_no").alias("hs"), "full_rows")
+        .select("user_id", "day", "days_rows")
     )
     carried = (
         _labelled(_carried_hours(activity, hours, back), ["user_id", "hs", "hour_no"], model)
@@ -271,9 +272,11 @@ def state_readings(
         .agg(F.collect_list(_entry(1)).alias("carried_rows"))
     )
     none = F.array().cast("array<struct<h:bigint,p:int,s:int,d:double>>")
-    base = full_rows.join(carried, ["user_id", "hs"], "left").select(
+    seen = F.filter("days_rows", lambda x: (x["h"] < F.col("hs")) & (x["h"] >= F.col("hs") - back))
+    before = hours.join(carried, ["user_id", "hs"], "left").withColumn("day", floor_div(F.col("hs"), DAY_HOURS))
+    base = before.join(days, ["user_id", "day"]).select(
         "user_id", "hs",
-        F.array_sort(F.concat("full_rows", F.coalesce("carried_rows", none))).alias("rows"),
+        F.sort_array(F.concat(seen, F.coalesce("carried_rows", none))).alias("rows"),
     )
     running_rows = _labelled(_running_hour(activity, keys), [*KEY, "hour_no"], model).select(
         *KEY, F.array(_entry(1)).alias("now")

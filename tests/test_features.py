@@ -167,3 +167,21 @@ def test_sweep_of_a_dense_bin_is_linear():
     out = _sweep("category")(rows)
     assert time.process_time() - began < 10  # a slice written once per event would take minutes
     assert (out["start_us"].to_numpy()[1:] >= out["end_us"].to_numpy()[:-1]).all()
+
+
+def test_hours_are_derived_in_generated_code(spark):
+    window, web, _, _ = golden(spark)
+    plan = hourly_behavior(window, web)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_look_back_reaches_exactly_seven_days_over_day_edges(spark):
+    schema = "user_id string, timestamp timestamp_ntz, event_end timestamp_ntz, source_type string, app string, category string"
+    asked = dt.datetime(2026, 1, 9, 1)
+    hours = [1, 2, 24, 25, 26, 168, 169, 170]
+    begins = [asked - dt.timedelta(hours=h) for h in hours]
+    window = spark.createDataFrame([("u", b, b + dt.timedelta(minutes=9), "window", "Code", "development") for b in begins], schema)
+    (row,) = behavior_states(window, None, spark.createDataFrame([("u", asked)], "user_id string, timestamp timestamp_ntz")).collect()
+    got = [row[f"{p}_state_active_hours"] for p in ("current60", "prior24h", "prior7d")]
+    # the window begins at the hour 1 before: its 24 hours are 2 to 25 before, its seven days 2 to 169
+    assert got == [1.0, 3.0, 6.0]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,6 +117,37 @@ def map_sorted_bins(
     )
 
 
+class Groups:
+    """Where the (user, bin) groups of a sweep's rows begin and end, and running totals inside them."""
+
+    def __init__(self, p: pd.DataFrame):
+        user, bins = pd.factorize(p["user_id"].to_numpy())[0], p["bin"].to_numpy()
+        head = np.r_[True, (user[1:] != user[:-1]) | (bins[1:] != bins[:-1])]
+        starts, number = np.flatnonzero(head), np.cumsum(head) - 1
+        self.first, self.last = starts[number], np.r_[starts[1:], len(p)][number] - 1
+        self.at = np.arange(len(p))
+
+    def totals(self, value: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of whole numbers: the sum up to each of ``rows`` (itself included) and that of its group."""
+        total, first = np.cumsum(value), self.first[rows]
+        base = total[first] - value[first]
+        return total[rows] - base, total[self.last[rows]] - base
+
+    def latest(self, marked: np.ndarray) -> np.ndarray:
+        """The last marked row of the group up to each row; -1 where there is none."""
+        found = np.maximum.accumulate(np.where(marked, self.at, -1))
+        return np.where(found >= self.first, found, -1)
+
+    def next(self, marked: np.ndarray) -> np.ndarray:
+        """The first marked row of the group from each row on; -1 where there is none."""
+        found = np.minimum.accumulate(np.where(marked, self.at, len(self.at))[::-1])[::-1]
+        return np.where(found <= self.last, found, -1)
+
+
+#: Stands for a missing request time in a sweep: whole-number columns without nulls stay whole numbers there.
+NO_TIME = -(1 << 62)
+
+
 def crowded_bins(rows: DataFrame, limit: int) -> DataFrame:
     """(user_id, bin, parts) of bins with over ``limit`` rows; at most one for each ``limit`` rows."""
     sizes = rows.groupBy("user_id", "bin").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
@@ -138,8 +170,3 @@ def quantile_cuts(rows: DataFrame, crowded: DataFrame, at: list[str]) -> DataFra
     step = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES) / (F.col("parts") * len(at))).cast("int"))
     picked = F.filter("q", lambda x, i: F.pmod(i + 1, step) == 0)
     return sketched.select("user_id", "bin", F.array_sort(F.array_distinct(picked)).alias("cuts"))
-
-
-def pick(role: str, value: Column) -> Column:
-    """The value carried by the probe row of one role."""
-    return F.max(F.when(F.col("role") == role, value))

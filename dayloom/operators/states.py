@@ -9,13 +9,16 @@ is specific to a request and comes from running totals.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.state_model import DEFAULT_STATE_MODEL, StateModel
 from dayloom.functions.times import HOUR_US, MINUTE_US, floor_div, from_us
-from dayloom.operators.bins import explode_bins
+from dayloom.operators.bins import Groups, explode_bins, map_sorted_bins
 from dayloom.operators.timeline import activity_union
 from dayloom.operators.window_features import KEY, probes, request_keys
 from dayloom.vocab import STATE_CATEGORIES, STATE_FEATURES, WINDOW_MINUTES
@@ -111,11 +114,46 @@ def assign_state(table: DataFrame, model: StateModel = DEFAULT_STATE_MODEL) -> D
     )
 
 
+def _label_batches(keep: list[str], model: StateModel):
+    """:func:`hour_vector` and the nearest centre for batches of totals; active hours only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            spent = [p[u].to_numpy() for u in _US]
+            total = sum(spent[1:], spent[0]) / float(MINUTE_US)
+            shares = [u / float(MINUTE_US) / np.maximum(total, 1e-9) for u in spent]
+            entropy = np.zeros(len(p))
+            for s in shares:
+                entropy = entropy - np.where(s > 0, s * (np.log(np.where(s > 0, s, 1.0)) / np.log(2.0)), 0.0)
+            angle = p["hour_no"].to_numpy() % 24 * (2 * math.pi) / 24.0
+            active = sum((u > 0).astype(float) for u in spent)
+            least = np.minimum(total, 60.0)
+            values = [
+                least, least / 60.0, p["event_count"].to_numpy().astype(float), active, entropy,
+                np.sin(angle), np.cos(angle), *shares,
+            ]
+            scaled = [(v - float(m)) / float(s) for v, m, s in zip(values, model.mean, model.scale)]
+            far = []
+            for center in model.centers:
+                terms = [(z - float(c)) * (z - float(c)) for z, c in zip(scaled, center)]
+                far.append(np.sqrt(sum(terms[1:], terms[0])))
+            best = np.argmin(far, axis=0) if len(p) else np.zeros(0, dtype=int)
+            out = {c: p[c] for c in keep}
+            out |= {"state": best.astype(np.int32), "state_distance_min": np.min(far, axis=0)}
+            yield pd.DataFrame(out)[least > 0]
+
+    return run
+
+
 def _labelled(totals: DataFrame, keep: list[str], model: StateModel) -> DataFrame:
-    """Active hours only, as (keep..., state, state_distance_min)."""
-    table = hour_vector(totals, keep).filter("_x0 > 0")
-    table = _with_nearest(table, [f"_x{i}" for i in range(len(model.features))], model)
-    return table.select(*keep, F.col("best.i").alias("state"), F.col("best.d").alias("state_distance_min"))
+    """Active hours only, as (keep..., state, state_distance_min).
+
+    The generated code of so many terms is too long for the JVM to compile, so they are
+    computed for batches. ``keep`` holds whole numbers beside ``user_id``.
+    """
+    schema = [f"{c} {'string' if c == 'user_id' else 'bigint'}" for c in keep] + ["state int", "state_distance_min double"]
+    columns = dict.fromkeys([*keep, "hour_no", "event_count", *_US])
+    return totals.select(*columns).mapInPandas(_label_batches(keep, model), ", ".join(schema))
 
 
 def _entry(partial: int) -> Column:
@@ -178,34 +216,36 @@ def _running_hour(activity: DataFrame, keys: DataFrame) -> DataFrame:
     split = hour_split(activity)
     origin = F.col("hour_no") * HOUR_US
     point = lambda pos, sign: F.struct(
-        (pos - origin).alias("at"), F.lit(sign).cast("bigint").alias("sign")
+        (pos - origin).alias("at"), F.lit(sign).alias("sign")
     )
+    category = F.array_position(F.array(*[F.lit(c) for c in STATE_CATEGORIES]), F.col("category")) - 1
     points = split.select(
-        "user_id", "hour_no", "category",
+        "user_id", F.col("hour_no").alias("bin"), F.coalesce(category, F.lit(-1)).cast("int").alias("cat"),
         F.inline(F.array(point(F.col("p_start"), 1), point(F.col("p_end"), -1))),
-    ).withColumn("kind", F.lit(1))
-    asked = probes(keys, HOUR_US, {"end": 0}).select(
-        "user_id", F.col("bin").alias("hour_no"), "req_us",
-        (F.col("pos") - F.col("bin") * HOUR_US).alias("at"), F.lit(0).alias("kind"),
+    ).select("user_id", "bin", "at", F.lit(1).alias("kind"), "cat", "sign", F.lit(0).cast("bigint").alias("req_us"))
+    asked = probes(keys.filter("req_us IS NOT NULL"), HOUR_US, {"end": 0}).select(
+        "user_id", "bin", (F.col("pos") - F.col("bin") * HOUR_US).alias("at"), F.lit(0).alias("kind"),
+        F.lit(-1).alias("cat"), F.lit(0).alias("sign"), "req_us",
     )
-    frame = (
-        "OVER (PARTITION BY user_id, hour_no ORDER BY at, kind "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    )
-    total = lambda value, name: F.expr(f"coalesce(sum({value}) {frame}, 0L)").alias(name)
-    of = lambda c, value: f"CASE WHEN category = '{c}' THEN {value} END"
-    read = points.unionByName(asked, allowMissingColumns=True).select(
-        "user_id", "hour_no", "req_us", "kind", "at",
-        total("CASE WHEN sign = 1 THEN 1L END", "event_count"),
-        *[total(of(c, "sign"), f"n_{c}") for c in STATE_CATEGORIES],
-        *[total(of(c, "sign * at"), f"w_{c}") for c in STATE_CATEGORIES],
-    )
-    return read.filter("kind = 0").select(
-        "user_id", "hour_no", "req_us", "event_count",
-        *[F.expr(f"at * n_{c} - w_{c}").alias(u) for c, u in zip(STATE_CATEGORIES, _US)],
+    return map_sorted_bins(
+        points.unionByName(asked), ["at", "kind"], _read_running_hour,
+        "user_id string, hour_no bigint, req_us bigint, event_count bigint, " + ", ".join(f"{u} bigint" for u in _US),
     )
 
 
+def _read_running_hour(p: pd.DataFrame) -> pd.DataFrame:
+    """Totals of the hour before each probe, from the points before it."""
+    groups = Groups(p)
+    at, cat, sign = (p[c].to_numpy() for c in ("at", "cat", "sign"))
+    q = np.flatnonzero(p["kind"].to_numpy() == 0)
+    out = {"user_id": p["user_id"].to_numpy()[q], "hour_no": p["bin"].to_numpy()[q], "req_us": p["req_us"].to_numpy()[q]}
+    out["event_count"] = groups.totals((sign == 1).astype(np.int64), q)[0]
+    for i, u in enumerate(_US):
+        signed = np.where(cat == i, sign, 0).astype(np.int64)
+        out[u] = at[q] * groups.totals(signed, q)[0] - groups.totals(signed * at, q)[0]
+    return pd.DataFrame(out)
+
+
 def _carried_hours(activity: DataFrame, hours: DataFrame, back: int) -> DataFrame:
     """Extra rows for earlier hours from events running across the start of ``hs``.
 

@@ -9,6 +9,7 @@ The cost is linear in events + requests, also when one user has most of both.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +17,15 @@ from pyspark.sql import functions as F
 from dayloom.functions.numbers import divide_or_zero
 from dayloom.functions.times import DAY_US, MINUTE_US, SECOND_US, floor_div, from_us, to_us
 from dayloom.operators.bins import (
+    NO_TIME,
+    Groups,
     bin_width,
     carried_prefix,
     explode_bins,
     map_sorted_bins,
-    pick,
     running,
 )
+from dayloom.session import written_once
 from dayloom.operators.timeline import activity_union, resolve_bins
 from dayloom.vocab import (
     CATEGORIES,
@@ -43,7 +46,7 @@ def request_keys(requests: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def probes(keys: DataFrame, width_us: int, roles: dict[str, int]) -> DataFrame:
+def probes(keys: DataFrame, width_us: int, roles: dict[str | int, int]) -> DataFrame:
     """Fan each request out to one probe point per role (offset back from the request)."""
     points = F.array(
         *[F.struct(F.lit(r).alias("role"), F.lit(o).cast("bigint").alias("back")) for r, o in roles.items()]
@@ -58,107 +61,133 @@ def probes(keys: DataFrame, width_us: int, roles: dict[str, int]) -> DataFrame:
 
 # --- activity minutes, focus blocks, context ---------------------------------
 
-def _before(total: str, category: str | None = None) -> str:
-    """Running total up to the probe, less what its last segment has after it."""
-    hit = "true" if category is None else f"cur.category = '{category}'"
+_TOTALS = sorted({c for cats in CONTEXT_CATEGORIES.values() for c in cats})
+_CONTEXT_SUMS = [f"ctx{n}_{c}" for n, cats in CONTEXT_CATEGORIES.items() for c in (*cats, "any")]
+_SUMS = [*CATEGORIES, "blocks", "shorts"]
+_CARRIED = ["left_us", "left_cat", "right_us", "right_cat"]
+#: Probes of a request in a sweep: its end, the begin of its window, and the ends of earlier ranges.
+END, START = 0, 1
+NO_CATEGORY, ELSEWHERE = -1, -(1 << 63)
+
+
+def _category_code(category: str) -> Column:
+    """A category as a whole number: its place in the list, -1 for none, a hash for any other name."""
+    known = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col(category)) - 1
     return (
-        f"({total} - coalesce(CASE WHEN {hit} THEN greatest(cur.seg_end - pos, 0L) END, 0L))"
+        F.when(F.col(category).isNull(), F.lit(NO_CATEGORY))
+        .when(F.col(category).isin(CATEGORIES), known)
+        .otherwise(F.xxhash64(category).bitwiseOR(F.lit(1 << 62)))
     )
 
 
+def _segment_sweep(width_us: int, context: bool):
+    """What each probe reads of the segments of its bin; see :func:`segment_readings`.
+
+    Rows of a bin come in the order of ``pos`` and ``kind``: the totals of earlier bins (-1), probes
+    (0) before segments (1).
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        groups = Groups(p)
+        pos, kind, end, cat = (p[c].to_numpy() for c in ("pos", "kind", "seg_end", "cat"))
+        seg, q = kind == 1, np.flatnonzero(kind == 0)
+        length = np.where(seg, end - pos, 0)
+        latest = groups.latest(seg)
+        cur, tail, head = latest[q], latest[groups.last[q]], groups.next(seg)[groups.first[q]]
+        at, role, edge = pos[q], p["role"].to_numpy()[q], (p["bin"].to_numpy()[q] + 1) * width_us
+        is_end, is_start = role == END, role == START
+        # what the latest segment has after the probe
+        after = np.where(cur >= 0, np.maximum(end[cur] - at, 0), 0)
+        cut = after > 0
+        here = np.where(cur >= 0, cat[cur], NO_CATEGORY)
+        by_role = lambda at_end, at_start: np.where(is_end, at_end, np.where(is_start, at_start, 0))
+        out = {"user_id": p["user_id"].to_numpy()[q], "req_us": p["req_us"].to_numpy()[q], "role": role}
+        upto, every = {}, np.zeros(len(q), dtype=np.int64)
+        for i, c in enumerate(CATEGORIES):
+            total, whole = groups.totals(np.where(cat == i, length, 0), q)
+            every = every + total
+            upto[c] = total - np.where(here == i, after, 0)
+            out[c] = by_role(upto[c], whole - upto[c])
+        upto["any"] = every - after
+        total, whole = groups.totals(seg.astype(np.int64), q)
+        out["blocks"] = by_role(total, whole - total + cut)
+        total, whole = groups.totals((seg & (length < SHORT_US)).astype(np.int64), q)
+        full, done, left = (cut & (x < SHORT_US) for x in (length[cur], at - pos[cur], end[cur] - at))
+        # a cut segment counts with its clipped length
+        out["shorts"] = by_role(total - full + done, whole - total + left)
+        # the block that may continue over the bin edge, seen from either side
+        runs_out = is_start & (tail >= 0) & (end[tail] == edge)
+        runs_in = is_end & (head >= 0) & (pos[head] == edge - width_us) & (edge - width_us < at)
+        out["left_us"] = np.where(runs_out, edge - np.maximum(pos[tail], at), 0)
+        out["left_cat"] = np.where(runs_out, cat[tail], ELSEWHERE)
+        out["right_us"] = np.where(runs_in, np.minimum(end[head], at) - (edge - width_us), 0)
+        out["right_cat"] = np.where(runs_in, cat[head], ELSEWHERE)
+        if context:
+            first = groups.first[q]
+            total = {c: np.where(kind[first] == -1, p[f"before_{c}"].to_numpy()[first], 0) + upto[c] for c in (*_TOTALS, "any")}
+            for i, (name, cats) in enumerate(CONTEXT_CATEGORIES.items()):
+                sign = np.where(is_start, 1, np.where(role == START + 1 + i, -1, 0))
+                out |= {f"ctx{name}_{c}": sign * total[c] for c in (*cats, "any")}
+        return pd.DataFrame(out)
+
+    return run
+
+
 def segment_readings(
     segments: DataFrame, keys: DataFrame, width_us: int, context: bool
 ) -> DataFrame:
     """One row per request with exact microsecond totals and focus-block counts.
 
     ``segments``: resolved in-bin category runs (user_id, bin, start_us, end_us, category).
+    ``keys`` may have a boolean ``looks_back``: context is then read for the marked keys alone and
+    is zero for the others.
     """
-    roles = {"end": 0, "start": width_us}
+    roles = {END: 0, START: width_us}
+    far = {START + 1 + i: width_us + CONTEXT_DAYS[n] * DAY_US for i, n in enumerate(CONTEXT_CATEGORIES)}
+    marked = "looks_back" in keys.columns
+    keys = keys.withColumn("req_us", F.coalesce("req_us", F.lit(NO_TIME)))
+    asked = probes(keys, width_us, roles)
     if context:
-        roles.update({f"ctx{n}": width_us + d * DAY_US for n, d in CONTEXT_DAYS.items()})
+        asked = asked.unionByName(probes(keys.filter("looks_back") if marked else keys, width_us, far))
+    zero = F.lit(0).cast("bigint")
+    before = [f"before_{c}" for c in (*_TOTALS, "any")] if context else []
+    none = {c: zero for c in before}
     rows = segments.select(
-        "user_id", "bin",
-        F.col("start_us").alias("pos"), F.lit(1).alias("kind"),
-        F.lit(None).cast("string").alias("role"), F.lit(None).cast("bigint").alias("req_us"),
-        F.expr("struct(start_us AS seg_start, end_us AS seg_end, category)").alias("seg"),
-    ).unionByName(
-        probes(keys, width_us, roles).withColumn("kind", F.lit(0)), allowMissingColumns=True
+        "user_id", "bin", F.col("start_us").alias("pos"), F.lit(1).alias("kind"), F.lit(-1).alias("role"),
+        zero.alias("req_us"), F.col("end_us").alias("seg_end"), _category_code("category").alias("cat"),
+    ).withColumns(none).unionByName(
+        asked.select("user_id", "bin", "pos", F.lit(0).alias("kind"), "role", "req_us", zero.alias("seg_end"), zero.alias("cat")).withColumns(none)
     )
-    length = "seg.seg_end - seg.seg_start"
-    sums = {c: f"CASE WHEN seg.category = '{c}' THEN {length} END" for c in CATEGORIES}
-    sums["n"] = "CASE WHEN seg IS NOT NULL THEN 1L END"
-    sums["short"] = f"CASE WHEN {length} < {SHORT_US} THEN 1L END"
-    by_bin = "PARTITION BY user_id, bin ORDER BY pos, kind ROWS BETWEEN UNBOUNDED PRECEDING AND"
-    upto, whole = f"OVER ({by_bin} CURRENT ROW)", f"OVER ({by_bin} UNBOUNDED FOLLOWING)"
-    read = rows.select(
-        "user_id", "bin", "pos", "kind", "role", "req_us",
-        F.expr(f"last(seg) IGNORE NULLS {upto}").alias("cur"),
-        F.expr(f"first(seg) IGNORE NULLS {whole}").alias("head"),
-        F.expr(f"last(seg) IGNORE NULLS {whole}").alias("tail"),
-        *[F.expr(f"coalesce(sum({e}) {upto}, 0L)").alias(f"to_{c}") for c, e in sums.items()],
-        *[F.expr(f"coalesce(sum({e}) {whole}, 0L)").alias(f"all_{c}") for c, e in sums.items()],
-    ).filter("kind = 0").select(
-        "*",
-        F.expr("coalesce(cur.seg_end > pos, false)").alias("cut"),
-        F.expr(f"(bin + 1) * {width_us}L").alias("edge"),
-        F.expr(f"bin * {width_us}L").alias("origin"),
-    )
-
-    by_role = lambda end, start: (
-        f"CASE role WHEN 'end' THEN {end} WHEN 'start' THEN {start} ELSE 0L END"
-    )
-    one = lambda condition: f"CASE WHEN {condition} THEN 1L ELSE 0L END"
-    values = {}
-    for c in CATEGORIES:
-        before = _before(f"to_{c}", c)
-        values[c] = by_role(before, f"all_{c} - {before}")
-    values["blocks"] = by_role("to_n", f"all_n - to_n + {one('cut')}")
-    # a cut segment counts with its clipped length
-    values["shorts"] = by_role(
-        f"to_short - {one(f'cut AND cur.seg_end - cur.seg_start < {SHORT_US}')}"
-        f" + {one(f'cut AND pos - cur.seg_start < {SHORT_US}')}",
-        f"all_short - to_short + {one(f'cut AND cur.seg_end - pos < {SHORT_US}')}",
-    )
-    # the block that may continue over the bin edge, seen from either side
-    carried = {
-        "left_us": "CASE WHEN role = 'start' AND tail.seg_end = edge THEN edge - greatest(tail.seg_start, pos) END",
-        "left_cat": "CASE WHEN role = 'start' THEN tail.category END",
-        "right_us": "CASE WHEN role = 'end' AND head.seg_start = origin AND origin < pos "
-                    "THEN least(head.seg_end, pos) - origin END",
-        "right_cat": "CASE WHEN role = 'end' THEN head.category END",
-    }
     if context:
-        totals = sorted({c for cats in CONTEXT_CATEGORIES.values() for c in cats})
-        amount = {c: f"CASE WHEN category = '{c}' THEN len ELSE 0L END" for c in totals}
+        amount = {c: f"CASE WHEN category = '{c}' THEN len ELSE 0L END" for c in _TOTALS}
         amount["any"] = "coalesce(len, 0L)"
         per_bin = (
             segments.select("user_id", "bin", "category", F.expr("end_us - start_us").alias("len"))
-            .unionByName(
-                probes(keys, width_us, {k: v for k, v in roles.items() if k != "end"})
-                .select("user_id", "bin").distinct(),
-                allowMissingColumns=True,
-            )
+            .unionByName(asked.filter(F.col("role") != END).select("user_id", "bin").distinct(), allowMissingColumns=True)
             .groupBy("user_id", "bin")
             .agg(*[F.expr(f"sum({e})").alias(c) for c, e in amount.items()])
         )
-        read = read.join(carried_prefix(per_bin, "user_id", "bin", list(amount)), ["user_id", "bin"], "left")
-        here = {c: f"(before_{c} + {_before(f'to_{c}', c)})" for c in totals}
-        here["any"] = f"(before_any + {_before(' + '.join(f'to_{c}' for c in CATEGORIES))})"
-        for name, cats in CONTEXT_CATEGORIES.items():
-            for c in (*cats, "any"):
-                values[f"ctx{name}_{c}"] = (
-                    f"CASE role WHEN 'start' THEN {here[c]} WHEN 'ctx{name}' THEN -{here[c]} ELSE 0L END"
-                )
-    merged = read.groupBy(*KEY).agg(
-        *[F.expr(f"sum({e})").alias(n) for n, e in values.items()],
-        *[F.expr(f"max({e})").alias(n) for n, e in carried.items()],
-    ).withColumn(
-        "joined",
-        F.expr("coalesce(left_us IS NOT NULL AND right_us IS NOT NULL AND left_cat = right_cat, false)"),
+        rows = rows.unionByName(
+            carried_prefix(per_bin, "user_id", "bin", list(amount)).select(
+                "user_id", "bin", (F.col("bin") * width_us).alias("pos"), F.lit(-1).alias("kind"), F.lit(-1).alias("role"),
+                zero.alias("req_us"), zero.alias("seg_end"), zero.alias("cat"), *before,
+            )
+        )
+    sums = [*_SUMS, *(_CONTEXT_SUMS if context else [])]
+    read = map_sorted_bins(
+        rows, ["pos", "kind"], _segment_sweep(width_us, context),
+        "user_id string, req_us bigint, role int, " + ", ".join(f"{c} bigint" for c in (*_SUMS, *_CARRIED, *sums[len(_SUMS):])),
     )
+    merged = read.groupBy(*KEY).agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in _CARRIED],
+        (F.max("role") > START).alias("looked_back"),
+    ).withColumn("joined", F.expr(f"left_us > 0 AND right_us > 0 AND left_cat = right_cat AND left_cat <> {NO_CATEGORY}"))
+    one = lambda condition: f"CASE WHEN {condition} THEN 1L ELSE 0L END"
     short = lambda e: one(f"{e} < {SHORT_US}")
     return merged.select(
-        *KEY, *[n for n in values if n not in ("blocks", "shorts")],
+        "user_id", F.nullif("req_us", F.lit(NO_TIME)).alias("req_us"), *CATEGORIES,
+        # rows without a user have no earlier bins
+        *[F.expr(f"CASE WHEN looked_back AND user_id IS NOT NULL THEN {c} ELSE 0L END").alias(c) for c in sums[len(_SUMS):]],
         F.expr(f"blocks - {one('joined')}").alias("blocks"),
         F.expr(
             f"shorts + CASE WHEN joined THEN {short('left_us + right_us')} - {short('left_us')}"
@@ -250,6 +279,33 @@ def _active_app_steps(p: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _read_switches(p: pd.DataFrame) -> pd.DataFrame:
+    """What each probe reads of the starts and of the active events' list of its bin."""
+    groups = Groups(p)
+    kind, changes, app = (p[c].to_numpy() for c in ("kind", "active_changes", "app"))
+    code = pd.factorize(app)[0]
+    stepped = (kind == 0) | (kind == 4)
+    start = ((kind == 2) | (kind == 5)) & (code >= 0)
+    state, seen, coming = groups.latest(stepped), groups.latest(start), groups.next(start)
+    before = np.r_[-1, seen[:-1]]
+    before = np.where(before >= groups.first, before, -1)
+    differ = start & (before >= 0) & (code != code[before])
+    q = np.flatnonzero((kind == 1) | (kind == 3))
+    is_start = kind[q] == 3
+    total, whole = groups.totals(differ.astype(np.int64), q)
+    state, seen, coming = state[q], seen[q], coming[q]
+    head, tail = groups.next(start)[groups.first[q]], groups.latest(start)[groups.last[q]]
+    link = (seen >= 0) & (coming >= 0) & (code[seen] != code[coming])
+    at_start = np.where(state >= 0, changes[state], 0) + whole - total - link
+    named = lambda row, where: np.where(where & (row >= 0), app[row], None)
+    return pd.DataFrame({
+        "user_id": p["user_id"].to_numpy()[q], "req_us": p["req_us"].to_numpy()[q],
+        "n": np.where(is_start, at_start, total),
+        "last0": named(state, is_start), "first1": named(coming, is_start),
+        "last1": named(tail, is_start & (coming >= 0)), "first2": named(head, ~is_start & (seen >= 0)),
+    })
+
+
 def switch_readings(
     window: DataFrame, keys: DataFrame, width_us: int, instants: bool = True
 ) -> DataFrame:
@@ -278,63 +334,30 @@ def switch_readings(
     # at one place: ends, the probe at t, instants, the probe at t - w, starts
     starts = events.filter("e_us >= s_us" if instants else "e_us > s_us").select(
         "user_id", floor_div(F.col("s_us"), width_us).alias("bin"), F.col("s_us").alias("pos"),
-        F.when(F.col("e_us") > F.col("s_us"), 5).otherwise(2).alias("kind"),
-        F.col("app").alias("start_app"), "seq",
+        F.when(F.col("e_us") > F.col("s_us"), 5).otherwise(2).alias("kind"), "seq",
+        F.lit(0).cast("bigint").alias("req_us"), F.lit(0).cast("bigint").alias("active_changes"), "app",
     )
-    points = (
-        steps.unionByName(starts, allowMissingColumns=True)
-        .unionByName(
-            probes(keys, width_us, {"end": 0, "start": width_us}).withColumn(
-                "kind", F.when(F.col("role") == "end", 1).otherwise(3)
-            ),
-            allowMissingColumns=True,
-        )
-        .withColumn("state", F.when(F.col("kind").isin(0, 4), F.struct("active_changes", "active_app")))
-    )
-    order = ["pos", "kind", F.col("seq").asc_nulls_first(), F.col("start_app").asc_nulls_first()]
-    upto, whole = running(["user_id", "bin"], order)
-    in_order = "over (partition by user_id, bin order by pos, kind, seq nulls first, start_app nulls first)"
-    flagged = points.withColumn(
-        "prev_app", F.expr(f"lag(start_app) ignore nulls {in_order}")
-    ).withColumn(
-        "flag",
-        F.when(
-            F.col("start_app").isNotNull() & F.col("prev_app").isNotNull(),
-            (F.col("start_app") != F.col("prev_app")).cast("bigint"),
-        ),
+    keys = keys.select("user_id", F.coalesce("req_us", F.lit(NO_TIME)).alias("req_us"))
+    asked = probes(keys, width_us, {END: 0, START: width_us}).select(
+        "user_id", "bin", "pos", F.when(F.col("role") == END, 1).otherwise(3).alias("kind"), F.lit(0).cast("bigint").alias("seq"),
+        "req_us", F.lit(0).cast("bigint").alias("active_changes"), F.lit(None).cast("string").alias("app"),
     )
-    read = flagged.select(
-        "user_id", "req_us", "role", "kind",
-        F.last("state", ignorenulls=True).over(upto).alias("active"),
-        F.first("start_app", ignorenulls=True).over(whole).alias("head_app"),
-        F.last("start_app", ignorenulls=True).over(whole).alias("tail_app"),
-        F.expr(f"lead(start_app) ignore nulls {in_order}").alias("next_app"),
-        F.last("start_app", ignorenulls=True).over(upto).alias("seen_app"),
-        F.coalesce(F.sum("flag").over(upto), F.lit(0)).alias("to_flag"),
-        F.coalesce(F.sum("flag").over(whole), F.lit(0)).alias("all_flag"),
-    ).filter("kind IN (1, 3)")
-    link = (
-        F.col("next_app").isNotNull() & F.col("seen_app").isNotNull()
-        & (F.col("next_app") != F.col("seen_app"))
-    ).cast("bigint")
-    one = read.groupBy(*KEY).agg(
-        pick("start", F.col("active.active_changes")).alias("n0"),
-        pick("start", F.col("active.active_app")).alias("last0"),
-        pick("start", F.col("next_app")).alias("first1"),
-        pick("start", F.when(F.col("next_app").isNotNull(), F.col("tail_app"))).alias("last1"),
-        pick("start", F.col("all_flag") - F.col("to_flag") - link).alias("n1"),
-        pick("end", F.when(F.col("seen_app").isNotNull(), F.col("head_app"))).alias("first2"),
-        pick("end", F.col("to_flag")).alias("n2"),
+    steps = steps.select("user_id", "bin", "pos", "kind", "seq", F.lit(0).cast("bigint").alias("req_us"), "active_changes", F.col("active_app").alias("app"))
+    read = map_sorted_bins(
+        steps.unionByName(starts).unionByName(asked), ["pos", "kind", "seq", "app"], _read_switches,
+        "user_id string, req_us bigint, n bigint, last0 string, first1 string, last1 string, first2 string",
     )
+    one = read.groupBy(*KEY).agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("last0", "first1", "last1", "first2")])
     differs = lambda a, b: F.coalesce((F.col(a) != F.col(b)).cast("bigint"), F.lit(0))
     total = (
-        F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))
-        + differs("last0", "first1")
+        F.col("n") + differs("last0", "first1")
         + F.when(F.col("first1").isNotNull(), differs("last1", "first2")).otherwise(
             differs("last0", "first2")
         )
     )
-    return one.select(*KEY, total.cast("double").alias("app_switch_count"))
+    return one.select(
+        "user_id", F.nullif("req_us", F.lit(NO_TIME)).alias("req_us"), total.cast("double").alias("app_switch_count")
+    )
 
 
 # --- input load ---------------------------------------------------------------
@@ -443,20 +466,26 @@ def feature_readings(
     recut: bool = False,
     collapse_copies: bool = True,
     runs: DataFrame | None = None,
+    activity: DataFrame | None = None,
 ) -> DataFrame:
     """Current (and optional context) features keyed by (user_id, req_us).
 
     All parts end in an aggregate on the request key, so they join without
-    another shuffle. ``runs`` is the resolved timeline by category where it is
-    already known; the events are then read for switches and inputs alone.
+    another shuffle. A boolean ``looks_back`` of ``keys`` says for which of them context is
+    read (all without). ``runs`` is the resolved timeline by category where it is
+    already known; the events are then read for switches and inputs alone. ``activity`` is their
+    :func:`activity_union` where a caller has it.
     """
     width = bin_width(window_minutes)
     if runs is None:
-        runs = resolve_bins(activity_union(window, web), width, "category", collapse_copies)
+        activity = activity_union(window, web) if activity is None else activity
+        runs = resolve_bins(activity, width, "category", collapse_copies)
+        runs = written_once(runs) if context else runs  # read twice: by the probes and for the totals of bins
     table = segment_readings(runs, keys, width, context)
     table = table.select(
         *KEY, *activity_columns(window_minutes), *(context_columns() if context else [])
     )
+    keys = keys.select(*KEY)
     table = table.join(switch_readings(window, keys, width, instants=not recut), KEY, "left")
     if inputs is None:
         table = table.withColumn("input_active_ratio", F.lit(0.0)).withColumn("input_load", F.lit(0.0))

@@ -9,7 +9,7 @@ from dayloom.functions.numbers import finite_or_zero
 from dayloom.functions.state_model import DEFAULT_STATE_MODEL, StateModel
 from dayloom.functions.times import MINUTE_US, from_us, to_us
 from dayloom.operators.allocations import action_columns
-from dayloom.session import cut_lineage
+from dayloom.session import written_once
 from dayloom.operators.history import prior_requests
 from dayloom.operators.states import state_readings
 from dayloom.operators.timeline import activity_union
@@ -79,14 +79,17 @@ def production_readings(
     times, so nothing is computed twice and nothing is windowed per user.
     """
     # every family of features probes at these instants: written once, not derived by each
-    wanted = cut_lineage(wanted_instants(requests, prior))
-    instants = wanted.select(*KEY).distinct()
+    wanted = written_once(wanted_instants(requests, prior))
+    # context is a request's own; its prior times are asked for means of current features
+    instants = wanted.groupBy(*KEY).agg((F.min("rank") == 0).alias("looks_back"))
+    # overlaps, hours and running hours each read the activity: five scans
+    activity = written_once(activity_union(window, web))
     table = feature_readings(
         window, web, inputs, instants, WINDOW_MINUTES, context=True, recut=recut,
-        collapse_copies=collapse_copies,
+        collapse_copies=collapse_copies, activity=activity,
     )
     rows = rows_of_readings(table, wanted)
-    states = state_readings(activity_union(window, web), request_keys(requests), model)
+    states = state_readings(activity, request_keys(requests), model)
     return rows.join(states, KEY)
 
 

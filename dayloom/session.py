@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,9 +30,8 @@ def build_session(app: str = "dayloom", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set on first use."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -41,4 +42,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The rows as a parquet table in the shared folder, for what many scans read in part."""
+    folder = f"{_shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -21,6 +21,7 @@ from dayloom.operators.recourse import recommend_changes, snapshots
 from dayloom.operators.scoring import derived_once, prediction_report, salted_lookup, score_all_targets
 from dayloom.plans.production import production_readings
 from dayloom.functions.history_columns import HISTORY_COLUMNS, RUNTIME_COLUMNS
+from dayloom.session import written_once
 from dayloom.vocab import HISTORY_SOURCE, TARGETS
 
 
@@ -82,7 +83,7 @@ def runtime_features(
     problem), one without activity, one after reports of equal time.
     """
     asked = normalize_requests(requests).select("user_id", "timestamp").distinct()
-    asked = asked.withColumn("reason", request_problem())
+    asked = written_once(asked.withColumn("reason", request_problem()))
     requests = asked.filter("reason IS NULL").drop("reason")
     prior = requests.filter("false")
     extras = {"questionnaires": questionnaires, "reports": reports}
@@ -90,6 +91,11 @@ def runtime_features(
         n: normalize_requests(t).withColumn("problem", request_problem())
         for n, t in extras.items() if t is not None
     }
+    if "reports" in checked:  # prior times, history, copies and problems each read them
+        table = checked["reports"]
+        checked["reports"] = written_once(table.select(
+            "user_id", "timestamp", "problem", *[F.col(t).cast("double").alias(t) for t in TARGETS if t in table.columns]
+        ))
     for table in checked.values():
         prior = prior.unionByName(table.filter("problem IS NULL").select("user_id", "timestamp"))
     reports = checked["reports"].filter("problem IS NULL").drop("problem") if "reports" in checked else None

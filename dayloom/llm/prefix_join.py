@@ -3,13 +3,14 @@
 A set is the sorted array of its n-grams' 64-bit hashes: the hash value is the global order. Equal
 sets are one node. The join runs in three steps.
 
-1. *Routing.* If two sets have a Jaccard similarity of ``share`` or more, enough neighbouring pairs
-   of one's prefix are neighbours in the other's prefix too (``prefix_pairs``). Neighbours are
-   dealt by their hash, rows of 16 bytes; nodes with too few shared ones have no partner. What is
-   left falls into families, the components of shared neighbours.
+1. *Routing.* If two sets have a Jaccard similarity of ``share`` or more, enough elements of one's
+   prefix are in the other's too (``prefix_pairs``). Elements are dealt by their hash, 16 bytes each;
+   nodes with too few shared ones have no partner. What is left falls into families, the
+   components of shared elements without the most frequent ones of each node (``families``).
 2. *Trie join.* The sets of a family (in blocks, where it is large) are stored in a trie. A set
-   walks the trie from the root, all sets below a trie node share the overlap counted so far, and a
-   subtree is left as soon as the overlap and what remains cannot reach the share.
+   walks the trie from the root, down the branches of the sets that share one of its rarest elements
+   in the block; all sets below a trie node share the overlap counted so far, and a subtree is left
+   as soon as the overlap and what remains cannot reach the share.
 3. *Components* of the links that hold.
 
 No pair of sets is taken on trust and none is missed: routing is a proof, the walk is a count.
@@ -21,110 +22,132 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import bounded_batches, col, materialise, thinned
+from dayloom.llm.common import bounded_batches, col, materialise, tasks_for, thinned
 from dayloom.llm.simhash import components
 
 #: Shingles of a block, about: what one trie holds.
 LOAD = 2_000_000
 #: Shingles of one trie node at most, so that long unshared tails can be left half-way.
 SEGMENT = 32
-#: Words whose hashes a task remembers, and the longest such word in bytes.
-KNOWN_WORDS, KNOWN_BYTES = 100_000, 32
+#: Words beyond so many bytes are hashed one at a time; nodes that a task remembers.
+LONG_WORD, KNOWN_NODES = 256, 100_000
+#: Elements of a bucket, about, and those that a task deals out at a time.
+BUCKET, DEALT = 1_000_000, 2_000_000
+#: Rows of a bucket that a task holds before it lets go of elements with over ``CROWD`` rows; their count.
+HELD, CROWD, MANY = 4_000_000, 1_000, (1 << 31) - 1
 #: A node with over this share of all rows is looked up by broadcast: there are 500 of them at most.
 HOT = 0.002
+#: The bytes between words, and masks of the first 0 to 8 bytes of eight.
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 # ---- sets -----------------------------------------------------------------
 
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """XXH64 of every word; ``known`` remembers short ones and is emptied when it is full."""
-    import xxhash
-
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    out = list(map(known.get, words))
-    if None in out:
-        for k, value in enumerate(out):
-            if value is None:
-                out[k] = value = xxhash.xxh64_intdigest(words[k], 7)
-                if len(words[k]) <= KNOWN_BYTES:
-                    known[words[k]] = value
-    return np.array(out, dtype=np.uint64)
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def ngram_set(text: str | None, n: int, known: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``n`` words, lower-cased in A-Z.
+def word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word of a buffer that has eight bytes to spare; takes eight bytes of all words at a time."""
+    import xxhash
+
+    eights = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    out = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at, left = np.arange(len(starts)), sizes
+    while len(at):
+        part = eights[starts[at] + (sizes[at] - left)] & _MASKS[np.minimum(left, 8)]
+        out[at] = _mixed(out[at] ^ part)
+        more = (left > 8) & (sizes[at] <= LONG_WORD)
+        at, left = at[more], left[more] - 8
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]], 7)
+    return out
+
+
+def _runs(h: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` words whose hashes are ``h``."""
+    out = np.full(max(0, len(h) - length + 1), length, dtype=np.uint64)
+    for k in range(length):
+        out = _mixed(out) + h[k : k + len(out)]
+    return _mixed(out)
+
+
+def ngram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Of every text, the sorted distinct hashes of the runs of ``n`` words, lower-cased in A-Z.
 
     A text with fewer words has one, the whole sequence; one without words has none.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = word_hashes(words, known)
-    length = min(n, len(words))
-    runs = len(words) - length + 1
-    out = np.full(runs, length, dtype=np.uint64)
-    for k in range(length):
-        out = _mixed(out) + h[k : k + runs]
-    return np.unique(_mixed(out))
+    texts = texts.fill_null("") if texts.null_count else texts
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or at[-1] == at[0]:
+        yield from (np.zeros(0, dtype=np.uint64) for _ in range(len(texts)))
+        return
+    data = np.frombuffer(texts.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes().lower() + bytes(8), dtype=np.uint8)
+    at = at - at[0]
+    edges = np.unique(at)
+    inside = ~_SPACE[data[:-8]]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[edges[:-1]], last[edges[1:] - 1] = inside[edges[:-1]], inside[edges[1:] - 1]  # a word ends with its text
+    starts = np.flatnonzero(first)
+    h = word_hashes(data, starts, np.flatnonzero(last) + 1 - starts)
+    runs, place = _runs(h, n), np.searchsorted(starts, at).tolist()
+    for a, b in zip(place[:-1], place[1:], strict=True):
+        out = runs[a : b - n + 1] if b - a >= n else _runs(h[a:b], b - a) if b > a else h[:0]
+        out = np.sort(out)
+        new = out[1:] != out[:-1]
+        yield out if new.all() else out[np.r_[True, new]]
 
 
 def prefix_pairs(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the neighbouring pairs in the prefix that routing looks at.
+    """The elements that routing pairs with a set; none of a set of one, which has no partner but itself.
 
-    Sets x and y with the share r have c common and d other elements, d <= (1 - r) / r * c. An
-    element of x alone breaks two pairs of neighbours in x, one of y alone breaks one, so at most
-    2 (1 - r) |x| of the pairs in x are broken, and the first k shared pairs start before position
-    2 (1 - r) |x| + k. The prefix has room for k = |x| / 20, one at least.
+    Sets x and y with the share r have c >= r max(|x|, |y|) common elements. The k-th of them has
+    at most |x| - c others before it in x, so it is among the first |x| - ceil(r |x|) + k of x.
+    The prefix has room for k = max(1, |x| / 4): the prefixes share the k of the smaller set.
     """
     n = len(hashes)
-    end = min(n - 1, 2 * (100 - percent) * n // 100 + max(1, n // 20))
-    if end <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    return _mixed(_mixed(hashes[:end]) + hashes[1 : end + 1])
+    return hashes[: n - -(-n * percent // 100) + max(1, n // 4)] if n > 1 else hashes[:0]
 
 
-def pairs_needed(n: Column, percent: int) -> Column:
-    """Shared pairs that a set of ``n`` has with any partner: a partner has ``percent`` of its size at least."""
-    return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) / 20))
+def needed(n: Column, percent: int) -> Column:
+    """Elements that the prefix of a set of ``n`` shares with that of any partner: a partner has ``percent`` of its size at least."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) / 4)).cast("int")
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``doc_id``, ``tid`` (MD5 of the text), ``n`` (size of the set), ``node`` (its 128-bit hash, null
-    for none), ``short`` (64 bits of it) and, once a task and node, the pairs that route it."""
+    for none), ``short`` (64 bits of it) and, once a task and node, the packed prefix that routes it."""
     import xxhash
 
-    schema = "doc_id long, tid string, n long, node binary, short long, pairs array<long>"
-    arrow = pa.schema([("doc_id", pa.int64()), ("tid", pa.string()), ("n", pa.int64()), ("node", pa.binary()), ("short", pa.int64()), ("pairs", pa.list_(pa.int64()))])
+    schema = "doc_id long, tid string, n long, node binary, short long, prefix binary"
+    arrow = pa.schema([("doc_id", pa.int64()), ("tid", pa.string()), ("n", pa.int64()), ("node", pa.binary()), ("short", pa.int64()), ("prefix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, nodes, shorts, pairs = [], [], [], []
-            if len(seen) > KNOWN_WORDS:
+            sizes, nodes, shorts, heads = [], [], [], []
+            if len(seen) > KNOWN_NODES:
                 seen.clear()
-            for text in batch.column(2):
-                h = ngram_set(text.as_py(), words, known)
+            for h in ngram_sets(batch.column(2), words):
                 sizes.append(len(h))
-                node = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
+                node = xxhash.xxh3_128_digest(h) if len(h) else None
                 nodes.append(node)
                 shorts.append(int.from_bytes(node[:8], "little", signed=True) if node else None)
-                new = node is not None and node not in seen
-                pairs.append(prefix_pairs(h, percent).view(np.int64) if new else None)
+                new = len(h) > 1 and node not in seen
+                heads.append(prefix_pairs(h, percent).tobytes() if new else None)
                 if new:
                     seen.add(node)
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(shorts, pa.int64()), pa.array(pairs, pa.list_(pa.int64()))]
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(shorts, pa.int64()), pa.array(heads, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.mapInArrow(run, schema)
@@ -135,13 +158,11 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         seen: set[bytes] = set()
         for batch in batches:
             nodes, sets = [], []
-            for text in batch.column(0):
-                h = ngram_set(text.as_py(), words, known)
-                node = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
+            for h in ngram_sets(batch.column(0), words):
+                node = xxhash.xxh3_128_digest(h) if len(h) else None
                 if node is not None and node not in seen:
                     seen.add(node)
                     nodes.append(node)
@@ -154,61 +175,121 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
 # ---- routing --------------------------------------------------------------
 
 
-def shared_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (pair, short) in order, the distinct ones whose pair has two or more shorts.
+def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (prefix, short), the elements with their shorts, packed by bucket; an element has one bucket."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        element, short = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (_mixed(element) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        element, short, bucket = element[order], short[order], bucket[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        ends = np.r_[starts[1:], len(bucket)]
+        packed = [element[a:b].tobytes() + short[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
-    Holds one batch and one row, whatever the number of nodes that share a pair.
-    """
-    tail = None  # the last row so far, and whether it is out already
     for batch in batches:
-        pair, short = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-        if not len(pair):
+        heads = batch.column(0).to_pylist()
+        if not heads:
             continue
-        out = False
-        if tail is not None:
-            pair, short, out = np.r_[tail[0], pair], np.r_[tail[1], short], tail[2]
-        new = np.r_[True, (pair[1:] != pair[:-1]) | (short[1:] != short[:-1])]
-        pair, short = pair[new], short[new]
-        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        shared = np.diff(np.r_[starts, len(pair)]) > 1
-        shared[0] |= out
-        rows = np.repeat(shared, np.diff(np.r_[starts, len(pair)]))
-        tail = (pair[-1], short[-1], bool(shared[-1]))
-        rows[0] &= not out
-        if rows.any():
-            yield pa.RecordBatch.from_arrays([pa.array(pair[rows]), pa.array(short[rows])], names=["pair", "short"])
+        element = np.frombuffer(b"".join(heads), dtype=np.uint64)
+        held.append((element, np.repeat(batch.column(1).to_numpy(), [len(x) // 8 for x in heads])))
+        size += len(element)
+        if size > DEALT:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def shared_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows (bucket, packed) in order, (element, short, rows) of elements with two or more shorts.
+
+    ``rows`` is the number of shorts. Holds a bucket. Where one grows beyond ``HELD`` rows, elements
+    with over ``CROWD`` of them go out as they come, repeated shorts included, with ``rows`` = ``MANY``.
+    """
+
+    def found(element: np.ndarray, short: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(element.view(np.int64)), pa.array(short), pa.array(rows.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["element", "short", "rows"])
+
+    def counted(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        element, short = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((short, element))
+        element, short = element[order], short[order]
+        new = np.r_[True, (element[1:] != element[:-1]) | (short[1:] != short[:-1])]
+        element, short = element[new], short[new]
+        starts = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
+        count = np.diff(np.r_[starts, len(element)])
+        return element, short, np.repeat(count, count)
+
+    held, size, now, crowded, limit = [], 0, None, np.zeros(0, dtype=np.uint64), HELD
+    for batch in batches:
+        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != now:
+                if size:
+                    element, short, rows = counted(held)
+                    yield found(element[rows > 1], short[rows > 1], rows[rows > 1])
+                held, size, now, crowded, limit = [], 0, bucket, crowded[:0], HELD
+            half = len(packed) // 2
+            element, short = np.frombuffer(packed[:half], dtype=np.uint64), np.frombuffer(packed[half:], dtype=np.int64)
+            if len(crowded):
+                out = np.isin(element, crowded)
+                if out.any():
+                    yield found(element[out], short[out], np.full(int(out.sum()), MANY))
+                element, short = element[~out], short[~out]
+            held.append((element, short))
+            size += len(element)
+            if size > limit:
+                element, short, rows = counted(held)
+                out = rows > CROWD
+                if out.any():
+                    yield found(element[out], short[out], np.full(int(out.sum()), MANY))
+                    crowded = np.union1d(crowded, element[out])
+                held, size = [(element[~out], short[~out])], int((~out).sum())
+                limit = max(HELD, 2 * size)
+    if size:
+        element, short, rows = counted(held)
+        yield found(element[rows > 1], short[rows > 1], rows[rows > 1])
 
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (pair, short) in order, links (a > b) of every short to the smallest of its pair."""
+    """Of rows (element, short) in order, links (a > b) of every short to the smallest of its element."""
     last = None
     for batch in batches:
-        pair, short = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-        if not len(pair):
+        element, short = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        if not len(element):
             continue
-        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        starts = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
         hub = short[starts]
-        if last is not None and pair[0] == last[0]:
+        if last is not None and element[0] == last[0]:
             hub[0] = last[1]
-        last = (pair[-1], hub[-1])
-        b = np.repeat(hub, np.diff(np.r_[starts, len(pair)]))
+        last = (element[-1], hub[-1])
+        b = np.repeat(hub, np.diff(np.r_[starts, len(element)]))
         links = np.unique(np.stack([short, b], axis=1)[short != b], axis=0)
         if len(links):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, k])) for k in range(2)], names=["a", "b"])
 
 
 def families(marked: DataFrame, percent: int) -> DataFrame:
-    """``short`` and ``family`` of the nodes that may have a partner."""
-    rows = marked.filter(F.col("pairs").isNotNull()).select(F.explode("pairs").alias("pair"), "short")
+    """``short`` and ``family`` of the nodes that may have a partner.
+
+    A node whose prefix shares k elements with any partner's needs not be linked by the k - 1 of them
+    that most nodes have: of what two partners share, the rarest is left in both.
+    """
+    heads = marked.filter(F.col("prefix").isNotNull())
+    total = heads.agg(F.sum(F.length("prefix")).alias("bytes")).first()["bytes"] or 0
+    buckets = max(tasks_for(marked.sparkSession), total // 8 // BUCKET)
+    rows = heads.select("prefix", "short").mapInArrow(lambda batches: dealt(batches, buckets), "bucket int, packed binary")
     shared = materialise(
-        rows.repartition("pair").sortWithinPartitions("pair", "short").mapInArrow(shared_pairs, "pair long, short long"),
-        "shared-pairs",
+        rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared_elements, "element long, short long, rows int"),
+        "shared-elements",
     )
-    sizes = marked.filter(F.col("pairs").isNotNull()).groupBy("short").agg(F.min("n").alias("n"))
-    enough = shared.groupBy("short").agg(F.count("*").alias("found")).join(sizes, "short")
-    enough = enough.filter(F.col("found") >= pairs_needed(F.col("n"), percent)).select("short")
-    kept = shared.join(enough, "short", "left_semi").select("pair", "short")
-    links = kept.repartition("pair").sortWithinPartitions("pair", "short").mapInArrow(stars, "a long, b long").distinct()
+    sizes = heads.groupBy("short").agg(needed(F.min("n"), percent).alias("needed"))
+    place = F.row_number().over(Window.partitionBy("short").orderBy(F.desc("rows"), "element"))
+    kept = shared.join(sizes, "short").withColumn("place", place).filter("place >= needed").select("element", "short")
+    links = kept.repartition("element").sortWithinPartitions("element", "short").mapInArrow(stars, "a long, b long").distinct()
     roots = components(links, "family-links")
     both = roots.unionByName(roots.select(F.col("root").alias("node"), "root"))
     return both.distinct().select(F.col("node").alias("short"), F.col("root").alias("family"))
@@ -222,8 +303,7 @@ class Trie:
 
     Trie node v holds the elements ``tokens[start[v] : start[v] + length[v]]``; node 0 is the root
     and holds none. ``rest`` is the most that follows it in a set below, ``least`` the size of the
-    smallest set below, ``only`` the set if it is the single one (else -1), ``ends`` the set that
-    ends in it (else -1).
+    smallest set below, ``ends`` the set that ends in it (else -1); ``at`` is the node a set ends in.
     """
 
     def __init__(self, sets: list[np.ndarray]):
@@ -273,55 +353,90 @@ class Trie:
         n = len(start)
         parents, depths = np.array(parent), np.array(depth)
         self.last = self.start + self.length - 1
-        kids = np.arange(1, n)
-        by = kids[np.argsort(parents[1:], kind="stable")]
-        self.children = by
-        self.first = np.searchsorted(parents[by], np.arange(n + 1))
+        self.sets, self.percent, self.parent = sets, 0, parents
+        self.at = np.zeros(len(sets), dtype=np.int64)
+        self.at[self.ends[self.ends >= 0]] = np.flatnonzero(self.ends >= 0)
         longest = np.where(self.ends >= 0, self.sizes[self.ends], 0) if len(sets) else np.zeros(n, dtype=np.int64)
         least = np.where(self.ends >= 0, self.sizes[self.ends], np.iinfo(np.int64).max) if len(sets) else longest
-        count, one = (self.ends >= 0).astype(np.int64), np.maximum(self.ends, 0)
-        for v in np.argsort(-depths, kind="stable").tolist():  # children end deeper than their parent
+        order = np.argsort(depths, kind="stable").tolist()  # children end deeper than their parent
+        level = [0] * n
+        for v in order[1:]:
+            level[v] = level[parent[v]] + 1
+        for v in order[:0:-1]:
             p = parent[v]
-            if v:
-                longest[p], least[p] = max(longest[p], longest[v]), min(least[p], least[v])
-                count[p] += count[v]
-                one[p] = one[v] if count[v] else one[p]
-        self.rest, self.least = longest - depths, least
-        self.only = np.where(count == 1, one, -1)
+            longest[p], least[p] = max(longest[p], longest[v]), min(least[p], least[v])
+        self.rest, self.least, self.level = longest - depths, least, np.array(level)
+        self._overlap, self._alive = np.zeros(n, dtype=np.int64), np.arange(n) == 0
 
     @property
     def _below(self) -> dict[int, list[int]]:
         return self.__dict__.setdefault("_kids", {})
 
+    def _rarest(self, asked: np.ndarray, percent: int) -> np.ndarray:
+        """Ranks of the elements of a set that come first by rarity; it shares one of them with any partner."""
+        keep = len(asked) - -(-len(asked) * percent // 100) + 1
+        known = asked[asked < len(self.rank)]
+        keep -= len(asked) - len(known)  # what no stored set has is the rarest
+        ranks = self.rank[known]
+        return ranks if keep >= len(ranks) else np.partition(ranks, keep - 1)[:keep] if keep > 0 else ranks[:0]
+
+    def _post(self, percent: int) -> None:
+        """Rank all elements by rarity and file the stored sets under the rarest of theirs."""
+        counts = np.bincount(self.tokens)
+        self.rank = np.empty(len(counts), dtype=np.int64)
+        self.rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        ranks = [self._rarest(s, percent) for s in self.sets]
+        holders = np.repeat(np.arange(len(ranks)), [len(r) for r in ranks])
+        ranks = np.concatenate(ranks)
+        order = np.argsort(ranks, kind="stable")
+        self.holders, self.posts = holders[order], np.searchsorted(ranks[order], np.arange(len(counts) + 1))
+        self.percent = percent
+
+    def _candidates(self, asked: np.ndarray, percent: int, open_: np.ndarray) -> np.ndarray:
+        """The open sets of a fitting size that share a rarest element with ``asked``: all partners, and others."""
+        if self.percent != percent:
+            self._post(percent)
+        ranks = self._rarest(asked, percent)
+        count = self.posts[ranks + 1] - self.posts[ranks]
+        skipped = np.cumsum(count) - count
+        sets = self.holders[np.repeat(self.posts[ranks] - skipped, count) + np.arange(int(count.sum()))]
+        size = self.sizes[sets]
+        return np.unique(sets[open_[sets] & (100 * size >= percent * len(asked)) & (100 * len(asked) >= percent * size)])
+
     def partners(self, asked: np.ndarray, inside: np.ndarray, percent: int, open_: np.ndarray) -> np.ndarray:
         """The sets that share ``percent`` with the sorted set ``asked``, of those that are ``open_``.
 
-        ``inside`` marks the elements of ``asked``. Walks all branches a level at a time.
+        ``inside`` marks the elements of ``asked``. Walks the branches that lead to a candidate, a
+        level at a time.
         """
         found = []
-        nodes, overlap = self.children[self.first[0] : self.first[1]], None
-        overlap = np.zeros(len(nodes), dtype=np.int64)
-        while len(nodes):
-            only = self.only[nodes]
-            useful = (only < 0) | open_[only]
-            nodes, overlap = nodes[useful], overlap[useful]
+        if not len(self.sets):
+            return np.zeros(0, dtype=np.int64)
+        up = self.at[self._candidates(asked, percent, open_)]
+        ways = [up]
+        while len(up):
+            up = np.unique(self.parent[up])
+            ways.append(up := up[up > 0])
+        ways = np.unique(np.concatenate(ways))
+        ways = ways[np.argsort(self.level[ways], kind="stable")]
+        overlap, alive = self._overlap, self._alive
+        for nodes in np.split(ways, np.flatnonzero(np.diff(self.level[ways])) + 1):
+            nodes = nodes[alive[self.parent[nodes]]]
             if not len(nodes):
                 break
             length = self.length[nodes]
             begin = np.cumsum(length) - length
             at = np.repeat(self.start[nodes] - begin, length) + np.arange(int(length.sum()))
-            overlap = overlap + np.add.reduceat(inside[self.tokens[at]].astype(np.int64), begin)
+            common = overlap[self.parent[nodes]] + np.add.reduceat(inside[self.tokens[at]].astype(np.int64), begin)
             left = len(asked) - np.searchsorted(asked, self.tokens[self.last[nodes]], side="right")
-            best = overlap + np.minimum(self.rest[nodes], left)
-            alive = (100 + percent) * best >= percent * (self.least[nodes] + len(asked))
-            nodes, overlap = nodes[alive], overlap[alive]
+            best = common + np.minimum(self.rest[nodes], left)
+            useful = (100 + percent) * best >= percent * (self.least[nodes] + len(asked))
+            overlap[nodes], alive[nodes] = common, useful
+            nodes, common = nodes[useful], common[useful]
             done = self.ends[nodes]
-            holds = (done >= 0) & ((100 + percent) * overlap >= percent * (self.sizes[done] + len(asked)))
+            holds = (done >= 0) & ((100 + percent) * common >= percent * (self.sizes[done] + len(asked)))
             found.append(done[holds])
-            count = self.first[nodes + 1] - self.first[nodes]
-            skipped = np.cumsum(count) - count
-            at = np.repeat(self.first[nodes] - skipped, count) + np.arange(int(count.sum()))
-            nodes, overlap = self.children[at], np.repeat(overlap, count)
+        alive[ways] = False
         found = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
         return found[open_[found]]
 

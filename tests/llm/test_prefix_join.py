@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dayloom.llm import prefix_join
@@ -108,3 +110,73 @@ def test_routing_meets_every_pair_at_the_threshold():
             continue
         shared = len(np.intersect1d(prefix_join.prefix_pairs(x, 80), prefix_join.prefix_pairs(y, 80)))
         assert shared >= max(1, -(-len(x) * 80 // 100) // 20)
+
+
+class Looked(np.ndarray):
+    """Counts the elements that are looked up."""
+
+    count = 0
+
+    def __getitem__(self, key):
+        out = super().__getitem__(key)
+        Looked.count += np.size(out)
+        return out.view(np.ndarray) if isinstance(out, np.ndarray) else out
+
+
+def test_walk_leaves_out_branches_that_share_a_common_passage_only():
+    rng = np.random.default_rng(6)
+    passage = np.arange(0, 20_000, 1000)
+    sets = [np.unique(np.r_[passage, rng.integers(0, 20_000, 40)]) for _ in range(400)]
+    sets += [np.unique(np.r_[s[:-2], 20_000 + k]) for k, s in enumerate(sets[:50])]
+    trie, open_ = prefix_join.Trie(sets), np.ones(len(sets), dtype=bool)
+    Looked.count = 0
+    for k, q in enumerate(sets):
+        inside = np.zeros(21_000, dtype=bool)
+        inside[q] = True
+        found = trie.partners(q, inside.view(Looked), 80, open_).tolist()
+        assert sorted(found) == [k] + ([k + 400] if k < 50 else []) if k < 400 else sorted(found) == [k - 400, k]
+    assert Looked.count < 60 * 10 * len(sets)  # a few sets for each that asks; all branches are 450
+
+
+def test_a_common_passage_makes_no_family(spark):
+    rows = [(k, str(k), f"{words(300 + k, 22, 9000)} {words(78, 18)} {words(900 + k, 20, 9000)}") for k in range(80)]
+    rows += [(100 + k, str(100 + k), f"{text} more") for k, (_, _, text) in enumerate(rows[:4])]
+    marked = prefix_join.signatures(spark.createDataFrame(rows, "doc_id long, tid string, text string"), 5, 80).cache()
+    routed = prefix_join.families(marked, 80)
+    sizes = sorted(r["count"] for r in routed.groupBy("family").count().collect())
+    assert sizes == [2, 2, 2, 2]
+
+
+def test_crowded_elements_go_out_early_and_whole(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = {(int(e) if e % 3 else 3, int(s)) for e, s in zip(rng.integers(0, 4000, 6000), rng.integers(0, 900, 6000), strict=True)}
+    rows = [(e, s) for e, s in sorted(rows, key=lambda x: hash((x[1], x[0])))]
+
+    def pieces():
+        for a in range(0, len(rows), 500):
+            part = np.array(rows[a : a + 500], dtype=np.int64)
+            packed = part[:, 0].tobytes() + part[:, 1].tobytes()
+            yield pa.RecordBatch.from_pydict({"bucket": [0], "packed": [packed]})
+
+    def run():
+        return [tuple(r.values()) for b in prefix_join.shared_elements(pieces()) for r in b.to_pylist()]
+
+    count = Counter(e for e, _ in rows)
+    want = sorted((e, s, count[e]) for e, s in rows if count[e] > 1)
+    assert sorted(run()) == want
+    monkeypatch.setattr(prefix_join, "HELD", 800)
+    monkeypatch.setattr(prefix_join, "CROWD", 20)
+    assert sorted(run()) == sorted((e, s, prefix_join.MANY if e == 3 else n) for e, s, n in want)
+
+
+def test_words_end_with_their_text_and_long_words_differ():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "B", "é", " ", "\n", "\x1c", "longerword"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += [None, "", "x" * 300, "x" * 299 + "y", "x" * 16, "x" * 15 + "y", "x" * 17, "x\0", "x"]
+    got = [tuple(h.tolist()) for h in prefix_join.ngram_sets(pa.array(texts).slice(1), 3)]
+    known = {}
+    for text, hashes in zip(texts[1:], got, strict=True):
+        w = (text or "").encode().lower().split()
+        runs = frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset()
+        assert known.setdefault(runs, hashes) == hashes and len(hashes) == len(runs) and list(hashes) == sorted(hashes)
+    assert len(set(known.values())) == len(known)
